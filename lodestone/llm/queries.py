@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, quality
+from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .simhash import simhash_near_dedup
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 4, 2).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    return quality.predict(docs, model, keep=["held_out"])
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -28,6 +36,12 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
+    model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~F.col("held_out")))
+    return langid.predict(docs, model, keep=["held_out"])
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,7 +49,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_language_id": op6_language_id,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
