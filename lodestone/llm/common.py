@@ -68,3 +68,27 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, sa
     present = salted.select(*keys, "__salt").distinct()
     copies = present.join(groups, keys)
     return salted.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
+def bitmap(keys: DataFrame, cols: list[str], bits: int) -> DataFrame:
+    """A hash bitmap of fixed size over the rows of ``keys``: at most 2**(bits-15) rows of 4 KB, written once."""
+    h = F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
+    made = (
+        keys.select(h.alias("__h"))
+        .groupBy(F.shiftright("__h", 15).alias("__slot"))
+        .agg(F.bitmap_construct_agg(F.expr("__h & 32767L")).alias("__bits"))
+    )
+    return scratch(made, "bitmap")
+
+
+def with_maybe(rows: DataFrame, made: DataFrame, cols: list[str], bits: int) -> DataFrame:
+    """``rows`` with ``__maybe``: false only if no key of the broadcast ``bitmap`` equals the row's ``cols``."""
+    byte = F.conv(F.hex(F.substring("__bits", F.expr("cast((__h & 32767L) div 8 as int) + 1"), F.lit(1))), 16, 10)
+    return (
+        rows.withColumn("__h", F.pmod(F.xxhash64(*cols), F.lit(1 << bits)))
+        .withColumn("__slot", F.shiftright("__h", 15))
+        .join(F.broadcast(made), "__slot", "left")
+        .withColumn("__byte", F.coalesce(byte.cast("long"), F.lit(0).cast("long")))
+        .withColumn("__maybe", F.expr("shiftright(__byte, cast(__h & 7L as int)) & 1L") == 1)
+        .drop("__h", "__slot", "__bits", "__byte")
+    )

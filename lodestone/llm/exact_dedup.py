@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, scratch, spread_join
+from .common import SPACES, bitmap, scratch, spread_join, with_maybe
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX_CHARS = 128
@@ -27,16 +27,6 @@ def normalised(text: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
 
 
-def _bitmap(groups: DataFrame, bits: int) -> DataFrame:
-    """At most 2**(bits-15) rows of 4 KB: bit h % 2**15 of row h >> 15 is set for each group's h."""
-    h = F.pmod(F.xxhash64("__len", "__pre"), F.lit(1 << bits))
-    return (
-        groups.select(h.alias("__h"))
-        .groupBy(F.shiftright("__h", 15).alias("__slot"))
-        .agg(F.bitmap_construct_agg(F.expr("__h & 32767L")).alias("__bits"))
-    )
-
-
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = BITMAP_BITS, digest_all: bool = False
 ) -> DataFrame:
@@ -56,17 +46,7 @@ def exact_dedup(
         F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS)).alias("__pre"),
     )
     survivors = keyed.groupBy("__len", "__pre").agg(F.count("*").alias("__n")).filter("__n > 1")
-    bitmap = scratch(_bitmap(survivors, bits), "dedup-bitmap")
-    h = F.pmod(F.xxhash64("__len", "__pre"), F.lit(1 << bits))
-    byte = F.conv(F.hex(F.substring("__bits", F.expr("cast((__h & 32767L) div 8 as int) + 1"), F.lit(1))), 16, 10)
-    bit = F.expr("shiftright(__byte, cast(__h & 7L as int)) & 1L") == 1
-    hashed = (
-        keyed.withColumn("__h", h)
-        .withColumn("__slot", F.shiftright("__h", 15))
-        .join(F.broadcast(bitmap), "__slot", "left")
-        .withColumn("__byte", F.coalesce(byte.cast("long"), F.lit(0).cast("long")))
-        .withColumn("__maybe", bit)
-    )
+    hashed = with_maybe(keyed, bitmap(survivors, ["__len", "__pre"], bits), ["__len", "__pre"], bits)
     full = F.sha2(F.encode("__norm", "UTF-8"), 256)
     rows = scratch(
         hashed.select(

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bitmap, scratch, with_maybe
 from .ngrams import codes, hashed
 
 BITS = 17
@@ -30,6 +31,8 @@ COST = 1.0
 GAPS = (1, 2, 3, 4, 6, 8)
 EPOCHS = 12
 THRESHOLD = 0.7
+#: Size (2**24 bits, 2 MB) of the bitmap over labelled ids.
+BITMAP_BITS = 24
 
 
 class Cells:
@@ -118,6 +121,17 @@ def platt(margin: np.ndarray, positive: np.ndarray, steps: int = 60) -> tuple[fl
     return max(a, 1e-3), b
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(id, text, label) of the documents that have a label, written once.
+
+    A bitmap of fixed size over the labelled ids lets only (nearly) those documents into the shuffle of the join.
+    """
+    wanted = labels.select(id_col, label_col).filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    rows = docs.select(id_col, F.col(text_col)).filter(F.col(id_col).isNotNull())
+    near = with_maybe(rows, bitmap(wanted, [id_col], BITMAP_BITS), [id_col], BITMAP_BITS).filter("__maybe").drop("__maybe")
+    return scratch(near.join(wanted.hint("merge"), id_col), "quality-labelled")
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Learn from rows of text and a label 0 or 1; other labels and null texts are skipped.
 

@@ -15,8 +15,7 @@ from .simhash import simhash_near_dedup
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 4, 2).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    model = quality.fit(quality.labelled(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels")))
     return quality.predict(docs, model, keep=["held_out"])
 
 
