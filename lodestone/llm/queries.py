@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, quality
+from . import bpe, langid, lm, packing, quality
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .simhash import simhash_near_dedup
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), payload="digest")
+    return packing.pack(cut)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 4, 2).alias("held_out"))
     model = quality.fit(quality.labelled(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels")))
@@ -57,6 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality_classifier": op2_quality_classifier,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_language_id": op6_language_id,
