@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, packing, quality
+from . import bpe, langid, lm, packing, quality, urlfilter
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .simhash import simhash_near_dedup
@@ -55,6 +55,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), payload="digest")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("block"))
+    rules = urlfilter.mine(pages.join(labels, "page_id"))
+    return urlfilter.judge(pages, rules)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_bpe": op8_bpe,
+        "op9_url_filter": op9_url_filter,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
