@@ -12,6 +12,7 @@ from . import bpe, langid, lm, packing, quality, urlfilter
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .simhash import simhash_near_dedup
+from .topk import top_k
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,25 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model, keep=["held_out"])
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.vec, v.vec)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -71,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_exact_topk": op3_exact_topk,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_language_id": op6_language_id,
         "op7_lm_scoring": op7_lm_scoring,
@@ -81,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op4_exact_dedup": OP4_SQL}
