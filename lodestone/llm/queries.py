@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, packing, quality, urlfilter
+from . import bpe, langid, lm, packing, quality, urlfilter, warc
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .simhash import simhash_near_dedup
@@ -61,6 +61,31 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    root, directory = warc.write_archives(pages)
+    return warc.read_archives(root, directory, payloads=False).select(
+        F.col("id").cast("long").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers").cast("long").alias("refers_to"),
+    )
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest, payload_bytes)
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
     model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~F.col("held_out")))
@@ -93,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": op2_quality_classifier,
         "op3_exact_topk": op3_exact_topk,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_warc": op5_warc,
         "op6_language_id": op6_language_id,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_bpe": op8_bpe,
@@ -102,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc": OP5_SQL}
