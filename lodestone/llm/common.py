@@ -92,3 +92,28 @@ def with_maybe(rows: DataFrame, made: DataFrame, cols: list[str], bits: int) ->
         .withColumn("__maybe", F.expr("shiftright(__byte, cast(__h & 7L as int)) & 1L") == 1)
         .drop("__h", "__slot", "__bits", "__byte")
     )
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Two columns that name a row by id and text, never null; rows that share them are repetitions."""
+    return [
+        F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")).alias("__key"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"),
+    ]
+
+
+def keep_rows(docs: DataFrame, every: DataFrame, kept: DataFrame, id_col: str, text_col: str, bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names, once each, with all their columns.
+
+    ``every`` and ``kept`` hold ``row_key`` columns: one row per row of ``docs``, and those that stay. Only rows that
+    (nearly) go, or are repeated, are shuffled; a broadcast bitmap of fixed size lets all others pass.
+    """
+    names = ["__key", "__hash"]
+    counted = every.groupBy(*names).agg(F.count("*").alias("__n"))
+    marked = counted.join(kept.select(*names, F.lit(True).alias("__stays")).distinct(), names, "left")
+    touched = scratch(marked.filter(F.col("__stays").isNull() | (F.col("__n") > 1)), "touched-rows")
+    key, text_hash = row_key(id_col, text_col)
+    rows = with_maybe(docs.withColumns({"__key": key, "__hash": text_hash}), bitmap(touched, names, bits), names, bits)
+    gone = touched.filter(F.col("__stays").isNull()).select(*names)
+    checked = rows.filter("__maybe").join(gone, names, "left_anti").dropDuplicates(names)
+    return rows.filter(~F.col("__maybe")).select(*docs.columns).unionByName(checked.select(*docs.columns))

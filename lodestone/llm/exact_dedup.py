@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bitmap, scratch, spread_join, with_maybe
+from .common import SPACES, bitmap, keep_rows, row_key, scratch, spread_join, with_maybe
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX_CHARS = 128
@@ -37,10 +37,16 @@ def exact_dedup(
     smallest id exactly one stays. ``text_sha256`` is null for rows whose full content was not needed, unless
     ``digest_all`` asks for every digest. Extra columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("__norm"))
+    return _decide(docs, id_col, text_col, bits, digest_all).drop("__key", "__hash")
+
+
+def _decide(docs: DataFrame, id_col: str, text_col: str, bits: int, digest_all: bool) -> DataFrame:
+    """``exact_dedup`` with the row keys of ``keep_rows``."""
+    text = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("__norm"), *row_key(id_col, text_col))
     keyed = text.select(
         "__id",
+        "__key",
+        "__hash",
         "__norm",
         F.octet_length("__norm").alias("__len"),
         F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS)).alias("__pre"),
@@ -51,6 +57,8 @@ def exact_dedup(
     rows = scratch(
         hashed.select(
             "__id",
+            "__key",
+            "__hash",
             "__len",
             "__pre",
             "__maybe",
@@ -70,6 +78,8 @@ def exact_dedup(
         "group_size",
         (F.col("__row") == F.col("__first.row")).alias("kept"),
         F.col("__full").alias("text_sha256"),
+        "__key",
+        "__hash",
     )
     alone = rows.filter(~F.col("__maybe")).select(
         F.col("__id").alias(id_col),
@@ -77,18 +87,13 @@ def exact_dedup(
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         F.col("__full").alias("text_sha256"),
+        "__key",
+        "__hash",
     )
     return out.unionByName(alone)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Ids name rows here: rows whose id is dropped go, and of rows that repeat an id and text one stays. The texts are
-    joined to the decisions by id, so no hot key arises.
-    """
-    decided = exact_dedup(docs, id_col, text_col)
-    kept = decided.filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    same_text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumn("__t", same_text).join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return rows.dropDuplicates([id_col, "__t"]).drop("__t")
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and text one stays."""
+    decided = scratch(_decide(docs, id_col, text_col, BITMAP_BITS, False), "dedup-decided")
+    return keep_rows(docs, decided, decided.filter("kept"), id_col, text_col)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, spread_join
+from .common import keep_rows, row_key, scratch, spread_join
 
 SEED = 42
 #: Shingles hashed at once; longer documents are summed over several blocks.
@@ -53,16 +53,16 @@ def fingerprint(text: str | None, n: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
-    """(``__id``, ``fp``) per row; fp holds the 64 bits as a signed long."""
+    """(``__id``, row keys, ``fp``) per row; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, n) for t in b["__text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"__id": b["__id"], "fp": fp})
+            yield pd.DataFrame({"__id": b["__id"], "__key": b["__key"], "__hash": b["__hash"], "fp": fp})
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__id"), *row_key(id_col, text_col), F.col(text_col).alias("__text"))
     kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"__id {kind}, fp bigint")
+    return rows.mapInPandas(run, f"__id {kind}, __key string, __hash bigint, fp bigint")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -216,17 +216,23 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one shingle. Null ids are ignored when the smallest id is taken (null if a component has no other).
     Repeated rows are kept. Extra columns are ignored; an empty table gives an empty result.
     """
+    return _find(docs, id_col, text_col, n, k).select(F.col("__id").alias(id_col), "fp", "component_id")
+
+
+def _find(docs: DataFrame, id_col: str, text_col: str, n: int = 3, k: int = 3) -> DataFrame:
+    """Rows (``__id``, row keys, ``fp``, ``root``: a fingerprint that names the component, ``component_id``)."""
     rows = scratch(fingerprints(docs, id_col, text_col, n), "simhash-fp")
     fps = scratch(rows.groupBy("fp").agg(F.min("__id").alias("least")), "simhash-distinct")
     label = components(near_links(fps.select("fp"), k))
     rooted = fps.join(label.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return spread_join(rows, of_fp, ["fp"], "__id").select(F.col("__id").alias(id_col), "fp", "component_id")
+    of_fp = rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+    return spread_join(rows, of_fp, ["fp"], "__key")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    found = simhash_near_dedup(docs, id_col, text_col)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id (null ids last)."""
+    found = scratch(_find(docs, id_col, text_col), "simhash-found")
+    names = [F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash"), F.col("__key")]
+    first = found.groupBy("root").agg(F.min(F.struct(*names)).alias("s")).select("s.__key", "s.__hash")
+    return keep_rows(docs, found, first, id_col, text_col)

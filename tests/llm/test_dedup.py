@@ -12,7 +12,7 @@ from lodestone.llm.simhash import components, drop_near_duplicates, fingerprint,
 
 SAMPLE = [
     (5, "a  b\tc"), (3, "a b c"), (9, "a\n\x0b b c"), (1, None), (2, ""), (7, " "), (8, "A b c"),
-    (4, "x" * 200_000), (6, "x" * 200_000), (10, "x" * 199_999 + "y"), (None, "a b c"), (11, "a b c"), (3, "a b c"),
+    (4, "x" * 200_000), (6, "x" * 200_000), (10, "x" * 199_999 + "y"), (None, "a b c"), (11, "a\u2003b c"), (3, "a b c"),
 ]
 
 
@@ -43,6 +43,9 @@ def test_exact_dedup_hot_group_empty_and_drop(docs, spark):
     kept = drop_exact_duplicates(docs(SAMPLE))
     assert kept.columns == docs(SAMPLE).columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 7, 8, 10, 11]
+    # An id may come with several texts; each row is judged by its own.
+    mixed = docs([(1, "a"), (2, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c")])
+    assert sorted((str(r.doc_id), r.text) for r in drop_exact_duplicates(mixed).collect()) == [("1", "a"), ("2", "b"), ("None", "c")]
 
 
 def plain_fingerprint(text):
@@ -124,4 +127,5 @@ def test_simhash_rows(docs):
     assert simhash_near_dedup(docs([])).count() == 0
     kept = drop_near_duplicates(docs(rows))
     assert kept.columns == docs(rows).columns
-    assert {4, 8, 3} <= {r.doc_id for r in kept.collect()}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(by)
+    assert [r.doc_id for r in drop_near_duplicates(docs([(None, "a b"), (None, "a b"), (None, "x")]).filter("text = 'a b'")).collect()] == [None]
