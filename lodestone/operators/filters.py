@@ -10,7 +10,7 @@ unknown, so ``Not`` of them does not match either, while ``NotEq``, ``NotIn`` an
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -71,11 +71,21 @@ def glob_to_regex(pattern: str) -> str:
     return r"\A" + "".join(out) + r"\z"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row. Filters do not share common subexpressions, and without this
+    the JSON text would be parsed again for each mention of a field."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class _Operand:
-    """A field's value in its two storage classes."""
+    """A field's value in its two storage classes, from a struct of value, number and text."""
 
-    def __init__(self, value: Column):
-        self.value, self.number, self.text = value, A.number(value), A.text(value)
+    def __init__(self, bound: Column):
+        self.value, self.number, self.text = (bound[k] for k in ("value", "number", "text"))
+
+    @staticmethod
+    def struct(value: Column) -> Column:
+        return F.struct(value.alias("value"), A.number(value).alias("number"), A.text(value).alias("text"))
 
     @property
     def missing(self) -> Column:
@@ -139,31 +149,67 @@ def _on_id(op: str, value: object) -> Column:
 
 
 def _on_attribute(name: str, op: str, value: object, attributes: Column) -> Column:
-    x = _Operand(A.field(attributes, name))
+    test = _test(name, op, value)
+    classes = lambda v: let(_Operand.struct(v), lambda bound: test(_Operand(bound)))
+    return let(A.field(attributes, name), classes)
+
+
+def _test(name: str, op: str, value: object) -> Callable[[_Operand], Column]:
+    """The predicate of one condition; values are checked before any column is made."""
     if op in ("Eq", "NotEq"):
         v = _scalar(value, name)
         if v is None:
-            return x.missing if op == "Eq" else ~x.missing
-        same = x.known(x.equals(v))
-        return same if op == "Eq" else x.missing | ~F.coalesce(same, F.lit(False))
+            return lambda x: x.missing if op == "Eq" else ~x.missing
+        if op == "Eq":
+            return lambda x: x.known(x.equals(v))
+        return lambda x: x.missing | ~F.coalesce(x.equals(v), F.lit(False))
     if op in COMPARISONS:
         v = _scalar(value, name)
-        return _unknown() if v is None else x.known(x.compares(op, v))
+        return lambda x: _unknown() if v is None else x.known(x.compares(op, v))
     if op in ("In", "NotIn"):
         values = _values(value, op, name)
         rest = _unknown() if None in values else F.lit(False)
-        known = F.when(x.missing, _unknown()).when(x.among(values), F.lit(True)).otherwise(rest)
-        return known if op == "In" else x.missing | ~known
+        known = lambda x: F.when(x.missing, _unknown()).when(x.among(values), F.lit(True)).otherwise(rest)
+        return known if op == "In" else lambda x: x.missing | ~known(x)
     if op in ("Glob", "NotGlob"):
-        hit = x.known(A.as_text(x.value).rlike(glob_to_regex(value)))
-        return hit if op == "Glob" else x.missing | ~F.coalesce(hit, F.lit(False))
+        pattern = glob_to_regex(value)
+        if op == "Glob":
+            return lambda x: x.known(A.as_text(x.value).rlike(pattern))
+        return lambda x: x.missing | ~F.coalesce(A.as_text(x.value).rlike(pattern), F.lit(False))
     values = [_scalar(value, name)] if op == "Contains" else _values(value, op, name)
-    return F.coalesce(F.exists(A.elements(x.value), lambda e: _Operand(e).among(values)), F.lit(False))
+    hit = lambda e: let(_Operand.struct(e), lambda bound: _Operand(bound).among(values))
+    return lambda x: F.coalesce(F.exists(A.elements(x.value), hit), F.lit(False))
+
+
+def compile_filter(tree: object, attrs: str = "attrs") -> Column:
+    """Boolean column of a filter over columns ``id`` and ``attrs`` (JSON text); bad filters are refused with status 400.
+
+    The attributes are parsed once a row. Conditions on ``id`` that must hold on their own stay outside, where they
+    reach the scan.
+    """
+    if _list(tree) and len(tree) > 1 and tree[0] == "And" and _list(tree[1]):
+        on_id = [t for t in tree[1] if not uses_attributes(t)]
+        rest = [t for t in tree[1] if uses_attributes(t)]
+        if on_id and rest:
+            return _compile(["And", on_id], None, 0) & compile_filter(["And", rest], attrs)
+    if not uses_attributes(tree):
+        return _compile(tree, None, 0)
+    _compile(tree, A.parsed(attrs), 0)  # refuse bad filters here, not inside a lambda
+    return let(A.parsed(attrs), lambda attributes: _compile(tree, attributes, 0))
+
+
+def uses_attributes(tree: object) -> bool:
+    """Whether any condition of a (possibly malformed) filter is about something else than ``id``."""
+    if not _list(tree) or not len(tree):
+        return False
+    if tree[0] in ("And", "Or"):
+        return len(tree) > 1 and _list(tree[1]) and any(uses_attributes(t) for t in tree[1])
+    if tree[0] == "Not":
+        return len(tree) > 1 and uses_attributes(tree[1])
+    return tree[0] != "id"
 
 
-def compile_filter(tree: object, attrs: str = "attrs", depth: int = 0, attributes: Column | None = None) -> Column:
-    """Boolean column of a filter over columns ``id`` and ``attrs`` (JSON text); bad filters are refused with status 400."""
-    attributes = A.parsed(attrs) if attributes is None else attributes
+def _compile(tree: object, attributes: Column | None, depth: int) -> Column:
     if depth > MAX_DEPTH:
         refuse("filter nested too deeply")
     if not _list(tree) or len(tree) < 2:
@@ -172,10 +218,10 @@ def compile_filter(tree: object, attrs: str = "attrs", depth: int = 0, attribute
     if head in ("And", "Or"):
         if not _list(tree[1]) or not tree[1]:
             refuse(f"{head} needs a non-empty array of filters")
-        parts = [compile_filter(t, attrs, depth + 1, attributes) for t in tree[1]]
+        parts = [_compile(t, attributes, depth + 1) for t in tree[1]]
         return reduce(lambda a, b: a & b, parts) if head == "And" else reduce(lambda a, b: a | b, parts)
     if head == "Not":
-        return ~compile_filter(tree[1], attrs, depth + 1, attributes)
+        return ~_compile(tree[1], attributes, depth + 1)
     if len(tree) != 3:
         refuse("filter must be a [field, op, value] array")
     name, op, value = tree
