@@ -26,9 +26,12 @@ def pca2d(vectors: np.ndarray) -> np.ndarray:
         w = np.sin(np.arange(x.shape[1]) * 12.9898 + c * 78.233)
         for _ in range(PCA_STEPS):
             w = x.T @ (x @ w)
+            whole = np.sqrt(np.square(w).sum())
             for p in found:
                 w = w - (w @ p) * p
-            w = w / (np.sqrt(np.square(w).sum()) or 1.0)
+            size = np.sqrt(np.square(w).sum())
+            # What deflation leaves of rows on one line is rounding noise: no second component.
+            w = w / size if size > 1e-9 * whole else np.zeros_like(w)
         found.append(w)
     return x @ np.stack(found, axis=1)
 
