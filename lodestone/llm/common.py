@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +119,10 @@ def keep_rows(docs: DataFrame, every: DataFrame, kept: DataFrame, id_col: str, t
     gone = touched.filter(F.col("__stays").isNull()).select(*names)
     checked = rows.filter("__maybe").join(gone, names, "left_anti").dropDuplicates(names)
     return rows.filter(~F.col("__maybe")).select(*docs.columns).unionByName(checked.select(*docs.columns))
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches cut small, so that what a task sends back per batch stays small where whole texts go along."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]

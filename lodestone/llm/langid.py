@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .ngrams import codes, hashed
 
 BITS = 16
@@ -109,7 +110,7 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
     keep = keep or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             lang, score = shared.value.score([t if isinstance(t, str) else None for t in b["__text"]])
             yield b.drop(columns="__text").assign(lang_pred=lang, score=score)
 

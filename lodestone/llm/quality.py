@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, scratch, with_maybe
+from .common import bitmap, scratch, slices, with_maybe
 from .ngrams import codes, hashed
 
 BITS = 17
@@ -174,6 +174,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         if last is not None:
             packed = own.filter(F.col("__pick") <= last).mapInPandas(pack, "y int, cells binary").limit(FIT_ROWS // 2).toArrow()
             got_rows += zip(packed["y"].to_pylist(), packed["cells"].to_pylist())
+    got_rows.sort()  # tasks end in any order; the fit must not depend on it
     if len({y for y, _ in got_rows}) < 2:
         return flat(docs)
     rows = [np.frombuffer(c, "<i4") for _, c in got_rows]
@@ -206,7 +207,7 @@ def predict(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, cells = shared.value, Cells()
-        for b in batches:
+        for b in slices(batches):
             score = np.array([model.score(model.margin(cells(t))) for t in b["__text"]], dtype=float)
             yield b.drop(columns="__text").assign(score=score, predicted=(score >= threshold).astype(np.int32))
 
