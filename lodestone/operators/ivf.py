@@ -79,6 +79,8 @@ def build_index(store: Store, force: bool = True, max_clusters: int = MAX_CLUSTE
     try:
         # Rebalancing by cluster gives files of one cluster each and splits clusters that are too large for a task.
         dealt = rows.withColumn("cluster", assigned("vector", centroids)).hint("rebalance", "cluster")
+        # In order of id within a file, so that fetches by id skip row groups by their statistics.
+        dealt = dealt.sortWithinPartitions("cluster", "id")
         dealt.write.partitionBy("cluster").parquet(f"{store.home}/{path}")
         sizes: dict[int, int] = {}
         for p, n in store.files.files_below(f"{store.home}/{path}"):

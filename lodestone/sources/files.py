@@ -20,6 +20,15 @@ class Files:
     def exists(self, name: str) -> bool:
         return self.system(name).exists(self.path(name))
 
+    def written(self, name: str) -> int | None:
+        """When a file was written (milliseconds), or None if it is not there."""
+        try:
+            return self.system(name).getFileStatus(self.path(name)).getModificationTime()
+        except Exception as e:
+            if "FileNotFound" in str(e):
+                return None
+            raise
+
     def names(self, folder: str) -> list[str]:
         """Names in a folder, sorted; none if it does not exist."""
         if not self.exists(folder):

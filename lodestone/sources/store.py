@@ -38,6 +38,8 @@ INDEX = T.StructType([*ROW.fields, T.StructField("cluster", T.IntegerType())])
 UPSERT, DELETE = "upsert", "delete"
 KEPT_STATES = 20
 ATTEMPTS = 8
+#: Readers that a store remembers; files never change once a state names them, so their listing stays true.
+READERS = 8
 
 
 class Store:
@@ -45,9 +47,14 @@ class Store:
         self.spark, self.root, self.name = spark, root.rstrip("/"), check_name(name)
         self.files = Files(spark)
         self.home = f"{self.root}/{name}"
+        self.readers: dict[tuple[str, ...], DataFrame] = {}
+        self.known: tuple[int, dict] | None = None  # when the last state that was read was written, and the state
 
     # States
 
+    def _file(self, number: int) -> str:
+        return f"{self.home}/_meta/{number:012d}.json"
+
     def _empty(self) -> dict:
         return {
             "number": 0, "name": self.name, "dim": None, "metric": COSINE, "seq": 0, "created_at": None, "index_version": 0,
@@ -55,9 +62,21 @@ class Store:
         }
 
     def state(self) -> dict:
-        """The current state; that of an unknown namespace is empty, and reading it creates nothing."""
+        """The current state; that of an unknown namespace is empty, and reading it creates nothing.
+
+        States are numbered without gaps, so the last one seen is current if it is still there and has no successor.
+        """
+        if self.known:
+            written, state = self.known
+            if self.files.written(self._file(state["number"])) == written and not self.files.exists(self._file(state["number"] + 1)):
+                return dict(state)
         states = [n for n in self.files.names(f"{self.home}/_meta") if n.endswith(".json") and not n.startswith(".")]
-        return json.loads(self.files.read(f"{self.home}/_meta/{states[-1]}")) if states else self._empty()
+        if not states:
+            self.known = None
+            return self._empty()
+        state = json.loads(self.files.read(f"{self.home}/_meta/{states[-1]}"))
+        self.known = (self.files.written(self._file(state["number"])), state)
+        return dict(state)
 
     @property
     def exists(self) -> bool:
@@ -66,7 +85,7 @@ class Store:
     def publish(self, state: dict) -> bool:
         """Make ``state`` the successor of the state it was made from; False if another writer was first."""
         state = state | {"number": state["number"] + 1, "created_at": state["created_at"] or int(time.time() * 1000)}
-        done = self.files.create(f"{self.home}/_meta/{state['number']:012d}.json", json.dumps(state))
+        done = self.files.create(self._file(state["number"]), json.dumps(state))
         if done and state["number"] % KEPT_STATES == 0:
             for old in self.files.names(f"{self.home}/_meta")[:-KEPT_STATES]:
                 self.files.delete(f"{self.home}/_meta/{old}")
@@ -83,10 +102,18 @@ class Store:
 
     # Reading
 
+    def _read(self, schema: T.StructType, *paths: str) -> DataFrame:
+        """Files that a state names; they are listed once."""
+        if paths not in self.readers:
+            while len(self.readers) >= READERS:
+                del self.readers[next(iter(self.readers))]
+            self.readers[paths] = self.spark.read.schema(schema).parquet(*paths)
+        return self.readers[paths]
+
     def tail(self, state: dict) -> DataFrame:
         """All log rows that the index does not hold yet."""
         paths = [f"{self.home}/{s['key']}" for s in state["segments"] if s["kind"] == "wal"]
-        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+        return self._read(LOG, *paths) if paths else self.spark.createDataFrame([], LOG)
 
     def latest_tail(self, state: dict) -> DataFrame:
         """The last write of each id in the tail, tombstones included; a batch holds an id once."""
@@ -102,7 +129,7 @@ class Store:
         """Rows of the index version, or of some of its clusters (a partition filter)."""
         if not state["index_version"]:
             return self.spark.createDataFrame([], INDEX)
-        rows = self.spark.read.schema(INDEX).parquet(f"{self.home}/{state['index_path']}")
+        rows = self._read(INDEX, f"{self.home}/{state['index_path']}")
         return rows if clusters is None else rows.filter(F.col("cluster").isin(clusters))
 
     def current(self, state: dict, clusters: list[int] | None = None) -> DataFrame:
