@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from .plans.planner import QueryPlan, plan_query
 from .sources.catalog import namespaces
 from .sources.store import DELETE, UPSERT, Store, by_id
 
-_BATCH = "id string, op string, vector array<float>, attrs string, pos long"
+_VECTOR = pa.list_(pa.float32())
+_BATCH = pa.schema([("id", pa.string()), ("op", pa.string()), ("vector", _VECTOR), ("attrs", pa.string()), ("pos", pa.int64())])
+_PATCH = pa.schema([("id", pa.string()), ("new_vector", _VECTOR), ("patch", pa.string()), ("pos", pa.int64())])
 
 
 class Engine:
@@ -167,12 +170,17 @@ class Namespace:
             if prepared is None:
                 return batch, changes
             checked = {i: (i, UPSERT, validate.check_vector(v, state["dim"] or len(prepared[0][1])), a, n) for n, (i, v, a) in enumerate(prepared)}
-            return self.spark.createDataFrame(list(checked.values()), _BATCH).coalesce(1), changes
+            return self._frame(list(checked.values()), _BATCH), changes
 
         state = self.store.append(make, applied)
         count = len(prepared) if prepared is not None else (state["segments"][-1]["rows"] if state["segments"] else 0)
         return {"upserted": count, "created": created}
 
+    def _frame(self, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+        """A small batch as one partition, handed over as Arrow columns."""
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+        return self.spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema)).coalesce(1)
+
     def _prepare(self, rows: list) -> list[tuple[str, list[float], str | None]]:
         out = []
         for r in rows:
@@ -206,13 +214,13 @@ class Namespace:
         def make(state: dict) -> tuple[DataFrame, dict] | None:
             found.clear()
             given = [(i, p["vector"], None if p["attributes"] is None else json.dumps(p["attributes"], ensure_ascii=False), n) for n, (i, p) in enumerate(folded.items())]
-            patches = self.spark.createDataFrame(given, "id string, new_vector array<float>, patch string, pos long")
+            patches = self._frame(given, _PATCH)
             both = self.store.current(state).join(F.broadcast(patches), "id")  # at most 10,000 patches
             attrs = F.when(F.col("patch").isNull(), F.col("attrs")).otherwise(merged(F.col("attrs"), F.col("patch")))
             done = both.select("id", F.lit(UPSERT).alias("op"), F.coalesce("new_vector", "vector").alias("vector"), attrs.alias("attrs"), "pos").collect()
             found.update(r.id for r in done)
             changed = [tuple(r) for r in done if folded[r.id]["vector"] is not None or folded[r.id]["attributes"] is not None]
-            return (self.spark.createDataFrame(changed, _BATCH).coalesce(1), {}) if changed else None
+            return (self._frame(changed, _BATCH), {}) if changed else None
 
         self.store.append(make)
         return {"patched": sum(i in found for i in order), "missing": [i for i in order if i not in found]}
