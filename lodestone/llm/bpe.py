@@ -239,7 +239,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             made.insert(0, id_col, b["__id"].to_numpy())
             yield made
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    kind = rows.schema["__id"].dataType.simpleString()
+    # Ids travel as text, since pandas has no integers with nulls.
+    rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__text"))
     kinds = "ids array<int>, decoded string" if payload == "ids" else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, {kinds}")
+    made = rows.mapInPandas(run, f"`{id_col}` string, {kinds}")
+    return made.withColumn(id_col, F.col(f"`{id_col}`").cast(docs.schema[id_col].dataType))

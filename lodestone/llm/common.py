@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +59,14 @@ def held_out(col: str, mod: int, rest: int) -> Column:
     return F.coalesce(crc_of(col) % mod == rest, F.lit(False))
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, salts: int = 256) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, salts: int | None = None) -> DataFrame:
     """Attach the one row of ``groups`` per key to every row, without a task that holds a whole hot key.
 
     Rows get a salt from column ``by``. Each key's group row is copied once for each salt that its rows
     really have (at most ``salts`` and at most the number of rows), and the wide join runs on (key, salt).
-    Keys must not be null; rows whose key has no group are dropped.
+    There are as many salts as shuffle partitions, 256 at least. Keys must not be null; rows whose key has no group are dropped.
     """
+    salts = salts or max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     present = salted.select(*keys, "__salt").distinct()
     copies = present.join(groups, keys)
@@ -114,15 +115,30 @@ def keep_rows(docs: DataFrame, every: DataFrame, kept: DataFrame, id_col: str, t
     counted = every.groupBy(*names).agg(F.count("*").alias("__n"))
     marked = counted.join(kept.select(*names, F.lit(True).alias("__stays")).distinct(), names, "left")
     touched = scratch(marked.filter(F.col("__stays").isNull() | (F.col("__n") > 1)), "touched-rows")
-    key, text_hash = row_key(id_col, text_col)
-    rows = with_maybe(docs.withColumns({"__key": key, "__hash": text_hash}), bitmap(touched, names, bits), names, bits)
+    # Columns go by their places, so that none can clash with the helpers' names.
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    key, text_hash = row_key(columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)])
+    keyed = docs.toDF(*columns).withColumns({"__key": key, "__hash": text_hash})
+    rows = with_maybe(keyed, bitmap(touched, names, bits), names, bits)
     gone = touched.filter(F.col("__stays").isNull()).select(*names)
     checked = rows.filter("__maybe").join(gone, names, "left_anti").dropDuplicates(names)
-    return rows.filter(~F.col("__maybe")).select(*docs.columns).unionByName(checked.select(*docs.columns))
+    return rows.filter(~F.col("__maybe")).select(*columns).unionByName(checked.select(*columns)).toDF(*docs.columns)
 
 
-def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """Batches cut small, so that what a task sends back per batch stays small where whole texts go along."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that what a task holds and sends back at once stays small where whole texts go along."""
     for b in batches:
-        for at in range(0, len(b), rows):
-            yield b.iloc[at : at + rows]
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def accepted(docs: DataFrame, text_col: str, judge: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose texts ``judge`` accepts, with all their columns, whatever these are called."""
+    at = docs.columns.index(text_col)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(judge(b.column(at).to_pylist()), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import accepted, slices
 from .ngrams import codes, hashed
 
 BITS = 16
@@ -109,11 +110,23 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(model)
     keep = keep or []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            lang, score = shared.value.score([t if isinstance(t, str) else None for t in b["__text"]])
-            yield b.drop(columns="__text").assign(lang_pred=lang, score=score)
+            lang, score = shared.value.score(b.column("__text").to_pylist())
+            others = [n for n in b.schema.names if n != "__text"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, others), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*others, "lang_pred", "score"])
 
     rows = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInPandas(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: LangModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and a language of at least the score ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts: list[str | None]) -> list[bool]:
+        lang, score = shared.value.score(texts)
+        return [x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist())]
+
+    return accepted(docs, text_col, judge)

@@ -324,7 +324,7 @@ def score(
     spark = docs.sparkSession
     buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
-        F.col(id_col).alias("__id"),
+        F.col(id_col).cast("string").alias("__id"),  # as text, since pandas has no integers with nulls
         F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")).alias("__key"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"),
         F.coalesce(held_out, F.lit(False)).alias("__held"),
@@ -373,9 +373,8 @@ def score(
                 head_log=np.bincount(doc, logs[ids], minlength=len(part)),
             )
 
-    kind = rows.schema["__id"].dataType.simpleString()
     walked = rows.mapInPandas(
-        run, f"__id {kind}, __key string, __hash bigint, __held boolean, n_tokens bigint, walked double, head bigint, head_log double"
+        run, "__id string, __key string, __hash bigint, __held boolean, n_tokens bigint, walked double, head bigint, head_log double"
     )
     per_doc = sums.filter("chunk >= 0").select("chunk", "docs", "known", "base", "log").groupBy("chunk").applyInPandas(
         _add_up, "chunk bigint, local int, known bigint, base double, log double"
@@ -390,7 +389,7 @@ def score(
     share = float(np.log10((1 - unseen) / tokens)) if tokens else 0.0
     rare = (log - F.col("head_log")) + (known - F.col("head")) * F.lit(share) + unknown * F.lit(float(np.log10(unseen)))
     return joined.select(
-        F.col("__id").alias(id_col),
+        F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col),
         F.col("__held").alias("held_out"),
         "n_tokens",
         known.cast("long").alias("n_known"),

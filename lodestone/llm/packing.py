@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,9 +110,10 @@ def pieces(
             yield made
 
     name, kind = ("ids", "array<int>") if payload == "ids" else ("ids_crc32", "bigint")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    of_id = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"`{id_col}` {of_id}, piece int, start bigint, length bigint, {name} {kind}")
+    # Ids travel as text, since pandas has no integers with nulls.
+    rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__text"))
+    made = rows.mapInPandas(run, f"`{id_col}` string, piece int, start bigint, length bigint, {name} {kind}")
+    return made.withColumn(id_col, F.col(f"`{id_col}`").cast(docs.schema[id_col].dataType))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Packing:
@@ -341,11 +343,12 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, nodes: int = NODES) ->
     ranked = salted.withColumn("__own", F.row_number().over(own) - 1).join(before.hint("merge"), ["length", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__own")).drop("__salt", "__before", "__own", "__row")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequence, offset = layout.value.find(b["length"].to_numpy(np.int64), b["__rank"].to_numpy(np.int64))
-            yield b.drop(columns="__rank").assign(sequence_id=sequence, offset=offset)
+            sequence, offset = layout.value.find(*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank")))
+            others = [n for n in b.schema.names if n != "__rank"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, others), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*others, "sequence_id", "offset"])
 
     kept = ranked.select(*pieces.columns, "__rank")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__rank")
-    return kept.mapInPandas(place, f"{kinds}, sequence_id bigint, offset bigint")
+    return kept.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")

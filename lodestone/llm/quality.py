@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, scratch, slices, with_maybe
+from .common import accepted, bitmap, scratch, slices, with_maybe
 from .ngrams import codes, hashed
 
 BITS = 17
@@ -205,12 +206,27 @@ def predict(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cells = shared.value, Cells()
         for b in slices(batches):
-            score = np.array([model.score(model.margin(cells(t))) for t in b["__text"]], dtype=float)
-            yield b.drop(columns="__text").assign(score=score, predicted=(score >= threshold).astype(np.int32))
+            score = np.array([model.score(model.margin(cells(t))) for t in b.column("__text").to_pylist()], dtype=float)
+            others = [n for n in b.schema.names if n != "__text"]
+            made = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*map(b.column, others), *made], names=[*others, "score", "predicted"])
 
     rows = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInPandas(run, f"{kinds}, score double, predicted int")
+    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that score at least ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    worker: list[Cells] = []
+
+    def judge(texts: list[str | None]) -> list[bool]:
+        if not worker:
+            worker.append(Cells())
+        return [shared.value.score(shared.value.margin(worker[0](t))) >= threshold for t in texts]
+
+    return accepted(docs, text_col, judge)

@@ -60,9 +60,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, n) for t in b["__text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"__id": b["__id"], "__key": b["__key"], "__hash": b["__hash"], "fp": fp})
 
-    rows = docs.select(F.col(id_col).alias("__id"), *row_key(id_col, text_col), F.col(text_col).alias("__text"))
-    kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"__id {kind}, __key string, __hash bigint, fp bigint")
+    # Ids travel as text, since pandas has no integers with nulls.
+    rows = docs.select(F.col(id_col).cast("string").alias("__id"), *row_key(id_col, text_col), F.col(text_col).alias("__text"))
+    made = rows.mapInPandas(run, "__id string, __key string, __hash bigint, fp bigint")
+    return made.withColumn("__id", F.col("__id").cast(docs.schema[id_col].dataType))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:

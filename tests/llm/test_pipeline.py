@@ -1,37 +1,98 @@
-"""The pipeline's stages on a small table."""
+"""Every stage of the pipeline against brute force on a small table with rows of every odd kind."""
 
+import re
 from collections import Counter
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
+from lodestone.llm import langid, quality
+from lodestone.llm.common import held_out
+from lodestone.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
+BIG = (1 << 60) + 1
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with nulls, blanks, repeated rows, copies, large ids beside null ids, and columns with clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.orderBy("doc_id").first().text
+    more = [(BIG, text + " ", None, None, None), (BIG + 1, None, "en", "s", 0), (None, text, "fr", "s", 1), (BIG + 2, " \n", "en", "s", 2), (BIG + 3, "1 2 3", "en", "s", 5), (7, text, "fr", "s", 1)]
+    made = docs.unionByName(spark.createDataFrame(more, docs.schema)).unionByName(docs.filter("doc_id < 3"))
+    for name in ("score", "lang_pred", "predicted", "__key", "__maybe", "kept", "fp", "c0"):
+        made = made.withColumn(name, F.lit("x"))
+    return made.repartition(3)
+
 
+def rows_of(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
 
-def test_stages_and_run(spark):
+
+def test_stages_against_brute_force(spark, odd):
+    before, docs = rows_of(odd), odd
+    stages = dict(cp.STAGES)
+    # Language: the model applied to each text.
+    model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2)))
+    lang, score = model.score([t for _, t in before])
+    want = {k: n for (k, n), x, s in zip(before.items(), lang, score) if x != "und" and s >= 0.5}
+    out = stages["language_id"](spark, docs, SF)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes and rows_of(out) == want
+    assert not {BIG + 1, BIG + 2, BIG + 3} & {i for i, _ in want} and (BIG, before and next(t for i, t in before if i == BIG)) in want
+    docs = spark.createDataFrame(out.collect(), docs.schema)
+    # Quality: the same.
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(quality.labelled(docs.filter(~held_out("doc_id", 4, 2)), labels))
+    cells = quality.Cells()
+    want = {k: n for k, n in rows_of(docs).items() if model.score(model.margin(cells(k[1]))) >= 0.7}
+    out = stages["quality_classifier"](spark, docs, SF)
+    assert out.dtypes == docs.dtypes and rows_of(out) == want
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()} & {i for i, _ in rows_of(docs)}
+    assert len(good - {i for i, _ in want}) <= 2
+    docs = spark.createDataFrame(out.collect(), docs.schema)
+    # Exact copies: the smallest id of each normalised text, null ids last.
+    groups = {}
+    for i, t in rows_of(docs):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), []).append((i is None, i or 0, t))
+    first = [min(g) for g in groups.values()]
+    out = stages["exact_dedup"](spark, docs, SF)
+    assert out.dtypes == docs.dtypes and sorted((none, i or 0) for none, i, _ in first) == sorted((i is None, i or 0) for i, _ in rows_of(out).elements())
+    docs = spark.createDataFrame(out.collect(), docs.schema)
+    # Near copies: the smallest id of each component of fingerprints.
+    rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, r[0] or 0))
+    fps = np.array([fingerprint(t) for _, t in rows], dtype=np.uint64)
+    label, changed = list(range(len(rows))), True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            low = min(label[b] for b in np.flatnonzero(np.bitwise_count(fps ^ fps[a]) <= 3).tolist())
+            changed |= low < label[a]
+            label[a] = min(label[a], low)
+    out = stages["simhash_near_dedup"](spark, docs, SF)
+    assert out.dtypes == docs.dtypes and rows_of(out) == Counter(rows[i] for i in set(label))
+    docs = spark.createDataFrame(out.collect(), docs.schema)
+    packed = stages["best_fit_packing"](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in rows_of(docs)}
+    bins = Counter()
+    for r in packed:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) + 1
+
+
+def test_run_is_the_chain_of_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    kept, seen = docs, {r.doc_id: r.text for r in docs.collect()}
-    for name, stage in cp.STAGES[:-1]:
-        out = stage(spark, kept, SF)
-        assert out.columns == docs.columns and out.dtypes == docs.dtypes
-        rows = out.collect()
-        now = {r.doc_id: r.text for r in rows}
-        assert len(now) == len(rows) and all(seen[i] == t for i, t in now.items())
-        lost = set(seen) - set(now)
-        good = [i for i in lost if i in labels and labels[i].quality == 1]
-        if name == "language_id":
-            assert not good
-        if name == "quality_classifier":
-            assert len(good) <= 2 and any(i in labels and labels[i].quality == 0 for i in lost)
-        if name == "exact_dedup":
-            norm = lambda t: " ".join((t or "").split())
-            first = {}
-            for i, t in sorted(seen.items()):
-                first.setdefault(norm(t), i)
-            assert {i for i, t in seen.items() if norm(t) in {norm(x) for x in now.values()}} >= set(now)
-            assert len(now) <= len(seen) and set(now) <= set(first.values()) | set(now)
-        seen, kept = now, spark.createDataFrame(rows, docs.schema)
-    packed = cp.STAGES[-1][1](spark, kept, SF).collect()
-    whole = cp.run(spark, SF).collect()
+    for _, stage in cp.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
     key = lambda rows: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
-    assert {r.doc_id for r in packed} == set(seen) and key(packed) == key(whole)
+    assert key(cp.STAGES[-1][1](spark, docs, SF).collect()) == key(cp.run(spark, SF).collect())
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and out.columns == docs.columns
+    assert cp.STAGES[-1][1](spark, docs, SF).count() == 0
