@@ -197,12 +197,37 @@ def dominates(a: Pattern, b: Pattern) -> bool:
     return place(0, holes)
 
 
+def exact_sums(lengths: list[int], counts: dict[int, int], space: int, pieces: int, top: int, width: int) -> list[Pattern]:
+    """Up to ``width`` fillings of exactly ``space`` by that many pieces no longer than ``top``, longest pieces first."""
+    if pieces == 1:
+        return [((space, 1),)] if 0 < space <= top and counts.get(space, 0) > 0 else []
+    found: list[Pattern] = []
+    at = bisect_left(lengths, min(top, space - (pieces - 1) * lengths[0]) + 1) - 1
+    while at >= 0 and len(found) < width and lengths[at] * pieces >= space:
+        x = lengths[at]
+        if counts.get(x, 0) > 0:
+            counts[x] -= 1
+            for rest in exact_sums(lengths, counts, space - x, pieces - 1, x, 1):
+                number = dict(rest)
+                number[x] = number.get(x, 0) + 1
+                found.append(tuple(sorted(number.items(), reverse=True)))
+            counts[x] += 1
+        at -= 1
+    return found
+
+
 def fillings(lengths: list[int], counts: dict[int, int], space: int, width: int = WIDTH) -> list[Pattern]:
     """Undominated ways to fill ``space`` with the pieces on hand, least waste first; ``lengths`` ascending.
 
-    Every filling is maximal (no piece left over would still fit) or the search for its kind was cut off at ``width``.
+    Fillings without waste by one, two or three pieces are looked up by their sums; others come from a walk that takes
+    longest pieces first and goes on until nothing left over would still fit, cut off at ``width`` pieces tried a step.
     """
+    if not lengths or space < lengths[0]:
+        return [()]
     found: list[tuple[int, Pattern]] = []
+    for pieces in (1, 2, 3):
+        if len(found) < width and (pieces < 3 or not found):
+            found += [(0, f) for f in exact_sums(lengths, counts, space, pieces, space, width)]
     steps = 0
 
     def walk(top: int, space: int, chosen: Pattern) -> None:
@@ -215,8 +240,9 @@ def fillings(lengths: list[int], counts: dict[int, int], space: int, width: int
             if counts.get(x, 0) > 0:
                 fits = True
                 steps += 1
-                walk(x - 1, space - x * (k := min(counts[x], space // x)), (*chosen, (x, k)))
-                if k > 1 and space - x > 0:
+                k = min(counts[x], space // x)
+                walk(x - 1, space - x * k, (*chosen, (x, k)))
+                if k > 1:
                     walk(x - 1, space - x, (*chosen, (x, 1)))
                 tried += 1
             at -= 1
@@ -266,7 +292,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
                     best, best_bins = list(path), bins
                     if best_bins == bound:
                         break
-            elif left > 0 and bins + lower_bound({x: rest[x] for x in live}, capacity) < best_bins:
+            elif left > 0 and bins + -(-sum(x * rest[x] for x in live) // capacity) < best_bins:
                 top = live[-1]
                 rest[top] -= 1
                 options = fillings(live, rest, capacity - top)
