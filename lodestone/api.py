@@ -151,7 +151,9 @@ class Namespace:
         self.store.change(make)
         return {"created": created}
 
-    def upsert(self, rows: list[dict] | DataFrame, distance_metric: str | None = None, applied: tuple[str, int] | None = None) -> dict:
+    def upsert(
+        self, rows: list[dict] | DataFrame, distance_metric: str | None = None, applied: tuple[str, int] | None = None, limit: int | None = validate.MAX_BATCH_ROWS
+    ) -> dict:
         """Insert or replace rows, vector and attributes both; of rows with one id the last counts.
 
         Up to 10,000 dicts (id, vector, attributes), or a DataFrame of any size with ``id``, ``vector`` and optionally
@@ -160,7 +162,7 @@ class Namespace:
         if distance_metric is not None:
             check_metric(distance_metric)
         created, count = False, 0
-        prepared = None if isinstance(rows, DataFrame) else self._prepare(validate.check_batch(rows))
+        prepared = None if isinstance(rows, DataFrame) else self.checked(validate.check_batch(rows, limit=limit or len(rows)))
         batch = _from_frame(rows) if prepared is None else None
 
         def make(state: dict) -> tuple[DataFrame, dict]:
@@ -181,12 +183,15 @@ class Namespace:
         columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
         return self.spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema)).coalesce(1)
 
-    def _prepare(self, rows: list) -> list[tuple[str, list[float], str | None]]:
+    def checked(self, rows: list, dim: int | None = None) -> list[tuple[str, list[float], str | None]]:
+        """Rows as (id, float32 vector, JSON text); all vectors as long as ``dim`` or as the first."""
         out = []
         for r in rows:
             if not isinstance(r, dict):
                 refuse("a row must be an object")
-            out.append((validate.check_id(r.get("id")), validate.check_vector(r.get("vector"), None), validate.check_attributes(r.get("attributes"))))
+            vector = validate.check_vector(r.get("vector"), dim)
+            dim = dim or len(vector)
+            out.append((validate.check_id(r.get("id")), vector, validate.check_attributes(r.get("attributes"))))
         return out
 
     def patch(self, rows: list[dict]) -> dict:

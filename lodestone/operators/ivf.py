@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,9 @@ from .kmeans import MAX_CLUSTERS, cluster_count, kmeans, sample_size, squared_di
 AUTO_ROWS = 2_000
 AUTO_BYTES = 32 << 20
 
+_guard = threading.Lock()
+_building: set[str] = set()
+
 
 def below_threshold(state: dict) -> bool:
     wal = [s for s in state["segments"] if s["kind"] == "wal"]
@@ -55,7 +59,20 @@ def centroids_of(rows: DataFrame, live: int, dim: int, metric: str, max_clusters
 
 def build_index(store: Store, force: bool = True, max_clusters: int = MAX_CLUSTERS) -> dict:
     """Index everything that is live now. Readers keep the old version until the new one is published; writes that
-    commit meanwhile stay in the log tail. A failed build leaves the old version as it was."""
+    commit meanwhile stay in the log tail. A failed build leaves the old version as it was. One build of a namespace
+    runs at a time in a process."""
+    with _guard:
+        if store.home in _building:
+            return {"status": "already_running"}
+        _building.add(store.home)
+    try:
+        return _build(store, force, max_clusters)
+    finally:
+        with _guard:
+            _building.discard(store.home)
+
+
+def _build(store: Store, force: bool, max_clusters: int) -> dict:
     started = time.time()
     state = store.state()
     if state["dim"] is None:
