@@ -122,7 +122,7 @@ class Namespace:
             "name": self.store.name,
             "dim": state["dim"],
             "distance_metric": state["metric"],
-            "rows": 0 if empty else self.store.current(state).count(),
+            "rows": 0 if empty else self.store.count(state),
             "unindexed_rows": 0 if empty else self.store.unindexed(state).count(),
             "segments": kinds,
             "storage_bytes": sum(s["bytes"] for s in state["segments"]),
@@ -220,7 +220,8 @@ class Namespace:
             found.clear()
             given = [(i, p["vector"], None if p["attributes"] is None else json.dumps(p["attributes"], ensure_ascii=False), n) for n, (i, p) in enumerate(folded.items())]
             patches = self._frame(given, _PATCH)
-            both = self.store.current(state).join(F.broadcast(patches), "id")  # at most 10,000 patches
+            near = self.store.current(state).filter(F.col("id").isin(list(folded)))  # skips row groups by their ids
+            both = near.join(F.broadcast(patches), "id")  # at most 10,000 patches
             attrs = F.when(F.col("patch").isNull(), F.col("attrs")).otherwise(merged(F.col("attrs"), F.col("patch")))
             done = both.select("id", F.lit(UPSERT).alias("op"), F.coalesce("new_vector", "vector").alias("vector"), attrs.alias("attrs"), "pos").collect()
             found.update(r.id for r in done)
@@ -273,6 +274,9 @@ class _Observed:
     def current(self, state: dict, clusters: list[int] | None = None) -> DataFrame:
         return _Counted(self.store.current(state, clusters), self.seen)
 
+    def centroids(self, state: dict) -> list[list[float]]:
+        return self.store.centroids(state)
+
 
 class _Counted:
     """Stands for a DataFrame until its filter is known: the count belongs after it."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
@@ -80,7 +81,7 @@ def _build(store: Store, force: bool, max_clusters: int) -> dict:
     if not force and below_threshold(state):
         return {"status": "skipped", "reason": "below threshold"}
     rows = store.current(state)
-    live = rows.count()
+    live = store.count(state)
     if not live:
         return {"status": "skipped", "reason": "empty"}
     centroids = centroids_of(rows, live, state["dim"], state["metric"], max_clusters)
@@ -108,6 +109,7 @@ def _build(store: Store, force: bool, max_clusters: int) -> dict:
     except Exception:
         store.files.delete(f"{store.home}/{path}")
         raise
+    store.files.create(f"{store.home}/{path}/_centroids.json", json.dumps(centroids.tolist()))
     segments = [{"key": f"{path}/cluster={c}", "kind": "cluster", "version": number, "cluster": c, "seq": state["seq"], "rows": counts.get(c, 0), "bytes": b} for c, b in sorted(sizes.items())]
     garbage: list[str] = []
 
@@ -118,7 +120,7 @@ def _build(store: Store, force: bool, max_clusters: int) -> dict:
         gone += [s["index_path"]] if s["index_path"] else []
         garbage[:] = s["retired"]
         later = [x for x in s["segments"] if x["kind"] == "wal" and x["seq"] > state["seq"]]
-        return s | {"index_version": number, "clusters": len(centroids), "centroids": centroids.tolist(), "index_path": path, "segments": segments + later, "retired": gone}
+        return s | {"index_version": number, "clusters": len(centroids), "centroids": f"{path}/_centroids.json", "index_path": path, "segments": segments + later, "retired": gone}
 
     try:
         store.change(finish)

@@ -57,7 +57,7 @@ def plan_query(
         wanted = min(max(1, int(DEFAULT_NPROBE if nprobe is None else nprobe)), state["clusters"])
         q = np.asarray(query)
         routed = unit(q[None, :])[0] if metric == COSINE else q
-        plan.clusters = nearest_centroids(np.asarray(state["centroids"]), routed, wanted)
+        plan.clusters = nearest_centroids(np.asarray(store.centroids(state)), routed, wanted)
         plan.exhaustive = len(plan.clusters) == state["clusters"]
         plan.kind = "exhaustive" if plan.exhaustive else "probed"
         plan.segments = sum(s["kind"] == "wal" or s["cluster"] in plan.clusters for s in state["segments"])

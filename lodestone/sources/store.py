@@ -38,6 +38,8 @@ INDEX = T.StructType([*ROW.fields, T.StructField("cluster", T.IntegerType())])
 UPSERT, DELETE = "upsert", "delete"
 KEPT_STATES = 20
 ATTEMPTS = 8
+#: Ids of the log tail that are broadcast to the index rows (at most 256 bytes each); a longer tail is joined by shuffling.
+BROADCAST_IDS = 100_000
 #: Readers that a store remembers; files never change once a state names them, so their listing stays true.
 READERS = 8
 
@@ -48,6 +50,7 @@ class Store:
         self.files = Files(spark)
         self.home = f"{self.root}/{name}"
         self.readers: dict[tuple[str, ...], DataFrame] = {}
+        self.routes: tuple[str, list[list[float]]] | None = None
         self.known: tuple[int, dict] | None = None  # when the last state that was read was written, and the state
 
     # States
@@ -140,7 +143,25 @@ class Store:
         if not state["index_version"]:
             return live
         rows = self.indexed(state, clusters).select("id", "vector", "attrs")
-        return rows.join(tail.select("id"), "id", "left_anti").unionByName(live) if has_tail else rows
+        if not has_tail:
+            return rows
+        ids = tail.select("id")
+        if sum(s["rows"] for s in state["segments"] if s["kind"] == "wal") <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return rows.join(ids, "id", "left_anti").unionByName(live)
+
+    def count(self, state: dict) -> int:
+        """Number of live rows; without a log tail the state knows it."""
+        if any(s["kind"] == "wal" for s in state["segments"]):
+            return self.current(state).count()
+        return sum(s["rows"] for s in state["segments"])
+
+    def centroids(self, state: dict) -> list[list[float]]:
+        """Centroids of the index version, read once."""
+        path = f"{self.home}/{state['centroids']}"
+        if self.routes is None or self.routes[0] != path:
+            self.routes = (path, json.loads(self.files.read(path)))
+        return self.routes[1]
 
     def unindexed(self, state: dict) -> DataFrame:
         return self.latest_tail(state).filter(F.col("op") == UPSERT).select("id", "vector", "attrs")

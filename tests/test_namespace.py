@@ -206,6 +206,20 @@ def test_automatic_and_failed_builds(engine, monkeypatch):
     assert ns.maybe_build()["status"] == "built" and ns.stats()["rows"] == 2500
 
 
+def test_long_tails_and_odd_ids(engine, monkeypatch):
+    from lodestone.sources import store
+
+    ns = engine.namespace("odd")
+    ids = ["ünï", "a/b", " ", "x" * 256, "日本", "it's", "%"]
+    ns.upsert([{"id": i, "vector": [float(n), 1.0]} for n, i in enumerate(ids)])
+    ns.build_index()
+    ns.upsert([{"id": i, "vector": [9.0, 9.0]} for i in ids[:2]])
+    for limit in (100, 0):  # broadcast and shuffled anti join
+        monkeypatch.setattr(store, "BROADCAST_IDS", limit)
+        assert [r["id"] for r in ns.list()["rows"]] == sorted(ids) and ns.stats()["rows"] == len(ids)
+        assert {r["id"] for r in ns.get(ids[:2], True) if r["vector"] == [9.0, 9.0]} == set(ids[:2])
+
+
 def test_concurrent_commits_are_serialised(engine):
     ns = engine.namespace("race")
     ns.upsert([{"id": "a", "vector": [1.0]}])
