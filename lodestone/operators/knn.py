@@ -18,12 +18,6 @@ QUERY_BYTES = 16 << 20
 TILE = 1 << 21
 
 
-def top_k(rows: DataFrame, query: list[float], k: int, metric: str, keep: list[Column | str] = (), scorer: str = "arrow") -> DataFrame:
-    """The k best rows (id, dist, ``keep``), best first, ties by id: every task keeps k rows and only those travel."""
-    scored = rows.select("id", SCORERS[scorer]("vector", query, check_metric(metric)).alias("dist"), *keep)
-    return scored.orderBy(best_first(metric), F.col("id")).limit(k)
-
-
 def projection(include_attributes: bool | list[str] | None, include_vectors: bool) -> list[Column]:
     """Columns beside id and dist."""
     out = []
@@ -36,6 +30,27 @@ def projection(include_attributes: bool | list[str] | None, include_vectors: boo
     return out
 
 
+def top_k(
+    rows: DataFrame,
+    query: list[float],
+    k: int,
+    metric: str,
+    include_attributes: bool | list[str] | None = False,
+    include_vectors: bool = False,
+    scorer: str = "arrow",
+) -> DataFrame:
+    """The k best rows (id, dist, and what is included), best first, ties by id.
+
+    Every task keeps k rows and only those travel. Attributes are read only if they are asked for, and picked from the
+    k rows that are left.
+    """
+    wants_attributes = include_attributes is not None and include_attributes is not False
+    raw = (["attrs"] if wants_attributes else []) + (["vector"] if include_vectors else [])
+    scored = rows.select("id", SCORERS[scorer]("vector", query, check_metric(metric)).alias("dist"), *raw)
+    best = scored.orderBy(best_first(metric), F.col("id")).limit(k)
+    return best.select("id", "dist", *projection(include_attributes, include_vectors)) if raw else best
+
+
 def knn_join(rows: DataFrame, queries: DataFrame, k: int, metric: str, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, id, dist): the k nearest rows (id, vector) of every query (id, vector).
 

@@ -42,9 +42,8 @@ def plan_query(
     nprobe: int | None = None,
     scorer: str = "arrow",
 ) -> QueryPlan:
-    keep = projection(include_attributes, include_vectors)
     if state["dim"] is None:
-        rows = store.current(state).select("id", F.lit(0.0).alias("dist"), *keep).limit(0)
+        rows = store.current(state).select("id", F.lit(0.0).alias("dist"), *projection(include_attributes, include_vectors)).limit(0)
         return QueryPlan("empty", rows)
     query = check_vector(vector, state["dim"])
     k = clamp_top_k(top_k_rows)
@@ -65,5 +64,5 @@ def plan_query(
     else:
         source = store.current(state)
     plan.scanned = source
-    plan.rows = top_k(source, query, k, metric, keep, scorer)
+    plan.rows = top_k(source, query, k, metric, include_attributes, include_vectors, scorer)
     return plan

@@ -140,8 +140,7 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_pick_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = knn.projection(["bucket", "absent", "label"], True)
-    found = knn.top_k(vectors(spark, sf_dir), query_vector(spark, sf_dir), 10, M.DOT, keep)
+    found = knn.top_k(vectors(spark, sf_dir), query_vector(spark, sf_dir), 10, M.DOT, ["bucket", "absent", "label"], True)
     return ranked(found.select("id", "dist", "attributes", F.round(F.col("vector")[0].cast("double"), 6).alias("first")), M.DOT)
 
 
