@@ -16,7 +16,7 @@ from .functions.attributes import merged
 from .functions.metrics import check_metric
 from .operators import ivf
 from .operators.filters import compile_filter
-from .operators.knn import best_first, knn_join, top_k
+from .operators.knn import knn_join
 from .plans.planner import QueryPlan, plan_query
 from .sources.catalog import namespaces
 from .sources.store import DELETE, UPSERT, Store, by_id
@@ -325,4 +325,4 @@ def _query_stats(took: int, segments: int, scored: int, exhaustive: bool, versio
     return {"took_ms": took, "segments_scanned": segments, "vectors_scored": scored, "exhaustive": exhaustive, "index_version": version, "stale_candidates": 0}
 
 
-__all__ = ["Engine", "EngineError", "Namespace", "best_first", "top_k"]
+__all__ = ["Engine", "EngineError", "Namespace"]

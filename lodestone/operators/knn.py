@@ -89,7 +89,8 @@ def knn_join(rows: DataFrame, queries: DataFrame, k: int, metric: str, query_byt
                         d, new = np.take_along_axis(d, order, 1), np.take_along_axis(new, order, 1)
                     cost, mine = np.concatenate([cost, d], axis=1), np.concatenate([mine, new], axis=1)
                     if cost.shape[1] > k:
-                        order = np.stack([sorted(range(cost.shape[1]), key=lambda j, i=i: (cost[i, j], mine[i, j]))[:k] for i in range(len(q))])
+                        rank_of_id = np.unique(mine, return_inverse=True)[1].reshape(mine.shape)
+                        order = np.lexsort((rank_of_id, cost), axis=1)[:, :k]
                         cost, mine = np.take_along_axis(cost, order, 1), np.take_along_axis(mine, order, 1)
             width = cost.shape[1]
             for at in range(0, len(q), max(1, (1 << 16) // max(1, width))):
