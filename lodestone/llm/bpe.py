@@ -17,12 +17,14 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Stands for the end-of-word suffix inside words; byte-level text never holds it.
 END = "\ue000"
@@ -48,15 +50,11 @@ class Bpe:
     """Codec for one tokenizer file; ``encode`` and ``decode`` match the library that the file belongs to."""
 
     def __init__(self, source: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(source)
+        self.source = source
         model = spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
         self.suffix = suffix
-        self.library = Tokenizer.from_str(source)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         inner = {t.replace(suffix, END) if suffix and t.endswith(suffix) else t: i for t, i in model["vocab"].items()}
@@ -94,6 +92,11 @@ class Bpe:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's tokenizer, for its normaliser; most workers never need it."""
+        return Tokenizer.from_str(self.source)
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges can leave tokens a and b side by side."""
         known = self.pairs.get((a, b))

@@ -45,6 +45,14 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows, as rows are whole texts here and every task holds
+    several copies of a batch. A session that has chosen a size of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,17 +11,22 @@ counted with salted groups, so no task holds all pieces of a length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from .bpe import byte_chars
 from .common import scratch
 
 CAPACITY = 2048
@@ -43,22 +48,21 @@ class ByteBpe:
     """Token ids of a byte-level BPE file; Latin-1 texts go through a faster encoder with the same ranks."""
 
     def __init__(self, source: str):
-        import json
-
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        from .bpe import byte_chars
-
         spec = json.loads(source)
-        self.library = Tokenizer.from_str(source)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.source = source
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         bytes_of = {c: b for b, c in enumerate(byte_chars())}
         ranks = {bytes(bytes_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's tokenizer, which most workers never need."""
+        made = Tokenizer.from_str(self.source)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def encode(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
             return self.library.encode(text, add_special_tokens=False).ids

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, lm, packing, quality, urlfilter, warc
-from .common import held_out, table
+from .common import held_out, text_batches
+from .common import table as read_table
 from .exact_dedup import exact_dedup
 from .simhash import simhash_near_dedup
 from .topk import top_k
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), payload="digest")
     return packing.pack(cut)
