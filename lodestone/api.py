@@ -61,8 +61,8 @@ class Namespace:
         """Rows of up to 1000 ids, in order of id; unknown ids are left out, repeated ones come once."""
         ids = validate.check_batch(ids, "ids", validate.MAX_FETCH_IDS)
         wanted = self.rows().filter(F.col("id").isin(sorted({str(i) for i in ids})))
-        wanted = wanted.select("id", "attrs", *(["vector"] if include_vectors else [])).orderBy("id")
-        return [_stored(r) for r in wanted.collect()]
+        found = wanted.select("id", "attrs", *(["vector"] if include_vectors else [])).collect()
+        return [_stored(r) for r in sorted(found, key=lambda r: r.id)]
 
     def get_one(self, row_id: str, include_vectors: bool = False) -> dict:
         found = self.get([row_id], include_vectors)

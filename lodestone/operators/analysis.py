@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import refuse
 from ..functions.attributes import scalar_keys
 from ..functions.metrics import matrix
+from ..session import scratch_root
 
 PCA_ROWS = 1_000
 PCA_STEPS = 60
@@ -50,26 +51,32 @@ def category_keys(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(scalar_keys("attrs")).alias("key")).distinct()
 
 
-def percentile_nearest(values: DataFrame, column: str, p: float) -> DataFrame:
-    """The element at place floor((n - 1) p) in order; one row (``value``, null for no rows).
+def percentile_nearest(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """(p, value) for each share p: the element at place floor((n - 1) p) in order; no rows if there are no values.
 
-    The place is found in range-partitioned order, so no task holds all values.
+    Values are put in range-partitioned order and numbered within their partitions, so no task holds all of them. The
+    numbered values are written once: a second sort could draw other borders.
     """
+    spark = values.sparkSession
     rows = values.select(F.col(column).alias("value")).filter(F.col("value").isNotNull())
-    n = rows.count()
-    if not n:
-        return rows.limit(0).agg(F.max("value").alias("value"))
-    place = math.floor((n - 1) * p)
     ordered = rows.repartitionByRange("value").sortWithinPartitions("value")
-    numbered = ordered.select("value", F.spark_partition_id().alias("part"))
-    sizes = dict(sorted((r["part"], r["count"]) for r in numbered.groupBy("part").count().collect()))
-    before = 0
-    for part, size in sizes.items():
-        if place < before + size:
-            own = numbered.filter(F.col("part") == part).select("value").orderBy("value")
-            return own.offset(place - before).limit(1)
-        before += size
-    raise AssertionError("no such place")
+    # A monotonic id holds the partition in its upper bits and the place within it in the lower 33.
+    numbered = ordered.select("value", F.monotonically_increasing_id().alias("n"))
+    path = f"{scratch_root(spark)}/percentile"
+    numbered.select("value", F.shiftright("n", 33).alias("part"), F.expr("n & 8589934591L").alias("place")).write.parquet(path)
+    written = spark.read.parquet(path)
+    sizes = sorted((r["part"], r["count"]) for r in written.groupBy("part").count().collect())
+    total = sum(n for _, n in sizes)
+    wanted = []
+    for p in shares if total else ():
+        place = math.floor((total - 1) * p)
+        for part, n in sizes:
+            if place < n:
+                wanted.append((float(p), part, place))
+                break
+            place -= n
+    asked = spark.createDataFrame(wanted, "p double, part long, place long")
+    return written.join(F.broadcast(asked), ["part", "place"]).select("p", "value")
 
 
 def storage_cost(size: Column) -> Column:

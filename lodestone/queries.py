@@ -301,9 +301,7 @@ def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    parts = [analysis.percentile_nearest(rows, "value", p).select(F.lit(p).alias("p"), "value") for p in (0.0, 0.5, 0.9, 0.99)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return analysis.percentile_nearest(table(spark, sf_dir, "events"), "value", [0.0, 0.5, 0.9, 0.99])
 
 
 PERCENTILE_SQL = """

@@ -105,9 +105,9 @@ def test_kmeans():
 
 def test_analysis(spark):
     values = spark.createDataFrame([(float(i),) for i in [5, 1, 3, 2, 4, 9, 7, 8, 6, 10]] + [(None,)], "v double")
-    for p in (0.0, 0.5, 0.9, 0.99, 1.0):
-        assert analysis.percentile_nearest(values, "v", p).first().value == 1 + math.floor(9 * p)
-    assert analysis.percentile_nearest(values.limit(0), "v", 0.5).first().value is None
+    shares = [0.0, 0.5, 0.9, 0.99, 1.0]
+    assert dict(analysis.percentile_nearest(values.repartition(3), "v", shares).collect()) == {p: 1 + math.floor(9 * p) for p in shares}
+    assert analysis.percentile_nearest(values.limit(0), "v", [0.5]).count() == 0
     line = np.array([[t, 2 * t, 0.0] for t in range(-5, 6)])
     points = analysis.pca2d(line)
     assert np.abs(points[:, 1]).max() < 1e-9 and np.abs(points[:, 0]) == pytest.approx(np.abs(np.arange(-5, 6)) * math.sqrt(5))
