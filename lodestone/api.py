@@ -152,18 +152,24 @@ class Namespace:
         return {"created": created}
 
     def upsert(
-        self, rows: list[dict] | DataFrame, distance_metric: str | None = None, applied: tuple[str, int] | None = None, limit: int | None = validate.MAX_BATCH_ROWS
+        self,
+        rows: list[dict] | DataFrame,
+        distance_metric: str | None = None,
+        applied: tuple[str, int] | None = None,
+        limit: int | None = validate.MAX_BATCH_ROWS,
+        unique: bool | None = None,
     ) -> dict:
         """Insert or replace rows, vector and attributes both; of rows with one id the last counts.
 
         Up to 10,000 dicts (id, vector, attributes), or a DataFrame of any size with ``id``, ``vector`` and optionally
-        ``attributes`` (JSON text, struct, map or variant) and ``pos``, which orders rows with one id.
+        ``attributes`` (JSON text, struct, map or variant) and ``pos``, which orders rows with one id. Whether ids repeat is
+        found out from the ids alone, so that vectors are shuffled only if they do; ``unique`` tells it beforehand.
         """
         if distance_metric is not None:
             check_metric(distance_metric)
         created, count = False, 0
         prepared = None if isinstance(rows, DataFrame) else self.checked(validate.check_batch(rows, limit=limit or len(rows)))
-        batch = _from_frame(rows) if prepared is None else None
+        batch = _from_frame(rows, unique) if prepared is None else None
 
         def make(state: dict) -> tuple[DataFrame, dict]:
             nonlocal created
@@ -299,7 +305,7 @@ def _with_metric(state: dict, metric: str | None) -> dict:
     return state
 
 
-def _from_frame(rows: DataFrame) -> DataFrame:
+def _from_frame(rows: DataFrame, unique: bool | None) -> DataFrame:
     """A batch from a DataFrame: one row per id, attributes as JSON text."""
     kinds = dict(rows.dtypes)
     if "attributes" not in kinds or kinds["attributes"] == "void":
@@ -308,7 +314,9 @@ def _from_frame(rows: DataFrame) -> DataFrame:
         attrs = F.col("attributes") if kinds["attributes"] == "string" else F.to_json("attributes")
     pos = F.col("pos").cast("long") if "pos" in kinds else F.monotonically_increasing_id()
     batch = rows.select(F.col("id").cast("string").alias("id"), F.lit(UPSERT).alias("op"), F.col("vector").cast("array<float>").alias("vector"), attrs.alias("attrs"), pos.alias("pos"))
-    return by_id(batch, F.col("pos")).select("id", "op", "vector", "attrs", "pos")
+    if unique is None:
+        unique = batch.groupBy("id").count().filter("count > 1").isEmpty()
+    return batch if unique else by_id(batch, F.col("pos")).select("id", "op", "vector", "attrs", "pos")
 
 
 def _stored(row) -> dict:

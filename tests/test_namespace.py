@@ -158,6 +158,10 @@ def test_frames(engine, spark):
     for bad in (df.limit(1).selectExpr("id", "array(1D) vector"), df.selectExpr("cast(null as string) id", "vector"), df.selectExpr("id", "vector", "'[1]' attributes"), df.selectExpr("id", "array(1D, cast('NaN' as double)) vector")):
         with pytest.raises(EngineError):
             ns.upsert(bad)
+    twice = df.selectExpr("id", "vector", "10 - id as pos").unionByName(df.selectExpr("id", "transform(vector, x -> -x) as vector", "id as pos"))
+    for unique in (None, False):
+        assert ns.upsert(twice, unique=unique)["upserted"] == 2
+        assert [r["vector"] for r in ns.get(["1", "2"], True)] == [[1.0, 2.0], [3.0, 4.0]]
     nested = df.selectExpr("id", "vector", "struct(id as k, array('x') as tags) as attributes")
     ns.upsert(nested)
     assert ns.get_one("2")["attributes"] == {"k": 2, "tags": ["x"]} and ns.stats()["rows"] == 2
