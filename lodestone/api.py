@@ -16,11 +16,13 @@ from .functions.attributes import merged
 from .functions.metrics import check_metric
 from .operators import ivf
 from .operators.filters import compile_filter
-from .operators.knn import knn_join
+from .operators.knn import knn_join, projection
 from .plans.planner import QueryPlan, plan_query
 from .sources.catalog import namespaces
 from .sources.store import DELETE, UPSERT, Store, by_id
 
+#: From this many stored rows on, a query's attributes are fetched for its results only.
+LATE_ROWS = 1_000_000
 _VECTOR = pa.list_(pa.float32())
 _BATCH = pa.schema([("id", pa.string()), ("op", pa.string()), ("vector", _VECTOR), ("attrs", pa.string()), ("pos", pa.int64())])
 _PATCH = pa.schema([("id", pa.string()), ("new_vector", _VECTOR), ("patch", pa.string()), ("pos", pa.int64())])
@@ -95,10 +97,16 @@ class Namespace:
         state = self.store.state()
         if state["dim"] is None:
             return {"rows": [], "stats": _query_stats(0, 0, 0, True, 0)}
-        options = {"top_k_rows": top_k, "filters": filters, "include_attributes": include_attributes, "include_vectors": include_vectors, "metric": distance_metric, "nprobe": nprobe}
+        # Over many rows, attributes are fetched afterwards for the rows found, not read for every row scored.
+        late = include_attributes is not None and include_attributes is not False and sum(s["rows"] for s in state["segments"]) >= LATE_ROWS
+        options = {"top_k_rows": top_k, "filters": filters, "include_attributes": False if late else include_attributes, "include_vectors": include_vectors, "metric": distance_metric, "nprobe": nprobe}
         plan = plan_query(_Observed(self.store, seen), state, vector, **options)
         rows = [_found(r) for r in plan.rows.collect()]
         scored = seen.get.get("n", 0)
+        if late and rows:
+            near = self.store.current(state, plan.clusters if plan.kind == "probed" else None).filter(F.col("id").isin([r["id"] for r in rows]))
+            attributes = {r.id: json.loads(r.attributes) for r in near.select("id", *projection(include_attributes, False)).collect()}
+            rows = [r | {"attributes": attributes[r["id"]]} for r in rows]
         return {"rows": rows, "stats": _query_stats(int(1000 * (time.time() - started)), plan.segments, scored, plan.exhaustive, plan.index_version)}
 
     def query_many(self, queries: DataFrame, top_k: int = 10, filters: object = None, distance_metric: str | None = None) -> DataFrame:

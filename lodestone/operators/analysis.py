@@ -15,6 +15,8 @@ from ..session import scratch_root
 
 PCA_ROWS = 1_000
 PCA_STEPS = 60
+# Where the power iteration starts, sin(a j + b c) for dimension j and component c.
+START_A, START_B = 12.9898, 78.233
 #: Price of a stored GiB and month.
 STORAGE_PRICE = 0.015
 
@@ -24,7 +26,7 @@ def pca2d(vectors: np.ndarray) -> np.ndarray:
     x = vectors - vectors.mean(axis=0)
     found: list[np.ndarray] = []
     for c in range(2):
-        w = np.sin(np.arange(x.shape[1]) * 12.9898 + c * 78.233)
+        w = np.sin(np.arange(x.shape[1]) * START_A + c * START_B)
         for _ in range(PCA_STEPS):
             w = x.T @ (x @ w)
             whole = np.sqrt(np.square(w).sum())

@@ -89,6 +89,16 @@ def test_projection_and_metrics(crud):
     assert ns.similar("row-7", 1)["rows"][0]["id"] == "row-7"
 
 
+def test_attributes_fetched_afterwards(crud, monkeypatch):
+    from lodestone import api
+
+    ns, rows = crud
+    ask = lambda: [ns.query(rows[7]["vector"], 9, filters=f, include_attributes=a)["rows"] for f in (None, ["group", "Eq", 2], ["group", "Eq", 77]) for a in (True, ["price"], [])]
+    at_once = ask()
+    monkeypatch.setattr(api, "LATE_ROWS", 0)
+    assert ask() == at_once
+
+
 def test_fetch_and_pages(crud):
     ns, rows = crud
     got = ns.get(["row-5", "nope", "row-1", "row-5"], include_vectors=True)
