@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 def scratch_root(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share; below a local one where that is not set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodestone.scratch", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestone.scratch", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("lodestone.scratch", base)
