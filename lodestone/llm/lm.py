@@ -1,22 +1,22 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Unigram counts cover every word of all training texts. Tasks turn chunks of documents into sorted word
-hashes with, per word, the documents it is in; these blobs are dealt by hash to buckets, where totals
-are summed and each document's share of the unigram sums is sent back. No vocabulary leaves the buckets
-but words with at least the share ``theta`` of all training tokens, at most 1 / theta of them whatever
-the corpus. N-grams up to ``order`` with that share are counted level by level (an n-gram can only be
-that frequent if its parts are), so the automaton has at most order / theta arcs and can be broadcast.
-
-States of the automaton are contexts that frequent n-grams continue. An arc carries
+Tasks turn chunks of documents into tokens, written once, and into sorted hashes of their n-grams up to ``order``
+with their counts in training texts. These blobs are dealt by hash to buckets, where totals are summed and each
+chunk's share of the totals is sent back. Every n-gram of the training texts counts, whatever the corpus; neither
+the vocabulary nor the n-grams leave the buckets but as counts for the chunks that hold them.
+
+States of the automaton are contexts that n-grams continue. An arc carries
 log10((c(h, w) + m P(w | h')) / (c(h) + m0)), where h' is h without its first word and the mass m = m0 + c(h) - (counts
-on arcs of h) is what rarer continuations and smoothing leave; the failure arc to h' carries
+on arcs of h) is what dropped continuations and smoothing leave; the failure arc to h' carries
 log10(m / (c(h) + m0)). At the root a word has (1 - u) c / N and all words never seen in training share
-u, the share of words seen once (Good-Turing). A document is traversed once from left to right.
+u, the share of words seen once (Good-Turing). A document is traversed once from left to right; as a step's weight
+depends on the last ``order`` words alone, a chunk takes the steps of all its positions at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import scratch
 from .tokens import mix, word_hashes
 
-THETA = 1e-5
+#: Share of the training tokens that an n-gram needs to be kept; by default every one is.
+THETA = 0.0
 ORDER = 3
 SMOOTHING = 4.0
 #: Bytes of text that a task handles at once (a longer document is a chunk of its own).
@@ -68,87 +69,173 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
 
 
 def _deal(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    """Bucket of each hash; it grows with the hash, so that sorted hashes are in order of buckets."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def _packed(n: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes, as many as the largest one needs."""
+    width = np.min_scalar_type(int(n.max(initial=0))).itemsize
+    planes = n.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{packed[0]}").ravel()
+
 
+def _pack_hashes(h: np.ndarray) -> bytes:
+    return _packed(np.diff(h, prepend=np.uint64(0)))  # modulo 2**64; sorted hashes have small differences
 
-def _entries(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    """Rows of two kinds: one per document (bucket -1), and per chunk and bucket the words with their documents."""
+
+def _unpack_hashes(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(packed).astype(np.uint64), dtype=np.uint64)
+
+
+def grams_of(h: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per n up to ``order``: positions where an n-gram ends, its hash, and the hash of its context.
+
+    END before a document counts as its first word. ``h`` holds tokens, so n-grams of n > 1 end at each document's first or a later one.
+    """
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    place = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    at, key, context = np.arange(len(h)), h, np.zeros(len(h), np.uint64)
+    yield at, key, context
+    before = np.full(len(h), END)  # the hash of the (n - 1)-gram that ends just before each position
+    for n in range(2, order + 1):
+        if n == 2:
+            before[~first] = h[:-1][~first[1:]]
+        else:
+            there = place >= n - 2
+            last = np.zeros(len(h), np.uint64)
+            last[at] = key
+            at = np.flatnonzero(there)
+            before = last[at - 1]
+        context = before
+        key = mix((mix(context + np.uint64(n)) ^ h[at]) * np.uint64(0x9FB21C651E98DF25))
+        yield at, key, context
+
+
+def _sorted(key: np.ndarray, context: np.ndarray, n: int, arcs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(an index for each distinct n-gram in the order in which they are dealt, the number of the n-gram at each position)."""
+    if not arcs or n == 1:
+        _, index, back = np.unique(key, return_index=True, return_inverse=True)
+        return index, back
+    order = np.lexsort((key, context))
+    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])])
+    back = np.empty(len(key), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+_TOKENS = "chunk bigint, trained bigint, ids array<string>, held array<boolean>, sizes array<int>, words binary, tokens binary"
+_BLOBS = "chunk bigint, n int, bucket int, keys binary, contexts binary, times binary"
+_COUNTS = "chunk bigint, n int, bucket int, words bigint, once bigint, counts binary, arcs binary"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per chunk: its documents' ids, whether they are held out, their sizes, and their tokens as places among its words."""
     part = TaskContext.get().partitionId()
     for seq, (rows, h, doc) in enumerate(chunks(batches)):
-        chunk = (part << 32) | seq
-        n = np.bincount(doc, minlength=len(rows))
-        yield pd.DataFrame({"chunk": chunk, "bucket": -1, "local": np.arange(len(rows)), "key": rows["__key"], "hash": rows["__hash"], "held": rows["__held"], "n": n, **dict.fromkeys(("keys", "sizes", "docs", "mult"))})
-        where = _deal(h, buckets)
-        order = np.lexsort((h, where))  # stable: the documents of a word stay in order
-        h, doc, where = h[order], doc[order], where[order]
-        new_key = np.concatenate([[True], h[1:] != h[:-1]])
-        new = new_key.copy()
-        new[1:] |= doc[1:] != doc[:-1]
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(h)))
-        pieces = (times + 254) // 255  # an entry counts up to 255 occurrences
-        entry = np.repeat(np.arange(len(at)), pieces)
-        mult = np.full(len(entry), 255, np.uint8)
-        mult[np.cumsum(pieces) - 1] = times - 255 * (pieces - 1)
-        flagged = doc[at[entry]].astype("<u2") | ((~rows["__held"].to_numpy(bool))[doc[at[entry]]].astype("<u2") << 15)
-        key_at = np.flatnonzero(new_key)
-        first_entry = np.searchsorted(at[entry], key_at)
-        per_key = np.diff(np.append(first_entry, len(entry))).astype("<u4")
-        keys, bucket = h[key_at].astype("<u8"), where[key_at]
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        stop = np.append(cut[1:], len(keys))
-        e0, e1 = first_entry[cut], np.append(first_entry, len(entry))[stop]
-        yield pd.DataFrame({
-            "chunk": chunk, "bucket": bucket[cut], "local": -1, "key": None, "hash": 0, "held": False, "n": 0,
-            "keys": [keys[a:b].tobytes() for a, b in zip(cut, stop)],
-            "sizes": [per_key[a:b].tobytes() for a, b in zip(cut, stop)],
-            "docs": [flagged[a:b].tobytes() for a, b in zip(e0, e1)],
-            "mult": [mult[a:b].tobytes() for a, b in zip(e0, e1)],
-        })
-
-
-_ENTRY = "chunk bigint, bucket int, local int, key string, hash bigint, held boolean, n bigint, keys binary, sizes binary, docs binary, mult binary"
-_SUMS = "chunk bigint, docs binary, known binary, base binary, log binary, words bigint, once bigint, heads binary, counts binary"
+        held = rows["__held"].to_numpy(bool)
+        sizes = np.bincount(doc, minlength=len(rows))
+        words, tokens, times = np.unique(h, return_inverse=True, return_counts=True)
+        common = np.argsort(-times, kind="stable")  # small numbers for common words
+        place = np.empty(len(words), np.int64)
+        place[common] = np.arange(len(words))
+        row = ((part << 32) | seq, int(sizes[~held].sum()), rows["__id"].tolist(), held.tolist(), sizes.tolist(), _pack_hashes(words[common]), _packed(place[tokens]))
+        yield pd.DataFrame([row], columns=_columns(_TOKENS))
+
+
+def _read(r: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each token, row number of each token, sizes) of a row of ``_tokens``."""
+    sizes = np.asarray(r.sizes, np.int64)
+    return _unpack_hashes(r.words)[_unpacked(r.tokens)], np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def _blobs(batches: Iterator[pd.DataFrame], order: int, buckets: int, arcs: bool) -> Iterator[pd.DataFrame]:
+    """Per chunk, n and bucket the n-grams, their contexts if ``arcs``, and how often training texts hold them."""
+    for r in (r for b in batches for r in b.itertuples()):
+        h, doc, _ = _read(r)
+        train = ~np.asarray(r.held, bool)
+        for n, (at, key, context) in enumerate(grams_of(h, doc, order), start=1):
+            if not len(at):
+                break
+            index, back = _sorted(key, context, n, arcs)
+            times = np.bincount(back[train[doc[at]]], minlength=len(index))
+            key, context, out = key[index], context[index], []
+            bucket = _deal(context if arcs and n > 1 else key, buckets)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            for a, b in zip(cut, np.append(cut[1:], len(key))):
+                contexts = _pack_hashes(context[a:b]) if arcs and n > 1 else None
+                out.append((r.chunk, n, int(bucket[a]), _pack_hashes(key[a:b]), contexts, _packed(times[a:b])))
+            yield pd.DataFrame(out, columns=_columns(_BLOBS))
 
 
 def _totals(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """For one bucket: a row of unigram sums per chunk, and one (chunk -1) with the vocabulary's figures."""
-    chunks_, key_parts, counts, inner = group["chunk"].tolist(), [], [], []
-    for keys, sizes, docs, mult in zip(group["keys"], group["sizes"], group["docs"], group["mult"]):
-        keys, sizes = np.frombuffer(keys, "<u8"), np.frombuffer(sizes, "<u4")
-        docs, mult = np.frombuffer(docs, "<u2"), np.frombuffer(mult, np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        counts.append(np.add.reduceat(mult * (docs >> 15).astype(np.int64), starts.astype(np.int64)))
-        key_parts.append(keys)
-        inner.append((sizes, docs & 0x7FFF, mult))
-    every, back = np.unique(np.concatenate(key_parts), return_inverse=True)
+    """For one n and bucket: per chunk the counts of its n-grams and, if they came with contexts, those on the arcs of the contexts."""
+    n, bucket = int(group["n"].iloc[0]), int(group["bucket"].iloc[0])
+    parts = [_unpack_hashes(k) for k in group["keys"]]
+    every, index, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
     total = np.zeros(len(every), np.int64)
-    np.add.at(total, back, np.concatenate(counts))
+    np.add.at(total, back, np.concatenate([_unpacked(t) for t in group["times"]]).astype(np.int64))
+    on_arcs = None
+    if group["contexts"].iloc[0] is not None:
+        _, which = np.unique(np.concatenate([_unpack_hashes(c) for c in group["contexts"]])[index], return_inverse=True)
+        kept = np.zeros(which.max() + 1, np.int64)
+        np.add.at(kept, which, np.where(total >= least, total, 0))
+        on_arcs = kept[which]
     out, at = [], 0
-    for chunk, keys, (sizes, docs, mult) in zip(chunks_, key_parts, inner):
-        c = np.repeat(total[back[at : at + len(keys)]], sizes)
+    for i, (chunk, keys) in enumerate(zip(group["chunk"].tolist(), parts)):
+        own = back[at : at + len(keys)]
         at += len(keys)
-        there, local = np.unique(docs, return_inverse=True)
-        seen = c > 0
-        c = np.maximum(c, 1)
-        per = [np.bincount(local, mult * x, minlength=len(there)) for x in (seen, seen * np.log10(c + 0.5), seen * np.log10(c))]
-        out.append((chunk, there.astype("<u2").tobytes(), per[0].astype("<u4").tobytes(), per[1].astype("<f8").tobytes(), per[2].astype("<f8").tobytes(), 0, 0, None, None))
-    head = total >= least
-    out.append((-1, None, None, None, None, int((total > 0).sum()), int((total == 1).sum()), every[head].astype("<u8").tobytes(), total[head].astype("<i8").tobytes()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _SUMS.split(", ")])
-
-
-def _add_up(group: pd.DataFrame) -> pd.DataFrame:
-    """Unigram sums per document of one chunk."""
-    size = CHUNK_DOCS + 1
-    known, base, log = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-    for r in group.itertuples():
-        docs = np.frombuffer(r.docs, "<u2")
-        known[docs] += np.frombuffer(r.known, "<u4")
-        base[docs] += np.frombuffer(r.base, "<f8")
-        log[docs] += np.frombuffer(r.log, "<f8")
-    at = np.flatnonzero(known)
-    return pd.DataFrame({"chunk": group["chunk"].iloc[0], "local": at, "known": known[at], "base": base[at], "log": log[at]})
+        words, once = (int((total > 0).sum()), int((total == 1).sum())) if i == 0 and n == 1 else (0, 0)
+        out.append((chunk, n, bucket, words, once, _packed(total[own]), None if on_arcs is None else _packed(on_arcs[own])))
+    return pd.DataFrame(out, columns=_columns(_COUNTS))
+
+
+def _scored(chunk: pd.DataFrame, counts: pd.DataFrame, order: int, arcs: bool, least: float, tokens: int, unseen: float, smoothing: float) -> pd.DataFrame:
+    """Sums per document of one chunk from its tokens and the counts that the buckets sent back."""
+    r = next(chunk.itertuples())
+    h, doc, sizes = _read(r)
+    counts = counts.sort_values(["n", "bucket"])
+    # Counts of the (n - 1)-grams that end at each position; shifted by one, they are those of the contexts.
+    p = below = None
+    for n, (at, key, context) in enumerate(grams_of(h, doc, order), start=1):
+        if not len(at):
+            break
+        own = counts[counts["n"] == n]
+        _, back = _sorted(key, context, n, arcs)
+        c = np.concatenate([_unpacked(x) for x in own["counts"]]).astype(np.int64)[back]
+        if n == 1:
+            known, p = c > 0, np.where(c > 0, (1 - unseen) / max(1, tokens) * c, unseen)
+            base = np.log10(c + 0.5)
+            starts = int(c[h == END][0])
+            below = c
+        else:
+            # The context of a document's first word is END alone.
+            total = np.where(np.concatenate([[True], doc[1:] != doc[:-1]])[at], starts, below[at - 1])
+            if arcs:
+                on = np.concatenate([_unpacked(x) for x in own["arcs"]]).astype(np.int64)[back]
+            else:
+                on = total
+            mass = smoothing + np.maximum(0, total - on)
+            p[at] = np.where(on > 0, (np.where(c >= least, c, 0) + mass * p[at]) / (total + smoothing), p[at])
+            below = np.zeros(len(h), np.int64)
+            below[at] = c
+    return pd.DataFrame({
+        "id": list(r.ids),
+        "held": list(r.held),
+        "n_tokens": sizes,
+        "known": np.bincount(doc, known, minlength=len(sizes)).astype(np.int64),
+        "base": np.bincount(doc, base, minlength=len(sizes)),
+        "score": np.bincount(doc, np.log10(p), minlength=len(sizes)),
+    })
 
 
 class Heads:
@@ -168,46 +255,11 @@ class Heads:
         return len(self.hashes)
 
 
-def with_start(ids: np.ndarray, doc: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids with the start context before each document, and each position's number in its document."""
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    ids = np.insert(ids, first, start)
-    begins = first + np.arange(len(first))
-    place = np.arange(len(ids)) - np.repeat(begins, np.diff(np.append(begins, len(ids))))
-    return ids, place
-
-
-def ngram_keys(ids: np.ndarray, place: np.ndarray, n: int, size: int, lower: np.ndarray | None) -> np.ndarray:
-    """Keys sum(id_j * size**(n-1-j)) of all n-grams of frequent words whose two parts of n - 1 words are in ``lower`` (sorted keys)."""
-    if len(ids) < n:
-        return np.zeros(0, np.int64)
-    windows = [ids[j : len(ids) - n + 1 + j] for j in range(n)]
-    ok = place[n - 1 :] >= n - 1
-    for w in windows:
-        ok &= w >= 0
-    at = np.flatnonzero(ok)
-    parts = [w[at] for w in windows]
-
-    def key(ws: list[np.ndarray]) -> np.ndarray:
-        k = np.zeros(len(at), np.int64)
-        for w in ws:
-            k = k * size + w
-        return k
-
-    full = key(parts)
-    if lower is None or n == 2:
-        return full
-    if not len(lower):
-        return np.zeros(0, np.int64)
-    hit = np.ones(len(at), bool)
-    for ws in (parts[:-1], parts[1:]):
-        k = key(ws)
-        hit &= lower[np.minimum(np.searchsorted(lower, k), len(lower) - 1)] == k
-    return full[hit]
-
-
 class Automaton:
-    """Arcs (state * size + word) -> (weight, next state); failure arcs per state; ``leave``: weight down to the root."""
+    """Arcs (state * size + word) -> (weight, next state); failure arcs per state; ``leave``: weight down to the root.
+
+    The whole automaton of a model that fits into memory; ``score`` takes the same steps without building it.
+    """
 
     def __init__(self, heads: Heads, grams: list[dict[int, int]], tokens: int, unseen: float, smoothing: float = SMOOTHING):
         size = max(1, len(heads))
@@ -215,7 +267,7 @@ class Automaton:
         end = heads.ids(np.array([END], np.uint64))[0]
         share = (1 - unseen) / max(1, tokens)
         self.unigram = np.log10(np.maximum(heads.counts * share, 1e-300)) if len(heads) else np.zeros(0)
-        # Contexts that frequent n-grams continue, by length; key as in ngram_keys.
+        # Contexts that frequent n-grams continue, by length; the key of an n-gram is sum(id_j * size**(n-1-j)).
         states: list[dict[int, int]] = [{0: 0}]
         number = 1
         for n in range(2, len(grams) + 2):
@@ -281,30 +333,6 @@ class Automaton:
         return total
 
 
-def _gram_blobs(batches: Iterator[pd.DataFrame], heads: Heads, n: int, lower: np.ndarray | None, buckets: int) -> Iterator[pd.DataFrame]:
-    end = int(heads.ids(np.array([END], np.uint64))[0])
-    for _, h, doc in chunks(batches):
-        ids, place = with_start(heads.ids(h), doc, end)
-        keys, times = np.unique(ngram_keys(ids, place, n, len(heads), lower), return_counts=True)
-        bucket = _deal(keys, buckets)
-        order = np.argsort(bucket, kind="stable")
-        keys, times, bucket = keys[order], times[order], bucket[order]
-        cut = np.flatnonzero(np.concatenate([[len(keys) > 0], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        stop = np.append(cut[1:], len(keys))
-        yield pd.DataFrame({
-            "bucket": bucket[cut],
-            "keys": [keys[a:b].astype("<i8").tobytes() for a, b in zip(cut, stop)],
-            "times": [times[a:b].astype("<u4").tobytes() for a, b in zip(cut, stop)],
-        })
-
-
-def _frequent(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    keys, back = np.unique(np.concatenate([np.frombuffer(k, "<i8") for k in group["keys"]]), return_inverse=True)
-    total = np.bincount(back, np.concatenate([np.frombuffer(t, "<u4") for t in group["times"]])).astype(np.int64)
-    keep = total >= least
-    return pd.DataFrame({"key": keys[keep], "n": total[keep]})
-
-
 def score(
     docs: DataFrame,
     held_out: Column,
@@ -322,78 +350,36 @@ def score(
     Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         F.col(id_col).cast("string").alias("__id"),  # as text, since pandas has no integers with nulls
-        F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")).alias("__key"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"),
         F.coalesce(held_out, F.lit(False)).alias("__held"),
         F.col(text_col).alias("__text"),
     )
-    entries = scratch(rows.select("__key", "__hash", "__held", "__text").mapInPandas(lambda it: _entries(it, buckets), _ENTRY), "lm-entries")
-    own = entries.filter("bucket = -1").select("chunk", "local", "key", "hash", "held", "n")
-    tokens = int(own.filter("not held").agg(F.sum("n")).first()[0] or 0)
+    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    arcs = theta > 0  # else nothing is dropped, and the counts on a context's arcs are its own
+    own = scratch(rows.mapInPandas(_tokens, _TOKENS), "lm-tokens")
+    tokens = int(own.agg(F.sum("trained")).first()[0] or 0)
     least = max(1.0, theta * tokens)
-    blobs = entries.filter("bucket >= 0").select("bucket", "chunk", "keys", "sizes", "docs", "mult")
-    sums = scratch(blobs.groupBy("bucket").applyInPandas(lambda g: _totals(g, least), _SUMS), "lm-sums")
-    vocabulary = sums.filter("chunk = -1").select("words", "once", "heads", "counts").toArrow()  # at most 1 / theta words
-    words, once = sum(vocabulary["words"].to_pylist()), sum(vocabulary["once"].to_pylist())
-    heads = Heads(
-        np.frombuffer(b"".join(vocabulary["heads"].to_pylist()), "<u8"), np.frombuffer(b"".join(vocabulary["counts"].to_pylist()), "<i8")
-    )
+    blobs = own.mapInPandas(lambda it: _blobs(it, order, buckets, arcs), _BLOBS)
+    counts = scratch(blobs.groupBy("n", "bucket").applyInPandas(lambda g: _totals(g, least), _COUNTS), "lm-counts")
+    sums = counts.agg(F.sum("words"), F.sum("once")).first()
+    words, once = int(sums[0] or 0), int(sums[1] or 0)
     unseen = min(max(once, 0.5) / tokens, 0.5) if tokens else 1.0
-
-    shared = spark.sparkContext.broadcast(heads)
-    train = rows.filter(~F.col("__held")).select("__text")
-    grams: list[dict[int, int]] = []
-    for n in range(2, order + 1):
-        lower = np.array(sorted(grams[-1]), np.int64) if grams else None
-        counted = train.mapInPandas(
-            lambda it, n=n, lower=lower: _gram_blobs(it, shared.value, n, lower, buckets), "bucket int, keys binary, times binary"
+    joined = (
+        own.groupBy("chunk")
+        .cogroup(counts.select("chunk", "n", "bucket", "counts", "arcs").groupBy("chunk"))
+        .applyInPandas(
+            lambda chunk, c: _scored(chunk, c, order, arcs, least, tokens, unseen, SMOOTHING),
+            "id string, held boolean, n_tokens bigint, known bigint, base double, score double",
         )
-        found = counted.groupBy("bucket").applyInPandas(lambda g: _frequent(g, least), "key bigint, n bigint").toArrow()  # at most 1 / theta
-        grams.append(dict(zip(found["key"].to_pylist(), found["n"].to_pylist())))
-    machine = spark.sparkContext.broadcast(Automaton(heads, grams, tokens, unseen))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto: Automaton = machine.value
-        logs = np.append(np.log10(np.maximum(auto.heads.counts, 1)), 0.0)
-        for part, h, doc in chunks(batches):
-            ids = auto.heads.ids(h)
-            stops = np.cumsum(np.bincount(doc, minlength=len(part))).tolist()
-            flat, begin, walked = ids.tolist(), 0, []
-            for stop in stops:
-                walked.append(auto.traverse(flat[begin:stop]))
-                begin = stop
-            head = ids >= 0
-            yield part.assign(
-                n_tokens=np.bincount(doc, minlength=len(part)),
-                walked=walked,
-                head=np.bincount(doc, head, minlength=len(part)).astype(np.int64),
-                head_log=np.bincount(doc, logs[ids], minlength=len(part)),
-            )
-
-    walked = rows.mapInPandas(
-        run, "__id string, __key string, __hash bigint, __held boolean, n_tokens bigint, walked double, head bigint, head_log double"
-    )
-    per_doc = sums.filter("chunk >= 0").select("chunk", "docs", "known", "base", "log").groupBy("chunk").applyInPandas(
-        _add_up, "chunk bigint, local int, known bigint, base double, log double"
     )
-    # Rows with the same id and text have the same sums; one copy is joined.
-    of_text = own.join(per_doc, ["chunk", "local"], "left").select("key", "hash", "known", "base", "log").dropDuplicates(["key", "hash"])
-    joined = walked.join(of_text, (F.col("__key") == F.col("key")) & (F.col("__hash") == F.col("hash")))
-    known, log = F.coalesce("known", F.lit(0)), F.coalesce("log", F.lit(0.0))
-    unknown = F.col("n_tokens") - known
     whole = tokens + 0.5 * (words + 1)
-    base = F.coalesce("base", F.lit(0.0)) + unknown * F.lit(float(np.log10(0.5))) - F.col("n_tokens") * F.lit(float(np.log10(whole)))
-    share = float(np.log10((1 - unseen) / tokens)) if tokens else 0.0
-    rare = (log - F.col("head_log")) + (known - F.col("head")) * F.lit(share) + unknown * F.lit(float(np.log10(unseen)))
     return joined.select(
-        F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col),
-        F.col("__held").alias("held_out"),
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
+        F.col("held").alias("held_out"),
         "n_tokens",
-        known.cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (F.col("walked") + rare).alias("score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(whole)))).alias("base_score"),
+        "score",
     )

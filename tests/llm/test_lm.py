@@ -115,3 +115,12 @@ def test_chunks_keep_every_row(monkeypatch, docs):
     assert [i for p, _, _ in parts for i in p["i"]] == list(range(30))
     assert sum(len(h) for _, h, _ in parts) == 5 * (1 + 4 + 2 + 1 + 2 + 3)
     assert len(parts) > 5
+
+
+def test_every_ngram_counts_whatever_the_corpus(docs):
+    """150,000 more training tokens do not make the model forget n-grams seen once."""
+    rows = [(0, "z " * 150_000), *((i + 1, t) for i, t in enumerate(texts(60)))]
+    got = {r.doc_id: r for r in lm.score(docs(rows), F.col("doc_id") % 5 == 1, buckets=7).collect()}
+    train = [t for i, t in rows if i % 5 != 1]
+    for (i, _), want in zip(rows[1:], plain(train, [t for _, t in rows[1:]], 0, lm.ORDER, lm.SMOOTHING)):
+        assert got[i].n_known == want[1] and got[i].score == pytest.approx(want[4], abs=1e-8)
