@@ -17,7 +17,7 @@ from .functions.metrics import check_metric
 from .operators import ivf
 from .operators.filters import compile_filter
 from .operators.knn import knn_join, projection
-from .plans.planner import QueryPlan, plan_query
+from .plans.planner import QueryPlan, plan_query, probed_join
 from .sources.catalog import namespaces
 from .sources.store import DELETE, UPSERT, Store, by_id
 
@@ -109,9 +109,11 @@ class Namespace:
             rows = [r | {"attributes": attributes[r["id"]]} for r in rows]
         return {"rows": rows, "stats": _query_stats(int(1000 * (time.time() - started)), plan.segments, scored, plan.exhaustive, plan.index_version)}
 
-    def query_many(self, queries: DataFrame, top_k: int = 10, filters: object = None, distance_metric: str | None = None) -> DataFrame:
-        """(query_id, rank, id, dist) for a DataFrame of queries (id, vector), over all live rows."""
+    def query_many(self, queries: DataFrame, top_k: int = 10, filters: object = None, distance_metric: str | None = None, nprobe: int | None = None) -> DataFrame:
+        """(query_id, rank, id, dist) for a DataFrame of queries (id, vector), over all live rows or, with ``nprobe`` and no filter, by the index."""
         state = self.store.state()
+        if nprobe is not None and filters is None and state["dim"] is not None:
+            return probed_join(self.store, state, queries, validate.clamp_top_k(top_k), distance_metric or state["metric"], nprobe)
         rows = self.store.current(state)
         rows = rows if filters is None else rows.filter(compile_filter(filters))
         return knn_join(rows, queries, validate.clamp_top_k(top_k), distance_metric or state["metric"])

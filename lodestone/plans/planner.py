@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import COSINE, check_metric
+from ..functions.metrics import COSINE, check_metric, matrix
 from ..operators.filters import compile_filter
 from ..operators.kmeans import nearest_centroids, unit
-from ..operators.knn import projection, top_k
+from ..operators.knn import best_first, knn_join, projection, top_k
 from ..sources.store import Store
 from ..validate import DEFAULT_NPROBE, check_vector, clamp_top_k
 
@@ -66,3 +68,28 @@ def plan_query(
     plan.scanned = source
     plan.rows = top_k(source, query, k, metric, include_attributes, include_vectors, scorer)
     return plan
+
+
+def probed_join(store: Store, state: dict, queries: DataFrame, k: int, metric: str, nprobe: int) -> DataFrame:
+    """``knn_join`` where each query sees the log tail and its ``nprobe`` nearest clusters only, as in a plan of its own."""
+    clusters = state["clusters"] if state["index_version"] else 0
+    wanted = max(1, nprobe)
+    if wanted >= clusters:
+        return knn_join(store.current(state), queries, k, metric)
+    c = np.asarray(store.centroids(state))
+
+    @F.arrow_udf("array<int>")
+    def routes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors in batches:
+            q = matrix(vectors) if len(vectors) else np.zeros((0, c.shape[1]))
+            q = unit(q) if metric == COSINE and len(q) else q
+            yield pa.array([nearest_centroids(c, v, wanted) for v in q], pa.list_(pa.int32()))
+
+    routed = queries.select("id", "vector", F.explode(routes(F.col("vector"))).alias("cluster"))
+    parts = [knn_join(store.current(state, [i]), routed.filter(F.col("cluster") == i), k, metric) for i in range(clusters)]  # at most MAX_CLUSTERS
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(best_first(metric), F.col("id"))
+    found = found.drop("rank").dropDuplicates(["query_id", "id"]).withColumn("rank", F.row_number().over(order))
+    return found.filter(F.col("rank") <= k).select("query_id", "rank", "id", "dist")

@@ -204,6 +204,21 @@ def test_index(engine):
     assert ns.destroy()["deleted_objects"] > 0 and ns.stats()["rows"] == 0 and ns.query(q)["rows"] == []
 
 
+def test_many_queries_by_the_index(engine, spark):
+    rows = make_rows(3000, 16, 12, seed=99)
+    ns = engine.namespace("probed")
+    ns.upsert(rows)
+    clusters = ns.build_index(force=True)["clusters"]
+    ns.upsert([{"id": "new", "vector": rows[0]["vector"]}])
+    asked = [(r["id"], r["vector"]) for r in rows[::600]]
+    queries = spark.createDataFrame(asked, "id string, vector array<float>")
+    assert clusters > 2
+    got = {}
+    for r in ns.query_many(queries, 600, nprobe=2).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert got == {i: {x["id"] for x in ns.query(v, 600, nprobe=2)["rows"]} for i, v in asked}
+
+
 def test_automatic_and_failed_builds(engine, monkeypatch):
     ns = engine.namespace("auto")
     assert ns.build_index() == {"status": "skipped", "reason": "empty"}
