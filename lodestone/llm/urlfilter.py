@@ -21,12 +21,9 @@ from .common import scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_ITEM = "#block"
-#: A rule's share of the labelled URLs, its number of URLs and its confidence are at least these.
-MIN_SUPPORT = 0.002
+#: A rule's number of labelled URLs, whatever their number, and its confidence are at least these.
 MIN_COUNT = 8
 MIN_CONFIDENCE = 0.7
-#: Tokens in more than this share of the labelled URLs tell nothing and are left out.
-COMMON_SHARE = 0.9
 MAX_RULES = 100_000
 
 # Fixed values: (host, path, verdict) rules; a rule fits its host and all subdomains.
@@ -60,7 +57,7 @@ def url_tokens(url: str) -> Column:
     return F.array_distinct(F.concat(*made))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "block", *, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "block", *, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (``tokens`` array, ``support``, ``confidence``, ``anchor``) from URLs and a boolean label; null labels are skipped.
 
     An empty table, or one without blocked URLs, gives no rules.
@@ -72,11 +69,8 @@ def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "block", *,
     found = "tokens array<string>, support bigint, confidence double, anchor string"
     if not n:
         return spark.createDataFrame([], found)
-    support = max(min_support, min(1.0, min_count / n))
-    counts = rows.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    common = [r.t for r in counts.filter(F.col("n") > COMMON_SHARE * n).collect()]  # at most tokens a URL / COMMON_SHARE
-    useful = F.filter("tokens", lambda t: ~t.isin(common)) if common else F.col("tokens")
-    items = rows.select(F.when(F.col("block"), F.concat(useful, F.array(F.lit(BLOCK_ITEM)))).otherwise(useful).alias("items"))
+    support = min(1.0, (min_count - 0.5) / n)  # FPGrowth rounds its product with n up
+    items = rows.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("tokens")).alias("items"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=parts).fit(items).freqItemsets
     sets = sets.select(F.array_sort("items").alias("items"), "freq")

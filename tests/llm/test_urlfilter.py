@@ -79,3 +79,12 @@ def test_edges(pages):
     rules = mine(df.withColumn("block", F.lit(None).cast("boolean")))
     assert [r.verdict for r in judge(df, rules).collect()] == ["allow"] * 3
     assert judge(df.limit(0), rules).count() == 0
+
+
+def test_rules_need_the_same_count_at_every_size(spark):
+    """8 blocked URLs of one host make a rule among 20,000 labelled ones, and a token in nearly all URLs can be a rule."""
+    few = [(f"http://bad.test/{i}", True) for i in range(8)] + [(f"http://h{i}.test/{i}", False) for i in range(20_000)]
+    rules = {frozenset(r.tokens): r.support for r in mine(spark.createDataFrame(few, "url string, block boolean")).collect()}
+    assert rules == {frozenset(["h:bad"]): 8}
+    most = [("http://one.site/", i % 10 > 0) for i in range(1000)]
+    assert {tuple(r.tokens) for r in mine(spark.createDataFrame(most, "url string, block boolean")).collect()} == {("h:one",), ("h:site",)}
