@@ -204,7 +204,7 @@ class Namespace:
         out = []
         for r in rows:
             if not isinstance(r, dict):
-                refuse("a row must be an object")
+                refuse(f"a row is a JSON object, not {type(r).__name__}")
             vector = validate.check_vector(r.get("vector"), dim)
             dim = dim or len(vector)
             out.append((validate.check_id(r.get("id")), vector, validate.check_attributes(r.get("attributes"))))
@@ -217,18 +217,17 @@ class Namespace:
         order: list[str] = []
         for r in rows:
             if not isinstance(r, dict):
-                refuse("a row must be an object")
+                refuse(f"a row is a JSON object, not {type(r).__name__}")
             row_id = validate.check_id(r.get("id"))
             order.append(row_id)
             own = folded.setdefault(row_id, {"vector": None, "attributes": None})
             if r.get("vector") is not None:
                 own["vector"] = validate.check_vector(r["vector"], self.store.state()["dim"])
             elif "vector" in r:
-                refuse("vector must be a non-empty array of numbers")
+                refuse("a patch may leave a vector out but not remove it")
             if "attributes" in r:
-                if not isinstance(r["attributes"], dict):
-                    refuse("attributes must be an object")
-                validate.check_attributes(r["attributes"])
+                if validate.check_attributes(r["attributes"]) is None:
+                    refuse("a patch may leave attributes out but not remove them all at once")
                 own["attributes"] = {**(own["attributes"] or {}), **r["attributes"]}
         found: set[str] = set()
 
@@ -255,7 +254,7 @@ class Namespace:
         elif filters is not None:
             test = compile_filter(filters)
         else:
-            refuse("delete needs ids or filters")
+            refuse("nothing says which rows to delete: give ids, or a filter")
         before = self.store.state()
 
         def make(state: dict) -> tuple[DataFrame, dict] | None:
@@ -310,7 +309,7 @@ class _Counted:
 def _with_metric(state: dict, metric: str | None) -> dict:
     if metric is not None and metric != state["metric"]:
         if state["dim"] is not None:
-            refuse("distance_metric cannot change once the namespace has data", 409)
+            refuse(f"the namespace holds vectors under {state['metric']}, so its metric stays", 409)
         state["metric"] = metric
     return state
 

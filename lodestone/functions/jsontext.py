@@ -31,28 +31,25 @@ def lint(text: str) -> Lint:
         return Lint(False, None, str(e), text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), at)
 
 
+#: Names of JSON types, most specific first (a bool is an int).
+KINDS = ((bool, "truth value"), ((int, float), "number"), (str, "text"), (dict, "object"), (list, "list"), (type(None), "null"))
+
+
 def describe(value: object) -> str:
-    if isinstance(value, list):
-        return f"array of {len(value)}"
-    if isinstance(value, dict):
-        return f"object with {len(value)} key{'' if len(value) == 1 else 's'}"
-    if value is None:
-        return "object"
-    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
+    """Kind of a JSON value; of lists and objects also the size, as in ``list (3)``."""
+    name = next(name for kind, name in KINDS if isinstance(value, kind))
+    return f"{name} ({len(value)})" if isinstance(value, (dict, list)) else name
 
 
 def infer_value(text: str) -> object:
-    """Numbers, booleans, null, arrays, objects and quoted strings as JSON; any other text as it is."""
-    trimmed = text.strip()
-    if not trimmed:
-        return ""
-    found = lint(trimmed)
-    return found.value if found.ok else text
+    """Numbers, booleans, null, arrays, objects and quoted strings as JSON; blank text as "", any other text as it is."""
+    found = lint(text.strip())
+    return found.value if found.ok else text if text.strip() else ""
 
 
 def value_to_field(value: object) -> str:
-    """Text that ``infer_value`` reads back as the value."""
-    if isinstance(value, str) and not (value.strip() and lint(value.strip()).ok):
+    """Text that ``infer_value`` reads back as the value: text as it is where that works, else JSON."""
+    if isinstance(value, str) and infer_value(value) == value:
         return value
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 

@@ -22,7 +22,7 @@ METRICS = (COSINE, EUCLIDEAN, DOT)
 
 def check_metric(metric: object) -> str:
     if metric not in METRICS:
-        refuse(f"distance_metric must be one of {', '.join(METRICS)}")
+        refuse(f"there is no metric {metric!r}; there are {', '.join(METRICS)}")
     return metric
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import logging
 import re
 import threading
 import time
@@ -24,6 +25,7 @@ from .validate import check_batch, check_name
 WINDOW = 0.05
 #: Rows of a group; later requests start the next one.
 GROUP_ROWS = 50_000
+_log = logging.getLogger(__name__)
 _PATH = re.compile(r"/v1/namespaces/([^/]+)(?:/([a-z]+)(?:/(.+))?)?")
 
 
@@ -94,13 +96,13 @@ class Gateway:
             return {"namespaces": self.engine.list_namespaces()}
         parts = _PATH.fullmatch(path)
         if not parts:
-            refuse("not found", 404)
+            refuse("there is nothing at this path", 404)
         name = check_name(unquote(parts[1]))
         ns, action, row_id = self.engine.namespace(name), parts[2], parts[3]
         options = {k: v[-1] for k, v in parse_qs(target.query, keep_blank_values=True).items()}
         if row_id is not None:
             if (method, action) != ("GET", "rows"):
-                refuse("not found", 404)
+                refuse("there is nothing at this path", 404)
             return ns.get_one(unquote(row_id), options.get("include_vectors") == "true")
         match method, action:
             case "GET", None:
@@ -115,15 +117,15 @@ class Gateway:
                 return ns.build_index(_object(body, optional=True).get("force") is not False)
             case "POST", "upsert" | "patch" | "delete" | "rows" | "query":
                 return getattr(self, f"_{action}")(ns, _object(body))
-        refuse("not found", 404)
+        refuse("there is nothing at this path", 404)
 
     def _authorise(self, authorization: str | None) -> None:
-        if self.api_key is None:
-            return
+        if not self.api_key:
+            refuse("this gateway was started without an API key, so it serves nobody", 500)
         given = (authorization or "").removeprefix("Bearer ") if (authorization or "").startswith("Bearer ") else ""
         a, b = (hashlib.sha256(x.encode()).digest() for x in (given, self.api_key))
         if not hmac.compare_digest(a, b):
-            refuse("unauthorized", 401)
+            refuse("the API key is missing or wrong", 401)
 
     def _upsert(self, ns: Namespace, body: dict) -> dict:
         with self.lock:
@@ -137,8 +139,8 @@ class Gateway:
         """A failed background build leaves the namespace as it was; the next write tries again."""
         try:
             ns.maybe_build()
-        except Exception:  # noqa: S110
-            pass
+        except Exception:
+            _log.exception("background index build of %s failed", ns.store.name)
 
     def _patch(self, ns: Namespace, body: dict) -> dict:
         return ns.patch(body.get("rows"))
@@ -148,7 +150,7 @@ class Gateway:
             return ns.delete(body["ids"])
         if body.get("filters"):
             return ns.delete(filters=body["filters"])
-        refuse("body needs ids or filters")
+        refuse("nothing says which rows to delete: give ids, or a filter")
 
     def _rows(self, ns: Namespace, body: dict) -> dict:
         return {"rows": ns.get(body.get("ids"), body.get("include_vectors") is True)}
@@ -161,12 +163,12 @@ class Gateway:
 def _object(body: str | bytes, optional: bool = False) -> dict:
     text = body.decode() if isinstance(body, bytes) else body
     if not text:
-        return {} if optional else refuse("body must be JSON")
+        return {} if optional else refuse("the request has no body")
     try:
         found = json.loads(text)
     except ValueError:
-        refuse("body must be valid JSON")
-    return found if isinstance(found, dict) else refuse("body must be a JSON object")
+        refuse("the body cannot be read as JSON")
+    return found if isinstance(found, dict) else refuse("the body is JSON but no object")
 
 
 def _number(text: str) -> float:

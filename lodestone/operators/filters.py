@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import refuse
+from ..errors import EngineError, refuse
 from ..functions import attributes as A
 
+# Fixed values of the filter grammar: field names, nesting, list length, operators.
 FIELD = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_.-]{0,127}")
 MAX_DEPTH = 16
 MAX_LIST = 10_000
@@ -27,24 +29,73 @@ LISTS = ("In", "NotIn", "ContainsAny")
 OPS = ("Eq", "NotEq", *COMPARISONS, "In", "NotIn", "Glob", "NotGlob", "Contains", "ContainsAny")
 
 
-def _list(x: object) -> bool:
-    return isinstance(x, Sequence) and not isinstance(x, str)
+@dataclass(frozen=True)
+class Condition:
+    """A checked condition: one value, a list of values, or a pattern; numbers and booleans are floats."""
 
+    field: str
+    op: str
+    value: str | float | list | None
 
-def _scalar(value: object, name: str) -> str | float | None:
-    if isinstance(value, bool):
-        return float(value)
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, (int, float)) and value == value:
-        return float(value)
-    refuse(f'filter value for "{name}" must be a string, number, boolean or null')
 
+@dataclass(frozen=True)
+class Junction:
+    """All (``every``) or any of some filters."""
 
-def _values(value: object, op: str, name: str) -> list:
-    if not _list(value) or not 0 < len(value) <= MAX_LIST:
-        refuse(f"{op} needs an array of 1 to {MAX_LIST} values")
-    return [_scalar(v, name) for v in value]
+    every: bool
+    parts: tuple[Node, ...]
+
+
+@dataclass(frozen=True)
+class Negation:
+    part: Node
+
+
+Node = Condition | Junction | Negation
+
+
+def _scalar(value: object) -> str | float | None:
+    match value:
+        case None | str():
+            return value
+        case bool() | int() | float() if value == value:
+            return float(value)
+    refuse(f"cannot compare with {value!r}: only text, numbers, booleans and null can be compared with")
+
+
+def _operand(op: str, value: object) -> str | float | list | None:
+    if op in ("Glob", "NotGlob"):
+        return value if isinstance(value, str) else refuse(f"the pattern of {op} must be text, not {value!r}")
+    if op not in LISTS:
+        return _scalar(value)
+    if isinstance(value, str) or not isinstance(value, Sequence):
+        refuse(f"{op} takes a list, not {value!r}")
+    return [_scalar(v) for v in value] if 1 <= len(value) <= MAX_LIST else refuse(f"the list of {op} holds {len(value)} values; 1 to {MAX_LIST} are possible")
+
+
+def read_filter(tree: object, *, level: int = 0, one_to_negate: bool = False) -> Node:
+    """The checked form of a filter; bad ones are refused with status 400. With ``one_to_negate``, a ``Not`` of several filters is bad too."""
+    below = {"level": level + 1, "one_to_negate": one_to_negate}
+    if level > MAX_DEPTH:
+        refuse(f"filters nest {MAX_DEPTH} levels at most")
+    match tree:
+        case ["And" | "Or" as word, [_, *_] as parts, *_]:
+            return Junction(word == "And", tuple(read_filter(part, **below) for part in parts))
+        case ["And" | "Or" as word, *_]:
+            refuse(f"{word} is followed by a list of one filter or more")
+        case ["Not", _, _, *_] if one_to_negate:
+            refuse("Not is followed by a single filter")
+        case ["Not", part, *_]:
+            return Negation(read_filter(part, **below))
+        case [str() as field, op, value]:
+            if not FIELD.fullmatch(field):
+                refuse(f"{field!r} cannot be the name of a field")
+            if op not in OPS:
+                refuse(f"there is no operator {op!r}; there are {', '.join(OPS)}")
+            if field == "id" and op in ("Contains", "ContainsAny"):
+                refuse(f"an id is not a list, so {op} does not apply to it")
+            return Condition(field, op, _operand(op, value))
+    refuse("expected [field, operator, value], [And or Or, list of filters] or [Not, filter]")
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -125,58 +176,48 @@ def _id_text(v: str | float | None) -> str | None:
     return v
 
 
-def _on_id(op: str, value: object) -> Column:
+def _on_id(op: str, value: str | float | list | None) -> Column:
     key = F.col("id")
-    if op in ("Contains", "ContainsAny"):
-        refuse(f"{op} is not supported on id")
-    if op in ("Eq", "NotEq"):
-        v = _id_text(_scalar(value, "id"))
-        if v is None:
-            return F.lit(op == "NotEq")
-        return key == v if op == "Eq" else key != v
-    if op in COMPARISONS:
-        v = _id_text(_scalar(value, "id"))
-        if v is None:
-            return _unknown()
-        return {"Lt": key < v, "Lte": key <= v, "Gt": key > v, "Gte": key >= v}[op]
     if op in ("In", "NotIn"):
-        values = [_id_text(v) for v in _values(value, op, "id")]
+        values = [_id_text(v) for v in value]
         hit = key.isin([v for v in values if v is not None])
         known = F.when(hit, F.lit(True)).otherwise(_unknown()) if None in values else hit
         return known if op == "In" else ~known
-    hit = key.rlike(glob_to_regex(value))
-    return hit if op == "Glob" else ~hit
+    if op in ("Glob", "NotGlob"):
+        hit = key.rlike(glob_to_regex(value))
+        return hit if op == "Glob" else ~hit
+    v = _id_text(value)
+    if v is None:  # ids are never null
+        return _unknown() if op in COMPARISONS else F.lit(op == "NotEq")
+    return {"Eq": key == v, "NotEq": key != v, "Lt": key < v, "Lte": key <= v, "Gt": key > v, "Gte": key >= v}[op]
 
 
-def _on_attribute(name: str, op: str, value: object, attributes: Column) -> Column:
-    test = _test(name, op, value)
-    classes = lambda v: let(_Operand.struct(v), lambda bound: test(_Operand(bound)))
-    return let(A.field(attributes, name), classes)
+def _on_attribute(test: Condition, attributes: Column) -> Column:
+    predicate = _test(test.op, test.value)
+    classes = lambda v: let(_Operand.struct(v), lambda bound: predicate(_Operand(bound)))
+    return let(A.field(attributes, test.field), classes)
 
 
-def _test(name: str, op: str, value: object) -> Callable[[_Operand], Column]:
-    """The predicate of one condition; values are checked before any column is made."""
+def _test(op: str, v: str | float | list | None) -> Callable[[_Operand], Column]:
+    """The predicate of one condition on an attribute."""
     if op in ("Eq", "NotEq"):
-        v = _scalar(value, name)
         if v is None:
             return lambda x: x.missing if op == "Eq" else ~x.missing
         if op == "Eq":
             return lambda x: x.known(x.equals(v))
         return lambda x: x.missing | ~F.coalesce(x.equals(v), F.lit(False))
     if op in COMPARISONS:
-        v = _scalar(value, name)
         return lambda x: _unknown() if v is None else x.known(x.compares(op, v))
     if op in ("In", "NotIn"):
-        values = _values(value, op, name)
-        rest = _unknown() if None in values else F.lit(False)
-        known = lambda x: F.when(x.missing, _unknown()).when(x.among(values), F.lit(True)).otherwise(rest)
+        rest = _unknown() if None in v else F.lit(False)
+        known = lambda x: F.when(x.missing, _unknown()).when(x.among(v), F.lit(True)).otherwise(rest)
         return known if op == "In" else lambda x: x.missing | ~known(x)
     if op in ("Glob", "NotGlob"):
-        pattern = glob_to_regex(value)
+        pattern = glob_to_regex(v)
         if op == "Glob":
             return lambda x: x.known(A.as_text(x.value).rlike(pattern))
         return lambda x: x.missing | ~F.coalesce(A.as_text(x.value).rlike(pattern), F.lit(False))
-    values = [_scalar(value, name)] if op == "Contains" else _values(value, op, name)
+    values = [v] if op == "Contains" else v
     hit = lambda e: let(_Operand.struct(e), lambda bound: _Operand(bound).among(values))
     return lambda x: F.coalesce(F.exists(A.elements(x.value), hit), F.lit(False))
 
@@ -187,72 +228,50 @@ def compile_filter(tree: object, attrs: str = "attrs") -> Column:
     The attributes are parsed once a row. Conditions on ``id`` that must hold on their own stay outside, where they
     reach the scan.
     """
-    if _list(tree) and len(tree) > 1 and tree[0] == "And" and _list(tree[1]):
-        on_id = [t for t in tree[1] if not uses_attributes(t)]
-        rest = [t for t in tree[1] if uses_attributes(t)]
+    return _column(read_filter(tree), attrs)
+
+
+def _column(node: Node, attrs: str) -> Column:
+    if isinstance(node, Junction) and node.every:
+        on_id, rest = (tuple(p for p in node.parts if uses_attributes(p) is x) for x in (False, True))
         if on_id and rest:
-            return _compile(["And", on_id], None, 0) & compile_filter(["And", rest], attrs)
-    if not uses_attributes(tree):
-        return _compile(tree, None, 0)
-    _compile(tree, A.parsed(attrs), 0)  # refuse bad filters here, not inside a lambda
-    return let(A.parsed(attrs), lambda attributes: _compile(tree, attributes, 0))
-
-
-def uses_attributes(tree: object) -> bool:
-    """Whether any condition of a (possibly malformed) filter is about something else than ``id``."""
-    if not _list(tree) or not len(tree):
-        return False
-    if tree[0] in ("And", "Or"):
-        return len(tree) > 1 and _list(tree[1]) and any(uses_attributes(t) for t in tree[1])
-    if tree[0] == "Not":
-        return len(tree) > 1 and uses_attributes(tree[1])
-    return tree[0] != "id"
-
-
-def _compile(tree: object, attributes: Column | None, depth: int) -> Column:
-    if depth > MAX_DEPTH:
-        refuse("filter nested too deeply")
-    if not _list(tree) or len(tree) < 2:
-        refuse("a filter is [field, op, value], [And or Or, filters] or [Not, filter]")
-    head = tree[0]
-    if head in ("And", "Or"):
-        if not _list(tree[1]) or not tree[1]:
-            refuse(f"{head} needs a non-empty array of filters")
-        parts = [_compile(t, attributes, depth + 1) for t in tree[1]]
-        return reduce(lambda a, b: a & b, parts) if head == "And" else reduce(lambda a, b: a | b, parts)
-    if head == "Not":
-        return ~_compile(tree[1], attributes, depth + 1)
-    if len(tree) != 3:
-        refuse("filter must be a [field, op, value] array")
-    name, op, value = tree
-    if not isinstance(name, str) or not FIELD.fullmatch(name):
-        refuse(f"invalid filter field {name!r}")
-    if op not in OPS:
-        refuse(f"unknown filter op {op!r}")
-    if op in ("Glob", "NotGlob") and not isinstance(value, str):
-        refuse(f"{op} needs a string pattern")
-    return _on_id(op, value) if name == "id" else _on_attribute(name, op, value, attributes)
-
-
-def check_shape(tree: object, depth: int = 0) -> str | None:
-    """Message about the first fault in a filter's shape, or None; ``Not`` takes exactly one filter here."""
-    if depth > MAX_DEPTH:
-        return "filter nested too deeply"
-    if not _list(tree) or len(tree) < 2:
-        return "a filter is [field, op, value] or [And or Or, filters] or [Not, filter]"
-    if tree[0] in ("And", "Or"):
-        if not _list(tree[1]) or not tree[1]:
-            return f"{tree[0]} needs a non-empty array of filters"
-        return next((m for t in tree[1] if (m := check_shape(t, depth + 1))), None)
-    if tree[0] == "Not":
-        return check_shape(tree[1], depth + 1) if len(tree) == 2 else "Not takes exactly one filter"
-    if len(tree) != 3:
-        return "a condition is [field, op, value]"
-    if not isinstance(tree[0], str):
-        return "field must be a string"
-    if tree[1] not in OPS:
-        return f"unknown op {tree[1]!r}; use {', '.join(OPS)}"
-    return f"{tree[1]} needs an array value" if tree[1] in LISTS and not _list(tree[2]) else None
+            return _built(Junction(True, on_id), None) & _column(Junction(True, rest), attrs)
+    if not uses_attributes(node):
+        return _built(node, None)
+    return let(A.parsed(attrs), lambda attributes: _built(node, attributes))
+
+
+def uses_attributes(node: Node) -> bool:
+    """Whether any condition is about something else than ``id``."""
+    match node:
+        case Condition(field=field):
+            return field != "id"
+        case Junction(parts=parts):
+            return any(map(uses_attributes, parts))
+        case Negation(part=part):
+            return uses_attributes(part)
+
+
+def _built(node: Node, attributes: Column | None) -> Column:
+    match node:
+        case Condition(field="id"):
+            return _on_id(node.op, node.value)
+        case Condition():
+            return _on_attribute(node, attributes)
+        case Negation(part=part):
+            return ~_built(part, attributes)
+        case Junction(every=every, parts=parts):
+            built = [_built(p, attributes) for p in parts]
+            return reduce(lambda a, b: a & b if every else a | b, built)
+
+
+def check_shape(tree: object) -> str | None:
+    """What is wrong with a filter, or None; ``Not`` takes exactly one filter here."""
+    try:
+        read_filter(tree, one_to_negate=True)
+    except EngineError as e:
+        return str(e)
+    return None
 
 
 def condition(name: str, op: str, text: str) -> list:
@@ -262,3 +281,13 @@ def condition(name: str, op: str, text: str) -> list:
     if op in LISTS:
         return [name, op, [infer_value(p.strip()) for p in text.split(",") if p.strip()]]
     return [name, op, text if op in ("Glob", "NotGlob") else infer_value(text)]
+
+
+def form(test: Sequence) -> tuple[str, str, str]:
+    """Form input (field, operator, text) that ``condition`` reads back as the condition; lists whose texts hold commas, blanks
+    at their ends, or are empty, are refused, as the text of a list is split at commas."""
+    from ..functions.jsontext import value_to_field
+
+    name, op, value = test
+    text = ", ".join(map(value_to_field, value)) if op in LISTS else value if op in ("Glob", "NotGlob") else value_to_field(value)
+    return (name, op, text) if condition(name, op, text) == [name, op, value] else refuse(f"{value!r} cannot be written as a list of form input")

@@ -61,25 +61,26 @@ def centroids_of(rows: DataFrame, live: int, dim: int, metric: str, max_clusters
 def build_index(store: Store, force: bool = True, max_clusters: int = MAX_CLUSTERS) -> dict:
     """Index everything that is live now. Readers keep the old version until the new one is published; writes that
     commit meanwhile stay in the log tail. A failed build leaves the old version as it was. One build of a namespace
-    runs at a time in a process."""
+    runs at a time in a process, and one that would only be skipped keeps no other from running."""
+    state = store.state()
+    if state["dim"] is None:
+        return {"status": "skipped", "reason": "empty"}
+    if not force and below_threshold(state):
+        return {"status": "skipped", "reason": "below threshold"}
     with _guard:
         if store.home in _building:
             return {"status": "already_running"}
         _building.add(store.home)
     try:
-        return _build(store, force, max_clusters)
+        return _build(store, max_clusters)
     finally:
         with _guard:
             _building.discard(store.home)
 
 
-def _build(store: Store, force: bool, max_clusters: int) -> dict:
+def _build(store: Store, max_clusters: int) -> dict:
     started = time.time()
     state = store.state()
-    if state["dim"] is None:
-        return {"status": "skipped", "reason": "empty"}
-    if not force and below_threshold(state):
-        return {"status": "skipped", "reason": "below threshold"}
     rows = store.current(state)
     live = store.count(state)
     if not live:

@@ -15,7 +15,7 @@ from ..operators.filters import compile_filter
 from ..operators.kmeans import nearest_centroids, unit
 from ..operators.knn import best_first, knn_join, projection, top_k
 from ..sources.store import Store
-from ..validate import DEFAULT_NPROBE, check_vector, clamp_top_k
+from ..validate import check_vector, clamp_nprobe, clamp_top_k
 
 
 @dataclass
@@ -50,12 +50,13 @@ def plan_query(
     query = check_vector(vector, state["dim"])
     k = clamp_top_k(top_k_rows)
     metric = check_metric(metric if metric is not None else state["metric"])
+    clamp_nprobe(nprobe)  # refused with an index and without
     plan = QueryPlan("exhaustive", None, segments=len(state["segments"]), index_version=state["index_version"])  # type: ignore[arg-type]
     if filters is not None:
         plan.kind = "filtered"
         source = store.current(state).filter(compile_filter(filters))
     elif state["index_version"]:
-        wanted = min(max(1, int(DEFAULT_NPROBE if nprobe is None else nprobe)), state["clusters"])
+        wanted = min(clamp_nprobe(nprobe), state["clusters"])
         q = np.asarray(query)
         routed = unit(q[None, :])[0] if metric == COSINE else q
         plan.clusters = nearest_centroids(np.asarray(store.centroids(state)), routed, wanted)

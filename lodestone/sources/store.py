@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..errors import refuse
 from ..functions.metrics import COSINE
-from ..validate import bad_row, check_name
+from ..validate import bad_row, check_name, wrong_size
 from .files import Files
 
 LOG = T.StructType([
@@ -101,7 +101,7 @@ class Store:
             wanted = make(dict(state))
             if wanted is None or self.publish(wanted):
                 return wanted or state
-        refuse("too many concurrent commits", 409)
+        refuse(f"other writers were first {ATTEMPTS} times; try again", 409)
 
     # Reading
 
@@ -201,7 +201,7 @@ class Store:
             least, most = segment.pop("least"), segment.pop("most")
             if fault or (most is not None and not least == most == dim):
                 self.files.delete(f"{self.home}/{segment['key']}")
-                refuse(fault or f"vector has {most if most != dim else least} dimensions; namespace uses {dim}")
+                refuse(fault or wrong_size(most if most != dim else least, dim))
             wanted = state | changes | {"dim": dim, "seq": segment["seq"]}
             if segment["rows"]:
                 wanted["segments"] = [*state["segments"], segment]
@@ -210,7 +210,7 @@ class Store:
             if self.publish(wanted):
                 return wanted
             self.files.delete(f"{self.home}/{segment['key']}")
-        refuse("too many concurrent commits", 409)
+        refuse(f"other writers were first {ATTEMPTS} times; try again", 409)
 
     def destroy(self) -> int:
         """Delete the namespace; the number of data files that went."""

@@ -87,7 +87,7 @@ def test_json_text():
         assert J.infer_value(text) == value
     for value in (5, "5", "abc", True, None, [1, {"a": 2}], "true", '"q"', ""):
         assert J.infer_value(J.value_to_field(value)) == value
-    assert [J.describe(v) for v in ([1, 2], {"a": 1}, {}, "s", 1, True)] == ["array of 2", "object with 1 key", "object with 0 keys", "string", "number", "boolean"]
+    assert [J.describe(v) for v in ([1, 2], {"a": 1}, {}, "s", 1, 2.5, True, None)] == ["list (2)", "object (1)", "object (0)", "text", "number", "number", "truth value", "null"]
     assert J.attribute_patch({"a": 1, "b": 2}, {"a": 3}) == {"a": 3, "b": None} and J.attribute_patch(None, {"x": 1}) == {"x": 1}
 
 

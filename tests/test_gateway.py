@@ -58,6 +58,41 @@ def test_errors(gateway):
     assert gateway.handle("POST", "/v1/namespaces/x/query", "{", "Bearer secret")[0] == 400
 
 
+def test_odd_numbers(gateway):
+    ns = "/v1/namespaces/numbers"
+    call(gateway, "POST", f"{ns}/upsert", {"rows": [{"id": f"{i}", "vector": [i, 1]} for i in range(3)]})
+    for limit, n in (("Infinity", 3), ("-Infinity", 1), ("nan", 3), ("2.9", 2), ("0", 3)):
+        status, found = call(gateway, "GET", f"{ns}/rows?limit={limit}")
+        assert (status, len(found["rows"])) == (200, n), limit
+    for _ in range(2):  # without an index and with one
+        for nprobe in ("many", [1], True):
+            assert call(gateway, "POST", f"{ns}/query", {"vector": [1, 0], "nprobe": nprobe})[0] == 400
+        assert len(call(gateway, "POST", f"{ns}/query", {"vector": [1, 0], "nprobe": 0.5})[1]["rows"]) == 3
+        call(gateway, "POST", f"{ns}/index")
+
+
+def test_no_key_serves_nobody(gateway):
+    shut = Gateway(gateway.engine)
+    assert shut.handle("GET", "/")[0] == 200
+    assert [shut.handle("GET", "/v1/namespaces", "", key)[0] for key in (None, "Bearer ", "Bearer x")] == [500] * 3
+
+
+def test_skipped_builds_do_not_hold_up_others(gateway, monkeypatch):
+    """An automatic build that will be skipped neither waits for the lock nor takes it."""
+    ns = gateway.engine.namespace("waits")
+    ns.upsert([{"id": "a", "vector": [1.0]}])
+    monkeypatch.setattr(ivf, "_building", {ns.store.home})
+    assert ns.maybe_build() == {"status": "skipped", "reason": "below threshold"}
+    assert ivf._building == {ns.store.home}
+
+
+def test_failed_background_builds_are_logged(gateway, monkeypatch, caplog):
+    ns = gateway.engine.namespace("fails")
+    monkeypatch.setattr(type(ns), "maybe_build", lambda self: 1 / 0)
+    gateway._index(ns)
+    assert "fails" in caplog.text and "ZeroDivisionError" in caplog.text
+
+
 def test_group_commit(gateway):
     done = []
 
