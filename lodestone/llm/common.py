@@ -6,7 +6,6 @@ executors), so that a lost executor costs a re-read and never a recomputation of
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,17 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 #: ASCII whitespace as the contracts define it.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a session that names none (tests, one machine) gets a folder of its own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodestone.scratch", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("lodestone.scratch", base)
-    return f"{base.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
+    """The scratch folder of this application, below the one that all executors share."""
+    return f"{shared_root(spark)}/lodestone-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -40,16 +37,17 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application; results that still read them must be written first."""
+    """Delete all scratch tables of this application. Results are lazy and read them, so whoever writes a result calls this afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of this session hold at most ``rows`` rows, as rows are whole texts here and every task holds
-    several copies of a batch. A session that has chosen a size of its own keeps it."""
+    """Let Arrow batches of this session hold at most ``rows`` rows from now on, as rows are whole texts here and every task
+    holds several copies of a batch. A session that has chosen a size of its own, whatever it is, keeps it. Only the registered
+    queries and the pipeline call this; the operators leave the session as it is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(key):
         spark.conf.set(key, rows)
 
 

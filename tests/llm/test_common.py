@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import accepted, bitmap, crc_of, held_out, keep_rows, release, row_key, scratch, shared_dir, spread_join, with_maybe
+from lodestone.llm.common import accepted, bitmap, crc_of, held_out, keep_rows, release, row_key, scratch, shared_dir, spread_join, text_batches, with_maybe
 from lodestone.sources.files import Files
 
 
@@ -51,3 +51,14 @@ def test_scratch_tables_are_shared_and_released(spark):
     assert made.count() == 10 and any(shared_dir(spark) in f or shared_dir(spark).removeprefix("file://") in f for f in made.inputFiles())
     release(spark)
     assert not Files(spark).exists(shared_dir(spark))
+
+
+def test_text_batches_keep_a_chosen_size(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    other = spark.newSession()
+    text_batches(other)
+    assert other.conf.get(key) == "1000"
+    chosen = spark.newSession()
+    chosen.conf.set(key, 10000)
+    text_batches(chosen)
+    assert chosen.conf.get(key) == "10000"
