@@ -7,11 +7,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.urlfilter import RULES, judge, match, mine, url_tokens
+from lodestone.llm.urlfilter import RULES, RULES_SCHEMA, judge, match, mine, url_tokens
 
 SCHEMA = "page_id long, url string, html string, host string, verdict int"
 
 
+def spelled(rules):
+    """Rules over single tokens: one token of each item."""
+    return {frozenset(tokens): (r.support, round(r.confidence, 9)) for r in rules for tokens in itertools.product(*r["items"])}
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     return lambda urls: spark.createDataFrame([(i, u, None, "x", 1) for i, u in urls], SCHEMA)
@@ -34,7 +39,7 @@ URLS = [
 
 
 def test_host_path_and_explicit_rules(pages, spark):
-    none = spark.createDataFrame([], "tokens array<string>, support bigint, confidence double, anchor string")
+    none = spark.createDataFrame([], RULES_SCHEMA)
     got = judge(pages(list(enumerate(URLS))), none).collect()
     assert len(got) == len(URLS)
     for r in got:
@@ -54,11 +59,10 @@ def test_mined_rules_match_brute_force(pages):
     bad = {i: ("h:spam" in t and "p:x" in t) or (rng.random() < 0.05) for i, t in tokens.items()}
     df = pages(urls)
     labelled = df.withColumn("block", F.array_contains(F.array(*[F.lit(i) for i, b in bad.items() if b]), F.col("page_id").cast("int")))
-    got = {frozenset(r.tokens): (r.support, round(r.confidence, 9)) for r in mine(labelled, min_count=5).collect()}
-    useful = {t for t in set().union(*tokens.values()) if sum(t in s for s in tokens.values()) <= 0.9 * len(urls)}
+    got = spelled(mine(labelled, min_count=5).collect())
     want = {}
     for n in range(1, 6):
-        for items in itertools.combinations(sorted(useful), n):
+        for items in itertools.combinations(sorted(set().union(*tokens.values())), n):
             s = frozenset(items)
             own = [i for i, t in tokens.items() if s <= t]
             hits = sum(bad[i] for i in own)
@@ -67,7 +71,7 @@ def test_mined_rules_match_brute_force(pages):
     minimal = {s: v for s, v in want.items() if not any(o < s for o in want)}
     assert got == minimal and got
     rules = mine(labelled, min_count=5)
-    for max_rules in (1, 1000):
+    for max_rules in (0, 1000):
         rows = match(df.select("page_id", url_tokens("url").alias("t")), rules, "t", max_rules=max_rules).collect()
         assert {r.page_id for r in rows if r.matched} == {i for i, t in tokens.items() if any(s <= t for s in minimal)}
 
@@ -84,7 +88,37 @@ def test_edges(pages):
 def test_rules_need_the_same_count_at_every_size(spark):
     """8 blocked URLs of one host make a rule among 20,000 labelled ones, and a token in nearly all URLs can be a rule."""
     few = [(f"http://bad.test/{i}", True) for i in range(8)] + [(f"http://h{i}.test/{i}", False) for i in range(20_000)]
-    rules = {frozenset(r.tokens): r.support for r in mine(spark.createDataFrame(few, "url string, block boolean")).collect()}
-    assert rules == {frozenset(["h:bad"]): 8}
+    assert spelled(mine(spark.createDataFrame(few, "url string, block boolean")).collect()) == {frozenset(["h:bad"]): (8, 1.0)}
     most = [("http://one.site/", i % 10 > 0) for i in range(1000)]
-    assert {tuple(r.tokens) for r in mine(spark.createDataFrame(most, "url string, block boolean")).collect()} == {("h:one",), ("h:site",)}
+    assert set(spelled(mine(spark.createDataFrame(most, "url string, block boolean")).collect())) == {frozenset(["h:one"]), frozenset(["h:site"])}
+
+
+def test_repeated_long_urls_are_one_item(spark):
+    """20 copies of a URL of 40 segments, and 9 of its half: 2 items, not 2**40 itemsets."""
+    long = "http://trap.test/" + "/".join(f"s{i}" for i in range(40))
+    half = "http://half.test/" + "/".join(f"s{i}" for i in range(20))
+    rows = [(long, True)] * 20 + [(half, False)] * 9 + [(f"http://h{i}.test/x", False) for i in range(200)]
+    rules = mine(spark.createDataFrame(rows, "url string, block boolean")).collect()
+    assert [(r.support, r.confidence) for r in rules] == [(20, 1.0)]
+    assert rules[0]["items"] == [sorted(["h:trap", *(f"p:s{i}" for i in range(20, 40))])] == [rules[0].anchor]
+    # Copies that differ in a segment each: no two segments are in the same rows, but each is a rule alone.
+    varied = [("http://h.test/" + "/".join(f"s{j}" for j in range(40) if j != i), True) for i in range(40)]
+    assert set(spelled(mine(spark.createDataFrame(varied, "url string, block boolean")).collect())) == {frozenset([t]) for t in ["h:h", "h:test", *(f"p:s{i}" for i in range(40))]}
+
+
+def test_mined_rules_block_through_judge(pages):
+    """Verdicts of a whole table against brute force: explicit rules first, then mined combinations, else allow."""
+    rng = random.Random(9)
+    urls = [(i, f"http://{rng.choice('ab')}.{rng.choice(['spam', 'ham'])}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['fr', 'win', 'news'])}/{rng.randrange(9)}") for i in range(300)]
+    bad = lambda u: ".spam." in u and "/win/" in u
+    df = pages(urls)
+    rules = mine(df.filter("page_id < 200").withColumn("block", F.col("url").rlike("[.]spam[.].*/win/")))
+    assert {frozenset(["h:spam", "p:win"])} <= set(spelled(rules.collect()))
+    seen = set()
+    for r in judge(df, rules).collect():
+        url = urls[r.page_id][1]
+        host, path = plain_parts(url)
+        want = "block" if host.endswith(".net") else "allow" if host.endswith(".org") and path.startswith("/fr/") else "block" if bad(url) else "allow"
+        assert r.verdict == want, url
+        seen.add((r.rule is None, r.verdict))
+    assert seen == {(True, "block"), (True, "allow"), (False, "block"), (False, "allow")}
