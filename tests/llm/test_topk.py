@@ -75,8 +75,24 @@ def test_products_are_exact():
     for bits in (10, 28):
         a = np.array([[rng.getrandbits(bits) - (1 << bits - 1) for _ in range(5)] for _ in range(4)], np.int64)
         assert products(a, a).tolist() == [[sum(x * y for x, y in zip(r, s)) for s in a.tolist()] for r in a.tolist()]
-    with pytest.raises(OverflowError):
-        products(np.array([[1 << 40]]), np.array([[1 << 40]]))
+    assert products(np.array([[1 << 40, 3]]), np.array([[1 << 40, 5]])).tolist() == [[(1 << 80) + 15]]
+    least = np.iinfo(np.int64).min
+    assert products(np.array([[least]]), np.array([[1]])).tolist() == [[least]]
+
+
+@pytest.mark.parametrize("seed_rows", [3, 2048])
+def test_every_finite_component(spark, monkeypatch, seed_rows):
+    """Components of up to 3.4e38 beside small ones: ranked by exact products, scores beyond a long come back as the nearest long."""
+    monkeypatch.setattr(topk, "SEED_ROWS", seed_rows)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rng = random.Random(8)
+    sizes = [1.0, 1e10, 3e38, 1e-30, 2e15, 0.0]
+    rows = [(i, [rng.choice(sizes) * rng.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    rows += [(60, [3.4028234663852886e38] * 3), (61, [-3.4028234663852886e38] * 3), (62, [3.4028234663852886e38] * 3), (63, [1e10, 1.0, 1.0])]
+    df = make(spark, rows)
+    got = {tuple(r) for r in top_k(df, df.filter("vec_id % 20 = 0"), 10).collect()}
+    nearest = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+    assert got == {(q, r, v, nearest(x)) for q, r, v, x in brute(rows, lambda i: i % 20 == 0, 10)} and len(got) == 40
 
 
 def test_quantisation(spark):
