@@ -70,7 +70,8 @@ FROM d JOIN g USING (text_sha256)
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     root, directory = warc.write_archives(pages)
-    return warc.read_archives(root, directory, payloads=False).select(
+    found = warc.search(root, directory, pages.select(warc.surt("url").alias("key")), payloads=False)
+    return found.select(
         F.col("id").cast("long").alias("page_id"),
         F.col("bytes").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),

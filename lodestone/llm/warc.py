@@ -3,9 +3,10 @@
 Pages are put in the order of their reversed-host (SURT) keys, range by range. Each task writes one archive, a gzip member per
 record, and beside it a capture file: sorted capture lines in compressed blocks of BLOCK_LINES. The sparse
 block directory has one row per block (first and last key, where the block is, which archive it points
-into) and is an ordinary table. A lookup searches the directory by key range, reads one block by its byte
-range, searches it by bisection, and reads single records by their byte ranges. As the archives
-follow the order of the index, a whole block of records is one byte range too, which is how everything is read back.
+into) and is an ordinary table. A search bisects the archives' key ranges, then the directory rows of an archive, reads one block by its
+byte range, bisects its lines, and reads records by their byte ranges, neighbours in one read.
+
+Digests and keys are written once, without payloads; groups of equal payloads and the borders of the ranges come from there.
 
 Files go to a folder that all executors share, through pyarrow's file systems. An attempt of a task
 names its files by a fresh id and only the directory rows of successful attempts are kept (in a written
@@ -20,7 +21,7 @@ import json
 import re
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +36,8 @@ BLOCK_LINES = 256
 MIN_REVISIT_BYTES = 1000
 BITMAP_BITS = 24
 DATE = "2000-01-01T00:00:00Z"
+#: Keys that the borders of each archive's range are drawn from.
+SAMPLE_KEYS = 64
 #: Bytes that a reader holds of an archive at once, unless one record is larger.
 READ_BYTES = 8 << 20
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -49,27 +52,33 @@ def surt(url: str) -> Column:
     return F.when(rest == "", text).otherwise(F.concat(reversed_host, F.lit(")"), tail))
 
 
-def plan_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Rows (``id``, ``url``, ``payload``, ``digest``, ``bytes``, ``refers``): refers is null for responses.
+def hashed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """Rows (``id``, ``url``, ``payload``, ``digest``, ``bytes``, ``key``, ``spread``: a hash of the id)."""
+    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    size = F.octet_length("payload").cast("long")
+    return rows.select("id", "url", "payload", F.sha1("payload").alias("digest"), size.alias("bytes"), surt("url").alias("key"), F.xxhash64(F.col("id").cast("string")).alias("spread"))
+
+
+def plan_revisits(rows: DataFrame, digests: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """``rows`` with ``refers``, which is null for responses; ``digests`` holds their ``id``, ``digest`` and ``bytes``.
 
     Of equal payloads of at least ``min_bytes`` the row with the largest id is the response (null ids are no
     candidates unless all are null, and then all are responses); rows that repeat that id and payload are responses too.
     """
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.select("id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
     keys = ["digest", "bytes"]
-    groups = rows.filter(F.col("bytes") >= min_bytes).groupBy(*keys).agg(F.max("id").alias("keep"), F.count("*").alias("n"))
+    groups = digests.filter(F.col("bytes") >= min_bytes).groupBy(*keys).agg(F.max("id").alias("keep"), F.count("*").alias("n"))
     groups = scratch(groups.filter((F.col("n") > 1) & F.col("keep").isNotNull()).select(*keys, "keep"), "warc-groups")
     # Only rows whose payload may repeat go through the join.
-    marked = with_maybe(rows, bitmap(groups, keys, BITMAP_BITS), keys, BITMAP_BITS)
+    made = bitmap(groups, keys, BITMAP_BITS)
+    marked = with_maybe(rows, made, keys, BITMAP_BITS)
     alone = marked.filter(~F.col("__maybe")).withColumn("keep", F.col("id"))
     maybe = marked.filter("__maybe")
-    all_groups = maybe.groupBy(*keys).agg(F.max("id").alias("own")).join(groups, keys, "left").select(*keys, "keep")
-    joined = spread_join(maybe.withColumn("__spread", F.coalesce(F.col("id").cast("string"), F.lit(""))), all_groups, keys, "__spread")
+    all_groups = with_maybe(digests, made, keys, BITMAP_BITS).filter("__maybe").select(*keys).distinct().join(groups, keys, "left")
+    joined = spread_join(maybe, all_groups, keys, "spread")
     both = joined.select(*alone.columns).unionByName(alone)
     revisit = F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))
-    return both.select("id", "url", "payload", "digest", "bytes", F.when(revisit, F.col("keep")).alias("refers"))
+    return both.select(*rows.columns, F.when(revisit, F.col("keep")).alias("refers"))
 
 
 def record(page_id: object, url: str | None, payload: bytes, digest: str, refers: object, date: str = DATE) -> bytes:
@@ -163,18 +172,37 @@ def _write(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]
     yield pd.DataFrame(directory, columns=[c.split()[0] for c in _DIRECTORY.split(", ")])
 
 
+def borders(keyed: DataFrame, parts: int) -> list[tuple[str, int]]:
+    """At most ``parts`` - 1 values of (key, spread) that cut the rows into ranges of about the same size; rows of one key may be cut
+    apart, since their hashes of ids differ."""
+    picked = keyed.select("key", "spread").orderBy(F.xxhash64("key", "spread", F.lit("border")), "key").limit(SAMPLE_KEYS * parts)
+    cut = sorted((r.key, r.spread) for r in picked.collect())  # at most SAMPLE_KEYS for each task that writes
+    return sorted({cut[len(cut) * i // parts] for i in range(1, parts)}) if cut else []
+
+
 def write_archives(pages: DataFrame, root: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
     """Write archives and capture files under ``root`` (a URI; default: a fresh folder in the shared scratch folder).
 
-    Returns the folder and the block directory, sorted within its partitions. Null pages have an empty
-    payload; rows of any number may share a URL; an empty table writes nothing.
+    Returns the folder and the block directory. Null pages have an empty payload; rows of any number may share a URL; an empty table
+    writes nothing. Blanks and control characters of a URL are percent-encoded in its record, which is how it is read back; the
+    index has them as they are. Null URLs have no target URI and the key of an empty one.
     """
-    root = root or fresh_path(pages.sparkSession, "warc")
-    rows = plan_revisits(pages, id_col, url_col, html_col)
+    spark = pages.sparkSession
+    root = root or fresh_path(spark, "warc")
+    rows = hashed_pages(pages, id_col, url_col, html_col)
+    digests = scratch(rows.drop("url", "payload"), "warc-digests")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = borders(digests, parts)
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, spread: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, x) for x in zip(key, spread)], dtype="int32")
+
+    planned = plan_revisits(rows, digests).withColumn("place", place("key", "spread"))
+    ordered = planned.repartitionById(parts, "place").sortWithinPartitions("key", "id")
     # Ids travel as text, so that a null among numbers does not turn them into floats.
-    rows = rows.select(surt("url").alias("key"), F.col("id").alias("order"), F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.col("refers").cast("string").alias("refers"))
-    ordered = rows.repartitionByRange("key", "order").sortWithinPartitions("key", "order").drop("order")
-    return root, scratch(ordered.mapInPandas(lambda it: _write(it, root), _DIRECTORY), "warc-directory")
+    ready = ordered.select("key", F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.col("refers").cast("string").alias("refers"))
+    return root, scratch(ready.mapInPandas(lambda it: _write(it, root), _DIRECTORY), "warc-directory")
 
 
 def _read_at(system, path: str, at: int, size: int) -> bytes:
@@ -184,7 +212,7 @@ def _read_at(system, path: str, at: int, size: int) -> bytes:
 
 
 def _block(system, base: str, row) -> list[dict]:
-    data = zlib.decompress(_read_at(system, f"{base}/{row.captures}", row.at, row.size), 31)
+    data = zlib.decompress(_read_at(system, f"{base}/{row.captures}", int(row.at), int(row.size)), 31)
     return [json.loads(x) for x in data.decode().split("\n")]
 
 
@@ -217,37 +245,68 @@ def read_archives(root: str, directory: DataFrame, payloads: bool = True) -> Dat
     return directory.repartition(parts).mapInPandas(run, _RECORD)
 
 
-def lookup(root: str, directory: DataFrame, urls: list[str]) -> DataFrame:
-    """The records of some URLs, through the index: directory, block, bisection, record."""
+def search(root: str, directory: DataFrame, keys: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of some keys (column ``key``; repeated ones count once), through the index, as ``read_archives`` returns them.
+
+    The key ranges of the archives, one row for each task that wrote, are what the driver holds. Every archive that holds
+    asked keys is one task, which gets its directory rows and then its keys in order, and holds one block and one read at a time.
+    """
     spark = directory.sparkSession
-    keys = sorted({r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(surt("u")).collect()})
+    ranges = sorted((r.first, r.last, r.archive) for r in directory.groupBy("archive").agg(F.min("first").alias("first"), F.max("last").alias("last")).collect())
+    if not ranges:
+        return spark.createDataFrame([], _RECORD)
+    firsts, lasts = [r[0] for r in ranges], [r[1] for r in ranges]
+
+    @F.pandas_udf("array<int>")
+    def places(key: pd.Series) -> pd.Series:
+        return pd.Series([list(range(bisect_left(lasts, k), bisect_right(firsts, k))) for k in key])
+
+    numbers = spark.createDataFrame([(r[2], i) for i, r in enumerate(ranges)], "archive string, place int")
+    asked = keys.select("key").distinct().select(F.explode(places("key")).alias("place"), F.col("key").alias("first"))
+    both = directory.join(F.broadcast(numbers), "archive").unionByName(asked, allowMissingColumns=True)
+    # Directory rows come before keys, which have no capture file.
+    dealt = both.repartitionById(len(ranges), "place").sortWithinPartitions("place", F.col("captures").isNull(), "first", "at")
+    return dealt.mapInPandas(lambda it: _find(it, root, payloads), _RECORD)
+
+
+def _find(batches: Iterator[pd.DataFrame], root: str, payloads: bool) -> Iterator[pd.DataFrame]:
+    """Directory rows of an archive, then the keys asked from it, in order; archive after archive."""
+    system, base = fs.FileSystem.from_uri(root)
+    place, blocks, firsts, lasts = None, [], [], []
+    opened: tuple[int, list[dict], list[str]] | None = None
+    waiting: list[dict] = []
+
+    def read() -> pd.DataFrame:
+        nonlocal waiting
+        start, stop = waiting[0]["at"], waiting[-1]["at"] + waiting[-1]["size"]
+        raw = _read_at(system, f"{base}/{blocks[0].archive}", start, stop - start)
+        found = [parse(zlib.decompress(raw[c["at"] - start : c["at"] - start + c["size"]], 31)) for c in waiting]
+        waiting = []
+        return pd.DataFrame([r if payloads else r | {"payload": None} for r in found], columns=[c.split()[0] for c in _RECORD.split(", ")])
 
-    def holds(first: str, last: str) -> bool:
-        at = bisect_left(keys, first)
-        return at < len(keys) and keys[at] <= last
+    for b in batches:
+        for row in b.itertuples():
+            if row.place != place:
+                if waiting:
+                    yield read()
+                place, blocks, firsts, lasts, opened = row.place, [], [], [], None
+            if row.captures is not None:
+                blocks.append(row)
+                firsts.append(row.first)
+                lasts.append(row.last)
+                continue
+            for n in range(bisect_left(lasts, row.first), bisect_right(firsts, row.first)):
+                if opened is None or opened[0] != n:
+                    lines = _block(system, base, blocks[n])
+                    opened = (n, lines, [c["k"] for c in lines])
+                for c in opened[1][bisect_left(opened[2], row.first) : bisect_right(opened[2], row.first)]:
+                    if waiting and (c["at"] != waiting[-1]["at"] + waiting[-1]["size"] or c["at"] + c["size"] - waiting[0]["at"] > READ_BYTES):
+                        yield read()
+                    waiting.append(c)
+    if waiting:
+        yield read()
 
-    @F.pandas_udf("boolean")
-    def wanted(first: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series([holds(a, b) for a, b in zip(first, last)], dtype=bool)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = fs.FileSystem.from_uri(root)
-        for b in batches:
-            for row in b.itertuples():
-                captures = _block(system, base, row)
-                own = [c["k"] for c in captures]
-                found = []
-                for k in keys[bisect_left(keys, own[0]) :]:
-                    if k > own[-1]:
-                        break
-                    at = bisect_left(own, k)
-                    while at < len(own) and own[at] == k:
-                        c = captures[at]
-                        found.append(parse(zlib.decompress(_read_at(system, f"{base}/{row.archive}", c["at"], c["size"]), 31)))
-                        at += 1
-                yield pd.DataFrame(found, columns=[c.split()[0] for c in _RECORD.split(", ")])
-
-    if not keys:
-        return spark.createDataFrame([], _RECORD)
-    near = directory.filter((F.col("last") >= keys[0]) & (F.col("first") <= keys[-1]))
-    return near.filter(wanted("first", "last")).mapInPandas(run, _RECORD)
+def lookup(root: str, directory: DataFrame, urls: list[str]) -> DataFrame:
+    """The records of some URLs."""
+    return search(root, directory, directory.sparkSession.createDataFrame([(u,) for u in urls], "url string").select(surt("url").alias("key")))

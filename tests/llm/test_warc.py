@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from lodestone.llm import warc
-from lodestone.llm.warc import lookup, parse, read_archives, record, surt, write_archives
+from lodestone.llm.warc import lookup, parse, read_archives, record, search, surt, write_archives
 
 BIG, OTHER = "x" * 1000, "é" * 500
 ROWS = [
@@ -47,6 +47,12 @@ def test_round_trip_through_the_index(pages, monkeypatch):
     assert texts == {(r.id, r.digest) for r in got if r.type == "response"}
     blocks = directory.collect()
     assert sum(b.lines for b in blocks) == len(ROWS) and all(b.first <= b.last for b in blocks)
+    # Every key once, or several times, finds every record once; so does a walk of the directory.
+    keys = pages(ROWS).select(surt("url").alias("key"))
+    for payloads in (True, False):
+        found = search(root, directory, keys, payloads).collect()
+        assert sorted(((str(r.id), r.bytes, r.digest, r.type, r.refers) for r in found), key=str) == want(ROWS)
+        assert all((r.payload is not None) == (payloads and r.type == "response") for r in found)
     found = lookup(root, directory, ["HTTP://A.example.com/1?q=1", "http://c.org", "http://absent.org/"]).collect()
     assert sorted(int(r.id) for r in found) == [2, 4, 5, 5, 6, 9]
     assert lookup(root, directory, []).count() == 0
@@ -58,6 +64,19 @@ def test_round_trip_through_the_index(pages, monkeypatch):
 def test_empty_table(pages):
     root, directory = write_archives(pages([]))
     assert directory.count() == 0 and read_archives(root, directory).count() == 0
+    assert lookup(root, directory, ["http://c.org"]).count() == 0
+
+
+def test_one_url_over_many_archives_and_blocks(pages, monkeypatch, spark):
+    """A URL of most rows is cut into several archives and blocks, and a search finds all of them."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    rows = [(i, "http://hot.org/" if i % 4 else f"http://h{i}.org/a b", f"<p>{i}") for i in range(200)]
+    root, directory = write_archives(pages(rows))
+    hot = directory.filter("first <= 'org,hot)/' and last >= 'org,hot)/'")
+    assert hot.select("archive").distinct().count() > 1
+    found = lookup(root, directory, ["http://hot.org/", "http://h8.org/a b", "http://h8.org/"]).collect()
+    assert sorted(int(r.id) for r in found) == sorted([8, *(i for i in range(200) if i % 4)])
+    assert {r.url for r in found} == {"http://hot.org/", "http://h8.org/a%20b"}
 
 
 def test_surt(pages):
