@@ -3,20 +3,22 @@
 Tasks turn chunks of documents into tokens, written once, and into sorted hashes of their n-grams up to ``order``
 with their counts in training texts. These blobs are dealt by hash to buckets, where totals are summed and each
 chunk's share of the totals is sent back. Every n-gram of the training texts counts, whatever the corpus; neither
-the vocabulary nor the n-grams leave the buckets but as counts for the chunks that hold them.
-
-States of the automaton are contexts that n-grams continue. An arc carries
-log10((c(h, w) + m P(w | h')) / (c(h) + m0)), where h' is h without its first word and the mass m = m0 + c(h) - (counts
-on arcs of h) is what dropped continuations and smoothing leave; the failure arc to h' carries
-log10(m / (c(h) + m0)). At the root a word has (1 - u) c / N and all words never seen in training share
-u, the share of words seen once (Good-Turing). A document is traversed once from left to right; as a step's weight
+the vocabulary nor the n-grams leave the buckets but as counts for the chunks that hold them. A frequent n-gram is one entry
+per chunk, and as n-grams are dealt by all of their words, no bucket holds all continuations of a frequent word.
+
+States of the automaton are contexts h that training texts continue. The arc of a word w that follows h carries
+log10((1 - m) c(h, w) / c(h) + m P(w | h')), where h' is h without its first word; the failure arc to h' carries log10(m).
+The mass m that a context leaves to words it has not been followed by is learnt from all training texts, for each order
+and each power of two of c(h), by leaving one out: of the tokens whose context comes r + 1 times, the share that follow it
+nowhere else is the mass of contexts that come r times. At the root a word has (1 - u) c / N, and all words never seen in
+training share u, the share of words seen once (Good-Turing). A document is traversed once from left to right; as a step
 depends on the last ``order`` words alone, a chunk takes the steps of all its positions at once.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,13 +29,17 @@ from pyspark.sql import functions as F
 from .common import scratch
 from .tokens import mix, word_hashes
 
-#: Share of the training tokens that an n-gram needs to be kept; by default every one is.
-THETA = 0.0
 ORDER = 3
-SMOOTHING = 4.0
 #: Bytes of text that a task handles at once (a longer document is a chunk of its own).
 CHUNK_BYTES = 6 << 20
 CHUNK_DOCS = 20_000
+#: Tokens of the corpus for each bucket: the size of a counting task stays the same at every size.
+BUCKET_TOKENS = 1 << 20
+#: Hashes of n-grams have that many bits more than the number of tokens, 64 at most: fewer than one n-gram in 2**SPARE_BITS shares
+#: its hash with another one. Words always have all 64 bits.
+SPARE_BITS = 20
+#: Powers of two of a context's count.
+LEVELS = 48
 #: The end of a text as a token; it is also the context before the first word.
 END = np.uint64(0x5BD1E9955BD1E995)
 
@@ -68,11 +74,6 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
         yield cut()
 
 
-def _deal(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each hash; it grows with the hash, so that sorted hashes are in order of buckets."""
-    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-
-
 def _packed(n: np.ndarray) -> bytes:
     """Integers as compressed planes of bytes, as many as the largest one needs."""
     width = np.min_scalar_type(int(n.max(initial=0))).itemsize
@@ -93,45 +94,42 @@ def _unpack_hashes(packed: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(packed).astype(np.uint64), dtype=np.uint64)
 
 
-def grams_of(h: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per n up to ``order``: positions where an n-gram ends, its hash, and the hash of its context.
+def hash_bits(tokens: int) -> int:
+    """Bits of the hashes of n-grams of two words and more."""
+    return min(64, max(40, tokens.bit_length() + SPARE_BITS))
+
+
+def grams_of(h: np.ndarray, doc: np.ndarray, order: int, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per n up to ``order``: positions where an n-gram ends, and its hash (64 bits for words, else ``bits``).
 
     END before a document counts as its first word. ``h`` holds tokens, so n-grams of n > 1 end at each document's first or a later one.
     """
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
     place = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-    at, key, context = np.arange(len(h)), h, np.zeros(len(h), np.uint64)
-    yield at, key, context
+    at, key = np.arange(len(h)), h
+    yield at, key
     before = np.full(len(h), END)  # the hash of the (n - 1)-gram that ends just before each position
     for n in range(2, order + 1):
         if n == 2:
             before[~first] = h[:-1][~first[1:]]
         else:
-            there = place >= n - 2
             last = np.zeros(len(h), np.uint64)
             last[at] = key
-            at = np.flatnonzero(there)
+            at = np.flatnonzero(place >= n - 2)
             before = last[at - 1]
-        context = before
-        key = mix((mix(context + np.uint64(n)) ^ h[at]) * np.uint64(0x9FB21C651E98DF25))
-        yield at, key, context
+        key = mix((mix(before + np.uint64(n)) ^ h[at]) * np.uint64(0x9FB21C651E98DF25))
+        yield at, key >> np.uint64(64 - bits)
 
 
-def _sorted(key: np.ndarray, context: np.ndarray, n: int, arcs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(an index for each distinct n-gram in the order in which they are dealt, the number of the n-gram at each position)."""
-    if not arcs or n == 1:
-        _, index, back = np.unique(key, return_index=True, return_inverse=True)
-        return index, back
-    order = np.lexsort((key, context))
-    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])])
-    back = np.empty(len(key), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return order[new], back
+def _deal(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Bucket of each hash; it grows with the hash, so that sorted hashes are in order of buckets."""
+    return (((key >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
 
 
-_TOKENS = "chunk bigint, trained bigint, ids array<string>, held array<boolean>, sizes array<int>, words binary, tokens binary"
-_BLOBS = "chunk bigint, n int, bucket int, keys binary, contexts binary, times binary"
-_COUNTS = "chunk bigint, n int, bucket int, words bigint, once bigint, counts binary, arcs binary"
+_TOKENS = "chunk bigint, trained bigint, n_tokens bigint, ids array<string>, held array<boolean>, sizes array<int>, words binary, tokens binary"
+_BLOBS = "chunk bigint, n int, bucket int, keys binary, times binary"
+_COUNTS = "chunk bigint, n int, bucket int, words bigint, once bigint, counts binary"
+_COUNTED = "ids array<string>, held array<boolean>, sizes array<int>, counts array<binary>, starts bigint, words bigint, once bigint, every array<bigint>, alone array<bigint>"
 
 
 def _columns(schema: str) -> list[str]:
@@ -148,238 +146,197 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = np.argsort(-times, kind="stable")  # small numbers for common words
         place = np.empty(len(words), np.int64)
         place[common] = np.arange(len(words))
-        row = ((part << 32) | seq, int(sizes[~held].sum()), rows["__id"].tolist(), held.tolist(), sizes.tolist(), _pack_hashes(words[common]), _packed(place[tokens]))
+        row = ((part << 32) | seq, int(sizes[~held].sum()), len(h), rows["__id"].tolist(), held.tolist(), sizes.tolist(), _pack_hashes(words[common]), _packed(place[tokens]))
         yield pd.DataFrame([row], columns=_columns(_TOKENS))
 
 
-def _read(r: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, row number of each token, sizes) of a row of ``_tokens``."""
-    sizes = np.asarray(r.sizes, np.int64)
-    return _unpack_hashes(r.words)[_unpacked(r.tokens)], np.repeat(np.arange(len(sizes)), sizes), sizes
+def _read(r: object) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, row number of each token) of a row of ``_tokens``."""
+    return _unpack_hashes(r.words)[_unpacked(r.tokens)], np.repeat(np.arange(len(r.sizes)), r.sizes)
 
 
-def _blobs(batches: Iterator[pd.DataFrame], order: int, buckets: int, arcs: bool) -> Iterator[pd.DataFrame]:
-    """Per chunk, n and bucket the n-grams, their contexts if ``arcs``, and how often training texts hold them."""
+def _blobs(batches: Iterator[pd.DataFrame], order: int, bits: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Per chunk, n and bucket the distinct n-grams, sorted, and how often training texts hold them."""
     for r in (r for b in batches for r in b.itertuples()):
-        h, doc, _ = _read(r)
+        h, doc = _read(r)
         train = ~np.asarray(r.held, bool)
-        for n, (at, key, context) in enumerate(grams_of(h, doc, order), start=1):
+        for n, (at, key) in enumerate(grams_of(h, doc, order, bits), start=1):
             if not len(at):
                 break
-            index, back = _sorted(key, context, n, arcs)
-            times = np.bincount(back[train[doc[at]]], minlength=len(index))
-            key, context, out = key[index], context[index], []
-            bucket = _deal(context if arcs and n > 1 else key, buckets)
+            key, back = np.unique(key, return_inverse=True)
+            times = np.bincount(back[train[doc[at]]], minlength=len(key))
+            bucket = _deal(key, bits if n > 1 else 64, buckets)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            for a, b in zip(cut, np.append(cut[1:], len(key))):
-                contexts = _pack_hashes(context[a:b]) if arcs and n > 1 else None
-                out.append((r.chunk, n, int(bucket[a]), _pack_hashes(key[a:b]), contexts, _packed(times[a:b])))
+            out = [(r.chunk, n, int(bucket[a]), _pack_hashes(key[a:b]), _packed(times[a:b])) for a, b in zip(cut, np.append(cut[1:], len(key)))]
             yield pd.DataFrame(out, columns=_columns(_BLOBS))
 
 
-def _totals(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """For one n and bucket: per chunk the counts of its n-grams and, if they came with contexts, those on the arcs of the contexts."""
+def _totals(group: pd.DataFrame) -> pd.DataFrame:
+    """For one n and bucket: per chunk the counts of its n-grams; with the first chunk the numbers of words seen, and seen once."""
     n, bucket = int(group["n"].iloc[0]), int(group["bucket"].iloc[0])
     parts = [_unpack_hashes(k) for k in group["keys"]]
-    every, index, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    every, back = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.zeros(len(every), np.int64)
     np.add.at(total, back, np.concatenate([_unpacked(t) for t in group["times"]]).astype(np.int64))
-    on_arcs = None
-    if group["contexts"].iloc[0] is not None:
-        _, which = np.unique(np.concatenate([_unpack_hashes(c) for c in group["contexts"]])[index], return_inverse=True)
-        kept = np.zeros(which.max() + 1, np.int64)
-        np.add.at(kept, which, np.where(total >= least, total, 0))
-        on_arcs = kept[which]
     out, at = [], 0
     for i, (chunk, keys) in enumerate(zip(group["chunk"].tolist(), parts)):
         own = back[at : at + len(keys)]
         at += len(keys)
         words, once = (int((total > 0).sum()), int((total == 1).sum())) if i == 0 and n == 1 else (0, 0)
-        out.append((chunk, n, bucket, words, once, _packed(total[own]), None if on_arcs is None else _packed(on_arcs[own])))
+        out.append((chunk, n, bucket, words, once, _packed(total[own])))
     return pd.DataFrame(out, columns=_columns(_COUNTS))
 
 
-def _scored(chunk: pd.DataFrame, counts: pd.DataFrame, order: int, arcs: bool, least: float, tokens: int, unseen: float, smoothing: float) -> pd.DataFrame:
-    """Sums per document of one chunk from its tokens and the counts that the buckets sent back."""
+def _contexts(c: list[np.ndarray], first: np.ndarray, starts: int, n: int) -> np.ndarray:
+    """Count of the context of the n-gram that ends at each position, from the counts of n-grams by order; 0 where there is none."""
+    before = np.zeros(len(first), np.int64)
+    before[1:] = c[n - 2][:-1]
+    # The context of a document's first word is END alone; there is no longer one.
+    return np.where(first, starts if n == 2 else 0, before)
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    """Power of two of a count of at least 1."""
+    return np.frexp(count.astype(np.float64))[1] - 1
+
+
+def _counted(chunk: pd.DataFrame, counts: pd.DataFrame, order: int, bits: int) -> pd.DataFrame:
+    """One chunk with the counts of the n-grams at its positions, and what it tells about the mass of contexts."""
     r = next(chunk.itertuples())
-    h, doc, sizes = _read(r)
+    h, doc = _read(r)
     counts = counts.sort_values(["n", "bucket"])
-    # Counts of the (n - 1)-grams that end at each position; shifted by one, they are those of the contexts.
-    p = below = None
-    for n, (at, key, context) in enumerate(grams_of(h, doc, order), start=1):
-        if not len(at):
-            break
-        own = counts[counts["n"] == n]
-        _, back = _sorted(key, context, n, arcs)
-        c = np.concatenate([_unpacked(x) for x in own["counts"]]).astype(np.int64)[back]
-        if n == 1:
-            known, p = c > 0, np.where(c > 0, (1 - unseen) / max(1, tokens) * c, unseen)
-            base = np.log10(c + 0.5)
-            starts = int(c[h == END][0])
-            below = c
-        else:
-            # The context of a document's first word is END alone.
-            total = np.where(np.concatenate([[True], doc[1:] != doc[:-1]])[at], starts, below[at - 1])
-            if arcs:
-                on = np.concatenate([_unpacked(x) for x in own["arcs"]]).astype(np.int64)[back]
-            else:
-                on = total
-            mass = smoothing + np.maximum(0, total - on)
-            p[at] = np.where(on > 0, (np.where(c >= least, c, 0) + mass * p[at]) / (total + smoothing), p[at])
-            below = np.zeros(len(h), np.int64)
-            below[at] = c
-    return pd.DataFrame({
-        "id": list(r.ids),
-        "held": list(r.held),
-        "n_tokens": sizes,
-        "known": np.bincount(doc, known, minlength=len(sizes)).astype(np.int64),
-        "base": np.bincount(doc, base, minlength=len(sizes)),
-        "score": np.bincount(doc, np.log10(p), minlength=len(sizes)),
-    })
-
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    train = ~np.asarray(r.held, bool)[doc]
+    c: list[np.ndarray] = []
+    for n, (at, key) in enumerate(grams_of(h, doc, order, bits), start=1):
+        c.append(np.zeros(len(h), np.int64))
+        if len(at):
+            back = np.unique(key, return_inverse=True)[1]
+            c[-1][at] = np.concatenate([_unpacked(x) for x in counts["counts"][counts["n"] == n]]).astype(np.int64)[back]
+    starts = int(c[0][h == END][0])
+    every, alone = np.zeros((order + 1, LEVELS), np.int64), np.zeros((order + 1, LEVELS), np.int64)
+    for n in range(2, order + 1):
+        rest = _contexts(c, first, starts, n) - 1
+        use = train & (rest > 0)
+        level = _level(rest[use])
+        every[n], alone[n] = np.bincount(level, minlength=LEVELS), np.bincount(level[c[n - 1][use] == 1], minlength=LEVELS)
+    row = (r.ids, r.held, r.sizes, [_packed(x) for x in c], starts, int(counts["words"].sum()), int(counts["once"].sum()), every.ravel(), alone.ravel())
+    return pd.DataFrame([row], columns=_columns(_COUNTED))
 
-class Heads:
-    """Frequent words: sorted hashes and their counts; ids are positions."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+def masses(every: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Mass of contexts by order (rows) and power of two of their count, strictly between 0 and 1; 1/2 where nothing is known."""
+    return (alone + 1) / (every + 2)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
 
-    def __len__(self) -> int:
-        return len(self.hashes)
+def _scored(r: object, order: int, tokens: int, unseen: float, mass: np.ndarray) -> pd.DataFrame:
+    """Sums per document of one chunk: the automaton's steps at all positions, from the root's arcs to those of the longest contexts."""
+    doc = np.repeat(np.arange(len(r.sizes)), r.sizes)
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    c = [_unpacked(x).astype(np.int64) for x in r.counts]
+    p = np.where(c[0] > 0, (1 - unseen) / max(1, tokens) * c[0], unseen)
+    for n in range(2, order + 1):
+        context = _contexts(c, first, r.starts, n)
+        at = np.flatnonzero(context > 0)  # elsewhere there is no such state
+        m = mass[n, _level(context[at])]
+        # Without an arc this is the failure arc: m times what the shorter context gives.
+        p[at] = (1 - m) * c[n - 1][at] / context[at] + m * p[at]
+    docs = len(r.sizes)
+    return pd.DataFrame({
+        "id": list(r.ids),
+        "held": list(r.held),
+        "n_tokens": np.asarray(r.sizes, np.int64),
+        "known": np.bincount(doc, c[0] > 0, minlength=docs).astype(np.int64),
+        "base": np.bincount(doc, np.log10(c[0] + 0.5), minlength=docs),
+        "score": np.bincount(doc, np.log10(p), minlength=docs),
+    })
 
 
 class Automaton:
-    """Arcs (state * size + word) -> (weight, next state); failure arcs per state; ``leave``: weight down to the root.
+    """The whole automaton of a model that fits into memory; ``score`` takes the same steps without building it.
 
-    The whole automaton of a model that fits into memory; ``score`` takes the same steps without building it.
+    ``counts[n - 1]`` maps n-grams (tuples) to their counts, ``end`` is the token before a text and after it, and ``mass`` gives
+    the mass of a context from the length of its n-grams and its count. States are contexts; ``arcs`` lead from (state, word) to
+    (weight, next state), ``fail`` from a state to (weight, state of the context without its first word).
     """
 
-    def __init__(self, heads: Heads, grams: list[dict[int, int]], tokens: int, unseen: float, smoothing: float = SMOOTHING):
-        size = max(1, len(heads))
-        self.size, self.heads = size, heads
-        end = heads.ids(np.array([END], np.uint64))[0]
-        share = (1 - unseen) / max(1, tokens)
-        self.unigram = np.log10(np.maximum(heads.counts * share, 1e-300)) if len(heads) else np.zeros(0)
-        # Contexts that frequent n-grams continue, by length; the key of an n-gram is sum(id_j * size**(n-1-j)).
-        states: list[dict[int, int]] = [{0: 0}]
-        number = 1
-        for n in range(2, len(grams) + 2):
-            own: dict[int, int] = {}
-            for k in sorted({key // size for key in grams[n - 2]}):
-                own[k] = number
-                number += 1
-            states.append(own)
-        self.fail, self.fail_weight, self.leave = [0] * number, [0.0] * number, [0.0] * number
-        counts = [{i: int(c) for i, c in enumerate(heads.counts)}, *grams]
-        modulus = [size**i for i in range(len(grams) + 2)]
-
-        def longest(key: int, n: int) -> int:
-            """State of the longest suffix of an n-gram that is a context."""
-            for m in range(min(n, len(states) - 1), 0, -1):
-                if (s := states[m].get(key % modulus[m])) is not None:
-                    return s
-            return 0
-
-        self.arcs: dict[int, tuple[float, int]] = {w: (float(self.unigram[w]), longest(w, 1)) for w in range(len(heads))}
-        for n, own in enumerate(grams, start=2):
-            on_arcs: dict[int, int] = {}
-            for key, c in own.items():
-                on_arcs[key // size] = on_arcs.get(key // size, 0) + c
-            mass: dict[int, float] = {}
-            for context, s in states[n - 1].items():
-                total = counts[n - 2][context]
-                mass[context] = smoothing + max(0, total - on_arcs[context])
-                low = longest(context % modulus[n - 2], n - 2) if n > 2 else 0
-                self.fail[s] = low
-                self.fail_weight[s] = float(np.log10(mass[context] / (total + smoothing)))
-                self.leave[s] = self.fail_weight[s] + self.leave[low]
-            for key, c in own.items():
-                context, word = divmod(key, size)
-                s = states[n - 1][context]
-                lower = 10 ** self.weigh(self.fail[s], word)
-                p = (c + mass[context] * lower) / (counts[n - 2][context] + smoothing)
-                self.arcs[s * size + word] = (float(np.log10(p)), longest(key, n))
-        self.start = states[1].get(int(end), 0) if len(states) > 1 and end >= 0 else 0
-
-    def weigh(self, state: int, word: int) -> float:
-        """log10 probability of a frequent word in a state."""
+    def __init__(self, counts: list[dict[tuple, int]], end: Hashable, tokens: int, unseen: float, mass: Callable[[int, int], float]):
+        self.unseen = float(np.log10(unseen))
+        states = {()} | {g[:-1] for own in counts[1:] for g in own}
+        suffix = lambda g: next(g[i:] for i in range(len(g) + 1) if g[i:] in states)
+        self.fail: dict[tuple, tuple[float, tuple]] = {}
+        longest = len(counts)
+        self.arcs = {((), g[0]): (float(np.log10((1 - unseen) * c / tokens)), suffix(g if longest > 1 else ())) for g, c in counts[0].items()}
+        for n, own in enumerate(counts[1:], start=2):
+            for context in {g[:-1] for g in own}:
+                self.fail[context] = (float(np.log10(mass(n, counts[n - 2][context]))), suffix(context[1:]))
+            for g, c in own.items():
+                context, count = g[:-1], counts[n - 2][g[:-1]]
+                m = mass(n, count)
+                lower = 10 ** self.weigh(self.fail[context][1], g[-1])[0]
+                self.arcs[context, g[-1]] = (float(np.log10((1 - m) * c / count + m * lower)), suffix(g if n < longest else g[1:]))
+        self.start = suffix((end,))
+
+    def weigh(self, state: tuple, word: Hashable) -> tuple[float, tuple]:
+        """(log10 probability of a word in a state, next state): failure arcs until there is an arc; unseen words end at the root."""
         total = 0.0
-        while (arc := self.arcs.get(state * self.size + word)) is None:
-            total += self.fail_weight[state]
-            state = self.fail[state]
-        return total + arc[0]
-
-    def traverse(self, ids: list[int]) -> float:
-        """Weights of one left-to-right traversal; a word that is not frequent (-1) adds its way to the root only."""
-        arcs, fail, fail_weight, leave, size = self.arcs, self.fail, self.fail_weight, self.leave, self.size
+        while (arc := self.arcs.get((state, word))) is None:
+            if not state:
+                return total + self.unseen, ()
+            weight, state = self.fail[state]
+            total += weight
+        return total + arc[0], arc[1]
+
+    def traverse(self, words: list) -> float:
+        """Log10 probability of a text (with its end), by one traversal from left to right."""
         state, total = self.start, 0.0
-        for w in ids:
-            if w < 0:
-                total += leave[state]
-                state = 0
-                continue
-            while (arc := arcs.get(state * size + w)) is None:
-                total += fail_weight[state]
-                state = fail[state]
-            total += arc[0]
-            state = arc[1]
+        for w in words:
+            weight, state = self.weigh(state, w)
+            total += weight
         return total
 
 
-def score(
-    docs: DataFrame,
-    held_out: Column,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    *,
-    theta: float = THETA,
-    order: int = ORDER,
-    buckets: int | None = None,
-) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, buckets: int | None = None) -> DataFrame:
     """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     The model learns from all rows where ``held_out`` is false. Null texts are empty, an empty text is the
     end token alone. Without training rows every score is 0. Repeated rows are all scored and all count.
     Extra columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("string").alias("__id"),  # as text, since pandas has no integers with nulls
         F.coalesce(held_out, F.lit(False)).alias("__held"),
         F.col(text_col).alias("__text"),
     )
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    arcs = theta > 0  # else nothing is dropped, and the counts on a context's arcs are its own
     own = scratch(rows.mapInPandas(_tokens, _TOKENS), "lm-tokens")
-    tokens = int(own.agg(F.sum("trained")).first()[0] or 0)
-    least = max(1.0, theta * tokens)
-    blobs = own.mapInPandas(lambda it: _blobs(it, order, buckets, arcs), _BLOBS)
-    counts = scratch(blobs.groupBy("n", "bucket").applyInPandas(lambda g: _totals(g, least), _COUNTS), "lm-counts")
-    sums = counts.agg(F.sum("words"), F.sum("once")).first()
-    words, once = int(sums[0] or 0), int(sums[1] or 0)
-    unseen = min(max(once, 0.5) / tokens, 0.5) if tokens else 1.0
-    joined = (
-        own.groupBy("chunk")
-        .cogroup(counts.select("chunk", "n", "bucket", "counts", "arcs").groupBy("chunk"))
-        .applyInPandas(
-            lambda chunk, c: _scored(chunk, c, order, arcs, least, tokens, unseen, SMOOTHING),
-            "id string, held boolean, n_tokens bigint, known bigint, base double, score double",
-        )
-    )
-    whole = tokens + 0.5 * (words + 1)
-    return joined.select(
+    sums = own.agg(F.sum("trained").alias("trained"), F.sum("n_tokens").alias("n")).first()
+    tokens, whole = int(sums.trained or 0), int(sums.n or 0)
+    bits, buckets = hash_bits(whole), buckets or max(16, whole // BUCKET_TOKENS)
+    blobs = own.select("chunk", "held", "sizes", "words", "tokens").mapInPandas(lambda it: _blobs(it, order, bits, buckets), _BLOBS)
+    counts = blobs.groupBy("n", "bucket").applyInPandas(_totals, _COUNTS)
+    both = own.groupBy("chunk").cogroup(counts.groupBy("chunk"))
+    counted = scratch(both.applyInPandas(lambda chunk, c: _counted(chunk, c, order, bits), _COUNTED), "lm-counts")
+    # As many rows as orders and levels, whatever the corpus.
+    levels = counted.select(F.posexplode(F.arrays_zip("every", "alone")).alias("place", "x")).groupBy("place").agg(F.sum("x.every").alias("every"), F.sum("x.alone").alias("alone"))
+    every, alone = np.zeros((order + 1) * LEVELS), np.zeros((order + 1) * LEVELS)
+    for r in levels.collect():
+        every[r.place], alone[r.place] = r.every, r.alone
+    mass = masses(every, alone).reshape(order + 1, LEVELS)
+    sums = counted.agg(F.sum("words").alias("words"), F.sum("once").alias("once")).first()
+    unseen = min(max(int(sums.once or 0), 0.5) / tokens, 0.5) if tokens else 1.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                yield _scored(r, order, tokens, unseen, mass)
+
+    scored = counted.select("ids", "held", "sizes", "counts", "starts").mapInPandas(run, "id string, held boolean, n_tokens bigint, known bigint, base double, score double")
+    return scored.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
         F.col("held").alias("held_out"),
         "n_tokens",
         F.col("known").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(whole)))).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (int(sums.words or 0) + 1))))).alias("base_score"),
         "score",
     )

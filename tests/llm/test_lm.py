@@ -19,37 +19,43 @@ def words_of(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w] + [None]
 
 
-def plain(train, texts, theta, order, smoothing):
+def model(train, order):
+    """Counts of n-grams by order, number of tokens, share of unseen words, and the mass of contexts, over plain dictionaries."""
     seqs = [words_of(t) for t in train]
-    c = Counter(w for s in seqs for w in s)
-    total = sum(c.values())
-    least = max(1, theta * total)
-    unseen = min(max(sum(v == 1 for v in c.values()), 0.5) / total, 0.5)
-    grams = {1: {(w,): n for w, n in c.items() if n >= least}}
+    counts = [Counter((w,) for s in seqs for w in s)]
     for n in range(2, order + 1):
-        found = Counter()
-        for s in seqs:
-            s = [None, *s]
-            found.update(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
-        grams[n] = {g: v for g, v in found.items() if v >= least and all((w,) in grams[1] for w in g)}
+        counts.append(Counter(tuple([None, *s][i : i + n]) for s in seqs for i in range(len(s) + 2 - n)))
+    total = sum(counts[0].values())
+    every, alone = Counter(), Counter()
+    for n in range(2, order + 1):
+        for g, c in counts[n - 1].items():
+            rest = counts[n - 2][g[:-1]] - 1
+            if rest:
+                every[n, int(math.log2(rest))] += c
+                alone[n, int(math.log2(rest))] += c == 1
+    mass = lambda n, count: (alone[n, int(math.log2(count))] + 1) / (every[n, int(math.log2(count))] + 2)
+    return counts, total, min(max(sum(v == 1 for v in counts[0].values()), 0.5) / total, 0.5), mass
+
+
+def plain(train, texts, order):
+    counts, total, unseen, mass = model(train, order)
+    c = counts[0]
 
     def p(context, w):
         if not context:
-            return (1 - unseen) * c[w] / total if c[w] else unseen
-        arcs = {g: v for g, v in grams[len(context) + 1].items() if g[:-1] == context}
-        lower = p(context[1:], w)
-        if not arcs:
+            return (1 - unseen) * c[(w,)] / total if c[(w,)] else unseen
+        lower, count = p(context[1:], w), counts[len(context) - 1][context]
+        if not count or (len(context) > 1 and context[-1] is None):
             return lower
-        count = grams[len(context)][context]
-        mass = smoothing + max(0, count - sum(arcs.values()))
-        return (arcs.get((*context, w), 0) + mass * lower) / (count + smoothing)
+        m = mass(len(context) + 1, count)
+        return (1 - m) * counts[len(context)][(*context, w)] / count + m * lower
 
     out = []
     for t in texts:
         s = [None, *words_of(t)]
         logp = sum(math.log10(p(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s)))
-        base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (len(c) + 1))) for w in s[1:])
-        out.append((len(s) - 1, sum(c[w] > 0 for w in s[1:]), total, base, logp))
+        base = sum(math.log10((c[(w,)] + 0.5) / (total + 0.5 * (len(c) + 1))) for w in s[1:])
+        out.append((len(s) - 1, sum(c[(w,)] > 0 for w in s[1:]), total, base, logp))
     return out
 
 
@@ -74,27 +80,41 @@ def texts(n, seed=3):
     return out
 
 
-@pytest.mark.parametrize("theta,order", [(1e-5, 2), (5e-3, 3)])
-def test_scores_match_plain_model(docs, theta, order):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_match_plain_model(docs, order):
     rows = list(enumerate(texts(120)))
-    got = {r.doc_id: r for r in lm.score(docs(rows), held_out("doc_id", 5, 1), theta=theta, order=order, buckets=7).collect()}
+    got = {r.doc_id: r for r in lm.score(docs(rows), held_out("doc_id", 5, 1), order=order, buckets=7).collect()}
     assert len(got) == len(rows)
     train = [t for i, t in rows if not got[i].held_out]
     assert 0 < len(train) < len(rows)
-    for (i, _), want in zip(rows, plain(train, [t for _, t in rows], theta, order, lm.SMOOTHING)):
+    for (i, _), want in zip(rows, plain(train, [t for _, t in rows], order)):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
         assert r.base_score == pytest.approx(want[3], abs=1e-8) and r.score == pytest.approx(want[4], abs=1e-8)
 
 
-def test_probabilities_sum_to_one():
-    heads = lm.Heads(np.array([1, 2, lm.END], np.uint64), np.array([50, 30, 20]))
-    size = 3
-    auto = lm.Automaton(heads, [{0 * size + 1: 12, 0 * size + 0: 9, 1 * size + 2: 7}, {(0 * size + 0) * size + 1: 4}], 120, 0.1)
-    rare = 0.9 * 20 / 120 + 0.1
-    for s in range(len(auto.fail)):
-        total = sum(10 ** auto.weigh(s, w) for w in range(size)) + 10 ** auto.leave[s] * rare
-        assert total == pytest.approx(1)
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_automaton_takes_the_same_steps(order):
+    """One traversal by arcs and failure arcs gives the plain model's probability, and states sum to one."""
+    every = texts(80)
+    counts, total, unseen, mass = model(every[:60], order)
+    auto = lm.Automaton(counts, None, total, unseen, mass)
+    for t, want in zip(every, plain(every[:60], every, order)):
+        assert auto.traverse(words_of(t)) == pytest.approx(want[4], abs=1e-8)
+    for state in [auto.start, *list(auto.fail)[::40]]:
+        known = sum(10 ** auto.weigh(state, g[0])[0] for g in counts[0])
+        assert known + 10 ** auto.weigh(state, "never seen")[0] == pytest.approx(1)
+
+
+def test_a_copy_in_training_raises_the_score(docs):
+    """A held-out text whose copy is in the training texts scores far above one of the same words in another order."""
+    rows = [(i, t) for i, t in enumerate(texts(300)) if t]
+    words = [f"w{i % 40}" for i in range(0, 999, 7)]
+    random.Random(1).shuffle(words)
+    rows += [(5000, " ".join(words)), (5001, " ".join(words)), (5002, " ".join(sorted(words)))]
+    got = {r.doc_id: r for r in lm.score(docs(rows), F.col("doc_id") > 5000).collect()}
+    copy, other = got[5001], got[5002]
+    assert copy.base_score == pytest.approx(other.base_score) and copy.score - copy.base_score > 0.5 * copy.n_tokens > other.score - other.base_score
 
 
 def test_edges(docs, spark):
@@ -122,5 +142,13 @@ def test_every_ngram_counts_whatever_the_corpus(docs):
     rows = [(0, "z " * 150_000), *((i + 1, t) for i, t in enumerate(texts(60)))]
     got = {r.doc_id: r for r in lm.score(docs(rows), F.col("doc_id") % 5 == 1, buckets=7).collect()}
     train = [t for i, t in rows if i % 5 != 1]
-    for (i, _), want in zip(rows[1:], plain(train, [t for _, t in rows[1:]], 0, lm.ORDER, lm.SMOOTHING)):
+    for (i, _), want in zip(rows[1:], plain(train, [t for _, t in rows[1:]], lm.ORDER)):
         assert got[i].n_known == want[1] and got[i].score == pytest.approx(want[4], abs=1e-8)
+
+
+def test_hashes_widen_with_the_corpus():
+    assert [lm.hash_bits(n) for n in (0, 1 << 20, 1 << 30, 1 << 60)] == [40, 41, 51, 64]
+    h = np.array([5, 6, 5, 6, 7, lm.END], np.uint64)
+    doc = np.zeros(6, np.int64)
+    wide, narrow = list(lm.grams_of(h, doc, 3)), list(lm.grams_of(h, doc, 3, 40))
+    assert (wide[0][1] == narrow[0][1]).all() and (wide[2][1] >> np.uint64(24) == narrow[2][1]).all() and narrow[1][1].max() < 1 << 40
