@@ -6,6 +6,8 @@ executors), so that a lost executor costs a re-read and never a recomputation of
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,6 +38,15 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more, which it does when the driver collects garbage:
+    in the first round plans go, in the second the shuffles that only they referred to."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables of this application. Results are lazy and read them, so whoever writes a result calls this afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -17,16 +17,16 @@ depends on the last ``order`` words alone, a chunk takes the steps of all its po
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import free, scratch
 from .tokens import mix, word_hashes
 
 ORDER = 3
@@ -78,11 +78,11 @@ def _packed(n: np.ndarray) -> bytes:
     """Integers as compressed planes of bytes, as many as the largest one needs."""
     width = np.min_scalar_type(int(n.max(initial=0))).itemsize
     planes = n.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
     return np.ascontiguousarray(planes.T).view(f"<u{packed[0]}").ravel()
 
 
@@ -187,6 +187,12 @@ def _totals(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=_columns(_COUNTS))
 
 
+def _dealt(own: DataFrame, order: int, bits: int, buckets: int) -> DataFrame:
+    """For every chunk the counts of its n-grams: rows of ``_tokens`` in, of ``_totals`` out."""
+    blobs = own.select("chunk", "held", "sizes", "words", "tokens").mapInPandas(lambda it: _blobs(it, order, bits, buckets), _BLOBS)
+    return blobs.groupBy("n", "bucket").applyInPandas(_totals, _COUNTS)
+
+
 def _contexts(c: list[np.ndarray], first: np.ndarray, starts: int, n: int) -> np.ndarray:
     """Count of the context of the n-gram that ends at each position, from the counts of n-grams by order; 0 where there is none."""
     before = np.zeros(len(first), np.int64)
@@ -312,10 +318,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     sums = own.agg(F.sum("trained").alias("trained"), F.sum("n_tokens").alias("n")).first()
     tokens, whole = int(sums.trained or 0), int(sums.n or 0)
     bits, buckets = hash_bits(whole), buckets or max(16, whole // BUCKET_TOKENS)
-    blobs = own.select("chunk", "held", "sizes", "words", "tokens").mapInPandas(lambda it: _blobs(it, order, bits, buckets), _BLOBS)
-    counts = blobs.groupBy("n", "bucket").applyInPandas(_totals, _COUNTS)
+    counts = scratch(_dealt(own, order, bits, buckets), "lm-counts")
+    free(docs.sparkSession)  # the n-grams themselves are most of what is shuffled
     both = own.groupBy("chunk").cogroup(counts.groupBy("chunk"))
-    counted = scratch(both.applyInPandas(lambda chunk, c: _counted(chunk, c, order, bits), _COUNTED), "lm-counts")
+    counted = scratch(both.applyInPandas(lambda chunk, c: _counted(chunk, c, order, bits), _COUNTED), "lm-counted")
     # As many rows as orders and levels, whatever the corpus.
     levels = counted.select(F.posexplode(F.arrays_zip("every", "alone")).alias("place", "x")).groupBy("place").agg(F.sum("x.every").alias("every"), F.sum("x.alone").alias("alone"))
     every, alone = np.zeros((order + 1) * LEVELS), np.zeros((order + 1) * LEVELS)
