@@ -6,14 +6,15 @@ are joined apart. Inside a task the fingerprints of all its groups are sorted, w
 trie node a range of the array; pairs of nodes are traversed together one bit at a time, differing
 bits are accumulated, and pairs above the error budget are pruned. Bands with very many different
 fingerprints are split once more by four sub-bands of the remaining 48 bits (again, one must agree).
-Links inside a task shrink to a spanning forest before they leave it, so that a ball of m near copies
+A task takes its groups in order, TASK_ROWS fingerprints at a time; a larger group is split inside the task, again and again, by four parts of
+the bits in which its members differ at all. Links inside a task shrink to a spanning forest before they leave it, so that a ball of m near copies
 yields m - 1 edges, not m * m. Components are found by distributed min-label propagation with pointer
 jumping; every round is a written table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -29,6 +30,8 @@ SEED = 42
 BLOCK = 1 << 16
 #: Band groups of more different fingerprints than this are split by sub-bands.
 SPLIT_OVER = 256
+#: Fingerprints that one traversal holds at most.
+TASK_ROWS = 1 << 16
 #: Node pairs that one traversal step holds at most.
 FRONTIER = 1 << 19
 
@@ -145,18 +148,76 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, k: int = 3) -> np.ndarray:
     return label
 
 
+def _groups_by(fps: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
+    """Places of the members of each group of two or more that agree on the bits of ``mask``, in order of fingerprints."""
+    key = fps & mask
+    order = np.lexsort((fps, key))
+    cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    for a, b in zip(cut, np.append(cut[1:], len(fps))):
+        if b - a > 1:
+            yield order[a:b]
+
+
+def large_group_links(fps: np.ndarray, k: int = 3, most: int | None = None) -> np.ndarray:
+    """``trie_links`` of one group of any size (sorted, distinct), with at most ``most`` fingerprints in a traversal.
+
+    Members within k bits agree on one of k + 1 parts of the bits that vary in the group. Each part leaves fewer bits to vary, and
+    b bits tell 2**b fingerprints apart, so groups become small enough.
+    """
+    most = most or TASK_ROWS
+    label = np.arange(len(fps))
+    waiting = [label.copy()]
+    while waiting:
+        places = waiting.pop()
+        own = fps[places]
+        if len(places) <= max(2, most):
+            near = trie_links(np.zeros(len(own), np.int64), own, k)
+            label = _roots(len(fps), places, places[near], label)
+            continue
+        varying = np.bitwise_or.reduce(own ^ own[0])
+        bits = [b for b in range(64) if int(varying) >> b & 1]
+        for part in np.array_split(np.array(bits), min(k + 1, len(bits))):
+            mask = np.uint64(sum(1 << int(b) for b in part))
+            waiting += [places[g] for g in _groups_by(own, mask)]
+    return label
+
+
 def _link_partition(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """All groups of a partition: (group, fp) in, spanning edges (u, v) with v < u as signed longs out."""
-    parts = [(b["g"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)) for b in batches if len(b)]
-    if not parts:
-        return
-    g, fp = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((fp, g))
-    g, fp = g[order], fp[order]
-    label = trie_links(g, fp, k)
-    linked = np.flatnonzero(label != np.arange(len(label)))
-    signed = fp.view(np.int64)
-    yield pd.DataFrame({"u": signed[linked], "v": signed[label[linked]]})
+    """All groups of a partition, in order: (group, fp) in, spanning edges (u, v) with v < u as signed longs out."""
+
+    def edges(g: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((fp, g))
+        g, fp = g[order], fp[order]
+        label = large_group_links(fp, k) if len(fp) > TASK_ROWS and g[0] == g[-1] else trie_links(g, fp, k)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        signed = fp.view(np.int64)
+        return pd.DataFrame({"u": signed[linked], "v": signed[label[linked]]})
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        held.append((b["g"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)))
+        rows += len(b)
+        if rows > TASK_ROWS:
+            g, fp = (np.concatenate(x) for x in zip(*held))
+            last = int(np.flatnonzero(g == g[-1])[0])  # the last group may go on
+            if last:
+                yield from _by_size(g[:last], fp[:last], edges)
+            held, rows = [(g[last:], fp[last:])], len(g) - last
+    if rows:
+        g, fp = (np.concatenate(x) for x in zip(*held))
+        yield from _by_size(g, fp, edges)
+
+
+def _by_size(g: np.ndarray, fp: np.ndarray, edges: Callable[[np.ndarray, np.ndarray], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``edges`` of whole groups: those of more than TASK_ROWS members alone, the others together."""
+    cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    size = np.diff(np.append(cut, len(g)))
+    small = np.repeat(size <= TASK_ROWS, size)
+    if small.any():
+        yield edges(g[small], fp[small])
+    for a, n in zip(cut[size > TASK_ROWS].tolist(), size[size > TASK_ROWS].tolist()):
+        yield edges(g[a : a + n], fp[a : a + n])
 
 
 def near_links(fps: DataFrame, k: int = 3, split_over: int = SPLIT_OVER) -> DataFrame:
@@ -191,7 +252,7 @@ def near_links(fps: DataFrame, k: int = 3, split_over: int = SPLIT_OVER) -> Data
         )
     )
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = grouped.repartition(parts, "g")
+    dealt = grouped.repartition(parts, "g").sortWithinPartitions("g")
     return dealt.mapInPandas(lambda it: _link_partition(it, k), "u bigint, v bigint").distinct()
 
 

@@ -5,10 +5,13 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pytest
 import xxhash
 
+from lodestone.llm import simhash
 from lodestone.llm.exact_dedup import drop_exact_duplicates, exact_dedup
-from lodestone.llm.simhash import components, drop_near_duplicates, fingerprint, near_links, simhash_near_dedup, trie_links
+from lodestone.llm.simhash import components, drop_near_duplicates, fingerprint, large_group_links, near_links, simhash_near_dedup, trie_links
 
 SAMPLE = [
     (5, "a  b\tc"), (3, "a b c"), (9, "a\n\x0b b c"), (1, None), (2, ""), (7, " "), (8, "A b c"),
@@ -95,6 +98,34 @@ def test_trie_links_match_brute_force():
     assert label.tolist() == brute_components(fps)
 
 
+@pytest.mark.parametrize("most", [2, 10, 100])
+def test_large_groups_are_split(most):
+    """A group beyond a traversal's size gives the same components, also when all members agree on most bits."""
+    fps = balls(5)
+    assert large_group_links(np.array(fps, dtype=np.uint64), most=most).tolist() == brute_components(fps)
+    rng = random.Random(6)
+    same = sorted({0xABCD << 40 | rng.getrandbits(9) << 3 for _ in range(200)})
+    assert large_group_links(np.array(same, dtype=np.uint64), most=most).tolist() == brute_components(same)
+
+
+def test_partitions_are_taken_in_pieces(monkeypatch):
+    """Groups that span batches, and groups of more rows than a piece, keep all their links."""
+    monkeypatch.setattr(simhash, "TASK_ROWS", 20)
+    rows = [(g, x) for g in (1, 2, 3, 7, 8) for x in balls(g, centres=2 if g == 3 else 6, each=8)]
+    g, fp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64).view(np.int64)
+    order = np.lexsort((np.random.default_rng(0).random(len(g)), g))
+    df = pd.DataFrame({"g": g[order], "fp": fp[order]})
+    for size in (1, 7, 33, 1000):
+        edges = pd.concat(simhash._link_partition((df.iloc[a : a + size] for a in range(0, len(df), size)), 3))
+        got = set(zip(edges["u"], edges["v"]))
+        want = set()
+        for own in (1, 2, 3, 7, 8):
+            fps = sorted(x for gg, x in rows if gg == own)
+            signed = np.array(fps, np.uint64).view(np.int64).tolist()
+            want |= {(signed[i], signed[j]) for i, j in enumerate(brute_components(fps)) if i != j}
+        assert got == want
+
+
 def test_distributed_links_and_components(spark):
     fps = balls(4)
     signed = [int(np.uint64(x).view(np.int64)) for x in fps]
