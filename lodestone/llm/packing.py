@@ -3,8 +3,10 @@
 The only thing that the packing depends on is how many pieces there are of each length, at most
 ``capacity`` numbers whatever the corpus. The driver packs that histogram: a best-fit-decreasing solution
 is the first incumbent, then branch and bound takes the largest piece, enumerates the undominated fillings
-of what is left beside it, applies each as often as the counts allow, and prunes branches whose waste
-exceeds what a better solution may have. The result is a list of at most some thousand bin patterns with
+of what is left beside it, applies each as often as the counts and the waste of a better solution allow, then fewer times, and prunes
+branches whose waste exceeds what a better solution may have. The search is complete with no bound on fillings and nodes; by default it
+tries a few fillings a node and ends after a number of nodes that grows with the number of lengths, unless it meets the lower bound
+before: the packing is valid either way, and ``lower_bound`` tells how far from optimal it can be. The result is a list of at most some thousand bin patterns with
 multiplicities. Pieces find their place from their rank among the pieces of their length, which is
 counted with salted groups, so no task holds all pieces of a length.
 """
@@ -30,8 +32,8 @@ from .bpe import byte_chars
 from .common import scratch
 
 CAPACITY = 2048
-#: Nodes that branch and bound visits at most before the best incumbent is taken, and fillings tried at a node.
-NODES = 4000
+#: Nodes that branch and bound visits at most before the best incumbent is taken, in all and for each length, and fillings tried at a node.
+NODES, NODES_PER_LENGTH = 4000, 8
 WIDTH = 6
 #: Rows of one length that a rank group holds about.
 GROUP_ROWS = 1 << 18
@@ -186,19 +188,23 @@ def dominates(a: Pattern, b: Pattern) -> bool:
     """Whether the pieces of filling b can be shared out among the pieces of filling a, each part no longer than its piece."""
     holes = sorted((x for x, k in a for _ in range(k)), reverse=True)
     items = sorted((x for x, k in b for _ in range(k)), reverse=True)
-    if len(holes) > 4 or len(items) > 6:
+    if sum(items) > sum(holes) or (items and (not holes or items[0] > holes[0])):
         return False
 
-    def place(i: int, left: list[int]) -> bool:
-        if i == len(items):
-            return True
-        for j in range(len(left)):
-            if left[j] >= items[i] and left[j] not in left[:j]:
-                if place(i + 1, [*left[:j], left[j] - items[i], *left[j + 1 :]]):
-                    return True
-        return False
-
-    return place(0, holes)
+    # Longest items first; states are what is left of the holes, so that equal ones are tried once.
+    states = {tuple(holes)}
+    for item in items:
+        after = set()
+        for left in states:
+            for hole in set(left):
+                if hole >= item:
+                    rest = list(left)
+                    rest.remove(hole)
+                    after.add(tuple(sorted([*rest, hole - item], reverse=True)))
+        states = after
+        if len(states) > 10_000:  # not told apart in reasonable time: both are kept
+            return False
+    return bool(states)
 
 
 def exact_sums(lengths: list[int], counts: dict[int, int], space: int, pieces: int, top: int, width: int) -> list[Pattern]:
@@ -220,16 +226,17 @@ def exact_sums(lengths: list[int], counts: dict[int, int], space: int, pieces: i
     return found
 
 
-def fillings(lengths: list[int], counts: dict[int, int], space: int, width: int = WIDTH) -> list[Pattern]:
+def fillings(lengths: list[int], counts: dict[int, int], space: int, width: int | None = WIDTH) -> list[Pattern]:
     """Undominated ways to fill ``space`` with the pieces on hand, least waste first; ``lengths`` ascending.
 
     Fillings without waste by one, two or three pieces are looked up by their sums; others come from a walk that takes
-    longest pieces first and goes on until nothing left over would still fit, cut off at ``width`` pieces tried a step.
+    longest pieces first and goes on until nothing left over would still fit, cut off at ``width`` pieces tried a step. Without
+    ``width`` the walk tries all pieces in all numbers, and all undominated fillings are returned.
     """
     if not lengths or space < lengths[0]:
         return [()]
     found: list[tuple[int, Pattern]] = []
-    for pieces in (1, 2, 3):
+    for pieces in (1, 2, 3) if width else ():
         if len(found) < width and (pieces < 3 or not found):
             found += [(0, f) for f in exact_sums(lengths, counts, space, pieces, space, width)]
     steps = 0
@@ -239,15 +246,16 @@ def fillings(lengths: list[int], counts: dict[int, int], space: int, width: int
         at = bisect_left(lengths, min(top, space) + 1) - 1
         tried = 0
         fits = False
-        while at >= 0 and tried < width and steps < 40 * width:
+        while at >= 0 and (not width or tried < width):
             x = lengths[at]
             if counts.get(x, 0) > 0:
+                if width and steps >= 40 * width and fits:
+                    break  # every filling that has been begun is still filled up
                 fits = True
                 steps += 1
-                k = min(counts[x], space // x)
-                walk(x - 1, space - x * k, (*chosen, (x, k)))
-                if k > 1:
-                    walk(x - 1, space - x, (*chosen, (x, 1)))
+                most = min(counts[x], space // x)
+                for k in {most, 1} if width else range(1, most + 1):
+                    walk(x - 1, space - x * k, (*chosen, (x, k)))
                 tried += 1
             at -= 1
         if not fits:
@@ -271,19 +279,20 @@ def with_top(top: int, filling: Pattern) -> Pattern:
     return tuple(sorted(number.items(), reverse=True))
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
-    """The packing with the fewest bins that the search finds; optimal when it meets ``lower_bound``."""
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = NODES, width: int | None = WIDTH) -> Packing:
+    """The packing with the fewest bins that the search finds; optimal when it meets ``lower_bound``, or without bounds (None)."""
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
     best_bins = sum(m for _, m in best)
     bound = lower_bound(counts, capacity)
     total = sum(x * n for x, n in counts.items())
-    left = nodes
+    left = float("inf") if nodes is None else max(nodes, NODES_PER_LENGTH * len(counts)) if nodes == NODES else nodes
 
-    # Depth first with an explicit stack of choices, as the depth can be some thousand.
+    # Depth first with an explicit stack of choices, as the depth can be some thousand. A choice is a filled bin and how often it is
+    # applied at most; when it comes back it has been applied and is to be undone.
     rest = dict(counts)
     path: Packing = []
-    stack: list[tuple[list[Pattern], int]] = []
+    stack: list[tuple[list[tuple[Pattern, int]], bool]] = []
     bins = waste = 0
     descend = best_bins > bound
     while descend or stack:
@@ -299,32 +308,37 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
             elif left > 0 and bins + -(-sum(x * rest[x] for x in live) // capacity) < best_bins:
                 top = live[-1]
                 rest[top] -= 1
-                options = fillings(live, rest, capacity - top)
+                options = [with_top(top, f) for f in fillings(live, rest, capacity - top, width)]
                 rest[top] += 1
-                stack.append(([with_top(top, f) for f in options], 0))
+                stack.append(([(f, min(rest[x] // k for x, k in f)) for f in options], False))
         if not stack:
             break
         options, applied = stack.pop()
         if applied:  # undo the choice made here
             pattern, m = path.pop()
+            spare = capacity - sum(x * k for x, k in pattern)
             for x, k in pattern:
                 rest[x] += k * m
             bins -= m
-            waste -= m * (capacity - sum(x * k for x, k in pattern))
+            waste -= m * spare
+            # The same bin fewer times: what follows then is another bin around the same longest piece. With a bounded search half as often.
+            fewer = m - 1 if width is None else m // 2
+            options = [(pattern, fewer), *options] if fewer else options
         if not options or left <= 0:
             continue
-        pattern = options[0]
-        m = min(rest[x] // k for x, k in pattern)
-        spare = (capacity - sum(x * k for x, k in pattern)) * m
-        if waste + spare > (best_bins - 1) * capacity - total:
-            stack.append((options[1:], 0))
+        pattern, m = options[0]
+        spare = capacity - sum(x * k for x, k in pattern)
+        if spare:
+            m = min(m, ((best_bins - 1) * capacity - total - waste) // spare)
+        if m <= 0:
+            stack.append((options[1:], False))
             continue
         for x, k in pattern:
             rest[x] -= k * m
         path.append((pattern, m))
         bins += m
-        waste += spare
-        stack.append((options[1:], 1))
+        waste += spare * m
+        stack.append((options[1:], True))
         descend = True
     return best
 

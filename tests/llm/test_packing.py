@@ -55,6 +55,36 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert sum(m for _, m in bin_completion(counts, 61)) == fewest(list(counts.elements()), 61)
 
 
+def test_complete_search_is_optimal_whatever_the_multiplicities():
+    """Without bounds on nodes and fillings, on histograms with pieces that come often, also where a bin must not be used as often as it could."""
+    rng = random.Random(12)
+    better = 0
+    for _ in range(40):
+        items = [x for x in (rng.randrange(15, 61) for _ in range(4)) for _ in range(rng.randrange(1, 4))]
+        counts = Counter(items[:10])
+        got = bin_completion(counts, 100, None, None)
+        assert used(got) == counts and all(sum(x * k for x, k in p) <= 100 for p, _ in got)
+        want = fewest(list(counts.elements()), 100)
+        assert sum(m for _, m in got) == want
+        better += sum(m for _, m in best_fit(counts, 100)) > want
+    assert better
+
+
+def test_dominance_by_brute_force():
+    rng = random.Random(3)
+
+    def shared(holes, items):
+        return not items or any(h >= items[0] and shared([*holes[:i], h - items[0], *holes[i + 1 :]], items[1:]) for i, h in enumerate(holes))
+
+    seen = set()
+    for _ in range(300):
+        a, b = (Counter(rng.randrange(1, 12) for _ in range(rng.randrange(0, n))) for n in (6, 9))
+        want = shared(sorted(a.elements()), sorted(b.elements(), reverse=True))
+        assert dominates(tuple(a.items()), tuple(b.items())) == want
+        seen.add(want)
+    assert seen == {True, False}
+
+
 def test_large_histograms():
     rng = random.Random(4)
     counts = Counter(min(2047, int(rng.paretovariate(0.7) * 40)) for _ in range(30_000))
