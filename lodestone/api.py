@@ -17,7 +17,7 @@ from .functions.metrics import check_metric
 from .operators import ivf
 from .operators.filters import compile_filter
 from .operators.knn import knn_join, projection
-from .plans.planner import QueryPlan, plan_query, probed_join
+from .plans.planner import QueryPlan, nprobe_for, plan_query, probed_join
 from .sources.catalog import namespaces
 from .sources.store import DELETE, UPSERT, Store, by_id
 
@@ -269,8 +269,14 @@ class Namespace:
     def delete_where(self, filters: object) -> dict:
         return self.delete(filters=filters)
 
-    def build_index(self, force: bool = True) -> dict:
-        return ivf.build_index(self.store, force)
+    def build_index(self, force: bool = True, **clusters: int) -> dict:
+        """Index all rows; ``max_clusters`` and ``cluster_rows`` change the number of clusters."""
+        return ivf.build_index(self.store, force, **clusters)
+
+    def nprobe_for(self, recall: float, top_k: int = 10, distance_metric: str | None = None) -> int:
+        """The ``nprobe`` with which queries like the stored rows find this share of their nearest rows."""
+        state = self.store.state()
+        return nprobe_for(self.store, state, recall, validate.clamp_top_k(top_k), distance_metric or state["metric"])
 
     def maybe_build(self) -> dict:
         """Build only if the log has grown enough."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions.metrics import COSINE, matrix
 from ..sources.store import Store
-from .kmeans import MAX_CLUSTERS, cluster_count, kmeans, sample_size, squared_distances, unit
+from .kmeans import MAX_CLUSTERS, TARGET_CLUSTER_ROWS, cluster_count, kmeans, sample_size, squared_distances, unit
 
 # The log size that makes an automatic build worthwhile.
 AUTO_ROWS = 2_000
@@ -50,15 +50,15 @@ def assigned(vector: str, centroids: np.ndarray) -> Column:
     return nearest(F.col(vector))
 
 
-def centroids_of(rows: DataFrame, live: int, dim: int, metric: str, max_clusters: int = MAX_CLUSTERS) -> np.ndarray:
+def centroids_of(rows: DataFrame, live: int, dim: int, metric: str, max_clusters: int = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> np.ndarray:
     data = sample(rows, sample_size(live, dim))
     if metric == COSINE:
         data = unit(data)
-    made = kmeans(data, min(cluster_count(live, dim, max_clusters), len(data)))
+    made = kmeans(data, min(cluster_count(live, dim, max_clusters, cluster_rows), len(data)))
     return (unit(made) if metric == COSINE else made).astype(np.float32).astype(np.float64)
 
 
-def build_index(store: Store, force: bool = True, max_clusters: int = MAX_CLUSTERS) -> dict:
+def build_index(store: Store, force: bool = True, max_clusters: int = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> dict:
     """Index everything that is live now. Readers keep the old version until the new one is published; writes that
     commit meanwhile stay in the log tail. A failed build leaves the old version as it was. One build of a namespace
     runs at a time in a process, and one that would only be skipped keeps no other from running."""
@@ -72,20 +72,20 @@ def build_index(store: Store, force: bool = True, max_clusters: int = MAX_CLUSTE
             return {"status": "already_running"}
         _building.add(store.home)
     try:
-        return _build(store, max_clusters)
+        return _build(store, max_clusters, cluster_rows)
     finally:
         with _guard:
             _building.discard(store.home)
 
 
-def _build(store: Store, max_clusters: int) -> dict:
+def _build(store: Store, max_clusters: int, cluster_rows: int) -> dict:
     started = time.time()
     state = store.state()
     rows = store.current(state)
     live = store.count(state)
     if not live:
         return {"status": "skipped", "reason": "empty"}
-    centroids = centroids_of(rows, live, state["dim"], state["metric"], max_clusters)
+    centroids = centroids_of(rows, live, state["dim"], state["metric"], max_clusters, cluster_rows)
     number = 0
 
     def reserve(s: dict) -> dict:

@@ -15,8 +15,8 @@ SAMPLE_BYTES = 8 << 20
 ITERATIONS = 6
 
 
-def cluster_count(live: int, dim: int, most: int = MAX_CLUSTERS) -> int:
-    by_bytes, by_rows = math.ceil(live * dim * 4 / TARGET_CLUSTER_BYTES), math.ceil(live / TARGET_CLUSTER_ROWS)
+def cluster_count(live: int, dim: int, most: int = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> int:
+    by_bytes, by_rows = math.ceil(live * dim * 4 / TARGET_CLUSTER_BYTES), math.ceil(live / cluster_rows)
     return max(1, min(most, max(by_bytes, by_rows), live // 2 or 1))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +51,36 @@ def top_k(
     return best.select("id", "dist", *projection(include_attributes, include_vectors)) if raw else best
 
 
-def knn_join(rows: DataFrame, queries: DataFrame, k: int, metric: str, query_bytes: int = QUERY_BYTES) -> DataFrame:
+class Best:
+    """The k smallest costs of each query and their ids, as rows are offered; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.cost, self.ids = k, np.full((queries, k), np.inf), np.full((queries, k), "", dtype=object)
+
+    def offer(self, which: np.ndarray, cost: np.ndarray, ids: np.ndarray) -> None:
+        """``cost[i, j]`` of query ``which[i]`` and row ``ids[j]``."""
+        new = np.broadcast_to(ids, cost.shape)
+        if cost.shape[1] > self.k:
+            # Everything up to the k-th smallest cost, ties included, cut to equal width below.
+            near = np.partition(cost, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            order = np.argsort(cost, axis=1, kind="stable")[:, : int((cost <= near).sum(axis=1).max())]
+            cost, new = np.take_along_axis(cost, order, 1), np.take_along_axis(new, order, 1)
+        better = (cost < self.cost[which, -1:]).any(axis=1) | (cost == self.cost[which, -1:]).any(axis=1)
+        which, cost, new = which[better], cost[better], new[better]
+        if len(which):
+            cost, new = np.concatenate([self.cost[which], cost], axis=1), np.concatenate([self.ids[which], new], axis=1)
+            rank_of_id = np.unique(new, return_inverse=True)[1].reshape(new.shape)
+            order = np.lexsort((rank_of_id, cost), axis=1)[:, : self.k]
+            self.cost[which], self.ids[which] = np.take_along_axis(cost, order, 1), np.take_along_axis(new, order, 1)
+
+
+def knn_join(rows: DataFrame, queries: DataFrame, k: int, metric: str, query_bytes: int = QUERY_BYTES, routes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, rank, id, dist): the k nearest rows (id, vector) of every query (id, vector).
 
     Queries are a stated set. They go in batches of at most ``query_bytes``, each broadcast to one pass over the rows. A task keeps
     its k best rows of each query as it reads and hands on nothing else; a window then ranks what the tasks kept.
+    With ``routes``, rows also have a ``cluster``, and a query sees those whose cluster is true in its row of ``routes(queries)``, and rows of
+    cluster -1.
     """
     check_metric(metric)
     spark = rows.sparkSession
@@ -68,39 +93,34 @@ def knn_join(rows: DataFrame, queries: DataFrame, k: int, metric: str, query_byt
         own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == part).select("id", "vector").toArrow()
         if not len(own):
             continue
-        ids = np.array(own["id"].to_pylist(), dtype=object)
-        shared = spark.sparkContext.broadcast((ids, matrix(own["vector"].combine_chunks())))
+        q = matrix(own["vector"].combine_chunks())
+        shared = spark.sparkContext.broadcast((np.array(own["id"].to_pylist(), dtype=object), q, None if routes is None else routes(q)))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            cost = np.full((len(q), 0), 0.0)
-            mine = np.full((len(q), 0), None, dtype=object)
+            names, q, seen = shared.value
+            kept, every = Best(len(q), k), np.arange(len(q))
             step = max(1, TILE // max(1, len(q)))
             for b in batches:
                 for at in range(0, b.num_rows, step):
                     piece = b.slice(at, step)
-                    d = sign * numpy_distances(matrix(piece.column("vector")), q, metric).T
-                    new = np.broadcast_to(np.array(piece.column("id").to_pylist(), dtype=object), d.shape)
-                    if d.shape[1] > k:
-                        # Everything up to the k-th smallest distance, ties included, cut to equal width below.
-                        near = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                        width = int((d <= near).sum(axis=1).max())
-                        order = np.argsort(d, axis=1, kind="stable")[:, :width]
-                        d, new = np.take_along_axis(d, order, 1), np.take_along_axis(new, order, 1)
-                    cost, mine = np.concatenate([cost, d], axis=1), np.concatenate([mine, new], axis=1)
-                    if cost.shape[1] > k:
-                        rank_of_id = np.unique(mine, return_inverse=True)[1].reshape(mine.shape)
-                        order = np.lexsort((rank_of_id, cost), axis=1)[:, :k]
-                        cost, mine = np.take_along_axis(cost, order, 1), np.take_along_axis(mine, order, 1)
-            width = cost.shape[1]
-            for at in range(0, len(q), max(1, (1 << 16) // max(1, width))):
-                stop = min(len(q), at + max(1, (1 << 16) // max(1, width)))
+                    m, ids = matrix(piece.column("vector")), np.array(piece.column("id").to_pylist(), dtype=object)
+                    if seen is None:
+                        kept.offer(every, sign * numpy_distances(m, q, metric).T, ids)
+                        continue
+                    cluster = piece.column("cluster").to_numpy(zero_copy_only=False)
+                    for c in np.unique(cluster).tolist():
+                        which, here = every if c < 0 else np.flatnonzero(seen[:, c]), cluster == c
+                        if len(which):
+                            kept.offer(which, sign * numpy_distances(m[here], q[which], metric).T, ids[here])
+            for at in range(0, len(q), max(1, (1 << 16) // k)):
+                cost, ids = kept.cost[at : at + max(1, (1 << 16) // k)], kept.ids[at : at + max(1, (1 << 16) // k)]
+                row, column = np.nonzero(np.isfinite(cost))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names[at:stop], width), pa.string()), pa.array(mine[at:stop].ravel(), pa.string()), pa.array(sign * cost[at:stop].ravel(), pa.float64())],
+                    [pa.array(names[at + row], pa.string()), pa.array(ids[row, column], pa.string()), pa.array(sign * cost[row, column], pa.float64())],
                     names=["query_id", "id", "dist"],
                 )
 
-        found = found.unionByName(rows.select("id", "vector").mapInArrow(best, schema))
+        found = found.unionByName(rows.select("id", "vector", *([] if routes is None else ["cluster"])).mapInArrow(best, schema))
     order = Window.partitionBy("query_id").orderBy(best_first(metric), F.col("id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import COSINE, check_metric, matrix
 from ..operators.filters import compile_filter
 from ..operators.kmeans import nearest_centroids, unit
-from ..operators.knn import best_first, knn_join, projection, top_k
+from ..operators.knn import knn_join, projection, top_k
 from ..sources.store import Store
 from ..validate import check_vector, clamp_nprobe, clamp_top_k
 
@@ -71,26 +70,44 @@ def plan_query(
     return plan
 
 
+def routing(store: Store, state: dict, metric: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Clusters in order of distance of each query (rows of a matrix), as a plan of its own would probe them."""
+    c = np.asarray(store.centroids(state))
+    return lambda q: np.array([nearest_centroids(c, v, len(c)) for v in (unit(q) if metric == COSINE else q)]).reshape(-1, len(c))
+
+
 def probed_join(store: Store, state: dict, queries: DataFrame, k: int, metric: str, nprobe: int) -> DataFrame:
-    """``knn_join`` where each query sees the log tail and its ``nprobe`` nearest clusters only, as in a plan of its own."""
-    clusters = state["clusters"] if state["index_version"] else 0
-    wanted = max(1, nprobe)
-    if wanted >= clusters:
+    """``knn_join`` where each query sees the log tail and its ``nprobe`` nearest clusters only, as in a plan of its own; one pass."""
+    if clamp_nprobe(nprobe) >= (state["clusters"] if state["index_version"] else 0):
         return knn_join(store.current(state), queries, k, metric)
-    c = np.asarray(store.centroids(state))
+    nearest = routing(store, state, metric)
+
+    def routes(q: np.ndarray) -> np.ndarray:
+        seen = np.zeros((len(q), state["clusters"]), bool)
+        seen[np.arange(len(q))[:, None], nearest(q)[:, : clamp_nprobe(nprobe)]] = True
+        return seen
+
+    return knn_join(store.current(state, with_cluster=True), queries, k, metric, routes=routes)
+
+
+def nprobe_for(store: Store, state: dict, recall: float, k: int, metric: str, sample: int = 256) -> int:
+    """Clusters that a query has to probe to find this share of its k nearest rows, measured on ``sample`` stored rows as queries.
 
-    @F.arrow_udf("array<int>")
-    def routes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for vectors in batches:
-            q = matrix(vectors) if len(vectors) else np.zeros((0, c.shape[1]))
-            q = unit(q) if metric == COSINE and len(q) else q
-            yield pa.array([nearest_centroids(c, v, wanted) for v in q], pa.list_(pa.int32()))
-
-    routed = queries.select("id", "vector", F.explode(routes(F.col("vector"))).alias("cluster"))
-    parts = [knn_join(store.current(state, [i]), routed.filter(F.col("cluster") == i), k, metric) for i in range(clusters)]  # at most MAX_CLUSTERS
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(best_first(metric), F.col("id"))
-    found = found.drop("rank").dropDuplicates(["query_id", "id"]).withColumn("rank", F.row_number().over(order))
-    return found.filter(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
+    The exact neighbours of these rows are found once; a neighbour is found by probing as many clusters as its own is away in order of
+    distance. Two standard errors are added to the share, so that other queries reach it too. Rows of the log tail are always found.
+    """
+    if not state["index_version"]:
+        return 1
+    rows = store.current(state, with_cluster=True)
+    asked = rows.select("id", "vector").orderBy(F.xxhash64("id", F.lit("nprobe")), "id").limit(sample)
+    # A stored row is its own nearest one, which other queries do not have.
+    near = knn_join(rows.select("id", "vector"), asked, k + 1, metric).filter("id <> query_id").select(F.col("query_id").alias("q"), "id")
+    pairs = near.join(rows.select("id", "cluster"), "id").groupBy("q").agg(F.collect_list("cluster").alias("clusters"))  # k a query
+    got = pairs.join(asked.withColumnRenamed("id", "q"), "q").select("vector", "clusters").toArrow()
+    if not len(got):
+        return 1
+    order = routing(store, state, metric)(matrix(got["vector"].combine_chunks()))
+    place = np.argsort(order, axis=1)
+    depth = np.sort([0 if c < 0 else place[i, c] + 1 for i, own in enumerate(got["clusters"].to_pylist()) for c in own])
+    share = min(1.0, recall + 2 * float(np.sqrt(recall * (1 - recall) / len(depth))))
+    return max(1, int(depth[min(len(depth) - 1, int(np.ceil(share * len(depth))) - 1)]))

@@ -135,20 +135,20 @@ class Store:
         rows = self._read(INDEX, f"{self.home}/{state['index_path']}")
         return rows if clusters is None else rows.filter(F.col("cluster").isin(clusters))
 
-    def current(self, state: dict, clusters: list[int] | None = None) -> DataFrame:
-        """Live rows (id, vector, attrs); with ``clusters``, those of the index only from these."""
+    def current(self, state: dict, clusters: list[int] | None = None, with_cluster: bool = False) -> DataFrame:
+        """Live rows (id, vector, attrs and, if asked for, cluster: -1 in the log tail); with ``clusters``, those of the index only from these."""
         has_tail = any(s["kind"] == "wal" for s in state["segments"])
         tail = self.latest_tail(state)
-        live = tail.filter(F.col("op") == UPSERT).select("id", "vector", "attrs")
+        live = tail.filter(F.col("op") == UPSERT).select("id", "vector", "attrs", *([F.lit(-1).alias("cluster")] if with_cluster else []))
         if not state["index_version"]:
             return live
-        rows = self.indexed(state, clusters).select("id", "vector", "attrs")
+        rows = self.indexed(state, clusters).select(*live.columns)
         if not has_tail:
             return rows
         ids = tail.select("id")
         if sum(s["rows"] for s in state["segments"] if s["kind"] == "wal") <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        return rows.join(ids, "id", "left_anti").unionByName(live)
+        return rows.join(ids, "id", "left_anti").select(*live.columns).unionByName(live)
 
     def count(self, state: dict) -> int:
         """Number of live rows; without a log tail the state knows it."""

@@ -219,6 +219,25 @@ def test_many_queries_by_the_index(engine, spark):
     assert got == {i: {x["id"] for x in ns.query(v, 600, nprobe=2)["rows"]} for i, v in asked}
 
 
+def test_measured_nprobe_reaches_the_recall(engine, spark):
+    """On vectors without structure the default is not enough; the measured number of clusters is, and not all are needed."""
+    rng = random.Random(11)
+    rows = [{"id": f"{i}", "vector": [rng.gauss(0, 1) for _ in range(8)]} for i in range(2000)]
+    ns = engine.namespace("measured")
+    ns.upsert(rows)
+    clusters = ns.build_index(cluster_rows=40)["clusters"]
+    assert clusters == 50
+    for late in (False, True):
+        nprobe = ns.nprobe_for(0.9)
+        queries = spark.createDataFrame([(str(-i), [rng.gauss(0, 1) for _ in range(8)]) for i in range(100)], "id string, vector array<float>")
+        found, exact = (r.toPandas().groupby("query_id")["id"].apply(set) for r in (ns.query_many(queries, 10, nprobe=nprobe), ns.query_many(queries, 10)))
+        recall = sum(len(found[q] & exact[q]) for q in exact.index) / 1000
+        assert 0.9 <= recall and nprobe < 0.7 * clusters, (recall, nprobe)
+        if not late:  # a log tail, with replaced and deleted rows
+            ns.upsert([{"id": f"{i}", "vector": [rng.gauss(0, 1) for _ in range(8)]} for i in range(0, 3000, 30)])
+            ns.delete([f"{i}" for i in range(1, 2000, 50)])
+
+
 def test_automatic_and_failed_builds(engine, monkeypatch):
     ns = engine.namespace("auto")
     assert ns.build_index() == {"status": "skipped", "reason": "empty"}
