@@ -86,15 +86,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
         a, b = a[differ], b[differ]
 
 
-def trie_links(groups: np.ndarray, fps: np.ndarray, k: int = 3) -> np.ndarray:
-    """Component labels (index of the first member) of the links of at most k differing bits within groups.
+def trie_pairs(groups: np.ndarray, fps: np.ndarray, k: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of all pairs within groups that differ in at most k bits, part by part.
 
     ``groups`` and ``fps`` (uint64) are sorted by group, then fingerprint; fingerprints are distinct in a group.
     """
     n = len(fps)
-    label = np.arange(n)
-    if n < 2:
-        return label
     zeros: dict[int, np.ndarray] = {}
 
     def zeros_before(d: int) -> np.ndarray:
@@ -103,13 +100,11 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, k: int = 3) -> np.ndarray:
             zeros[d] = np.concatenate([[0], np.cumsum(bit == 0)])
         return zeros[d]
 
-    cut = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    cut = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, np.int64)
     lo, hi = cut, np.append(cut[1:], n)
     big = hi - lo > 1
     lo, hi = lo[big], hi[big]
     stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
     while stack:
         d, alo, ahi, blo, bhi, err = stack.pop()
         if len(alo) > FRONTIER:
@@ -122,19 +117,14 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, k: int = 3) -> np.ndarray:
             a, b = alo[single], blo[single]
             near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= k)
             if near.any():
-                found.append((a[near], b[near]))
-                waiting += int(near.sum())
-                if waiting > 1 << 20:
-                    label = _roots(n, *map(np.concatenate, zip(*found)), label)
-                    found, waiting = [], 0
+                yield a[near], b[near]
             rest = ~single
             alo, ahi, blo, bhi, err = (x[rest] for x in (alo, ahi, blo, bhi, err))
         if not len(alo) or d == 64:
             continue
         z = zeros_before(d)
         am, bm = alo + z[ahi] - z[alo], blo + z[bhi] - z[blo]
-        own = alo == blo
-        other = ~own
+        other = alo != blo
         nexts = [(alo, am, blo, bm, err), (am, ahi, bm, bhi, err), (alo, am, bm, bhi, err + 1)]
         nexts.append(tuple(x[other] for x in (am, ahi, blo, bm, err + 1)))
         parts = []
@@ -143,9 +133,25 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, k: int = 3) -> np.ndarray:
             keep &= ~((pa == qa) & (pb - pa == 1))
             parts.append(tuple(x[keep] for x in (pa, pb, qa, qb, e)))
         stack.append((d + 1, *(np.concatenate(x) for x in zip(*parts))))
-    if found:
-        label = _roots(n, *map(np.concatenate, zip(*found)), label)
-    return label
+
+
+def _linked(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Component labels (index of the first member) of n places under links that come part by part."""
+    label = np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for a, b in pairs:
+        found.append((a, b))
+        waiting += len(a)
+        if waiting > 1 << 20:
+            label = _roots(n, *map(np.concatenate, zip(*found)), label)
+            found, waiting = [], 0
+    return _roots(n, *map(np.concatenate, zip(*found)), label) if found else label
+
+
+def trie_links(groups: np.ndarray, fps: np.ndarray, k: int = 3) -> np.ndarray:
+    """Component labels of ``trie_pairs``."""
+    return _linked(len(fps), trie_pairs(groups, fps, k))
 
 
 def _groups_by(fps: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
@@ -158,28 +164,31 @@ def _groups_by(fps: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
             yield order[a:b]
 
 
-def large_group_links(fps: np.ndarray, k: int = 3, most: int | None = None) -> np.ndarray:
-    """``trie_links`` of one group of any size (sorted, distinct), with at most ``most`` fingerprints in a traversal.
+def large_group_pairs(fps: np.ndarray, k: int = 3, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``trie_pairs`` of one group of any size (sorted, distinct), with at most ``most`` fingerprints in a traversal; pairs may repeat.
 
     Members within k bits agree on one of k + 1 parts of the bits that vary in the group. Each part leaves fewer bits to vary, and
     b bits tell 2**b fingerprints apart, so groups become small enough.
     """
     most = most or TASK_ROWS
-    label = np.arange(len(fps))
-    waiting = [label.copy()]
+    waiting = [np.arange(len(fps))]
     while waiting:
         places = waiting.pop()
         own = fps[places]
         if len(places) <= max(2, most):
-            near = trie_links(np.zeros(len(own), np.int64), own, k)
-            label = _roots(len(fps), places, places[near], label)
+            for a, b in trie_pairs(np.zeros(len(own), np.int64), own, k):
+                yield places[a], places[b]
             continue
-        varying = np.bitwise_or.reduce(own ^ own[0])
-        bits = [b for b in range(64) if int(varying) >> b & 1]
+        varying = int(np.bitwise_or.reduce(own ^ own[0]))
+        bits = [b for b in range(64) if varying >> b & 1]
         for part in np.array_split(np.array(bits), min(k + 1, len(bits))):
             mask = np.uint64(sum(1 << int(b) for b in part))
             waiting += [places[g] for g in _groups_by(own, mask)]
-    return label
+
+
+def large_group_links(fps: np.ndarray, k: int = 3, most: int | None = None) -> np.ndarray:
+    """``trie_links`` of one group of any size."""
+    return _linked(len(fps), large_group_pairs(fps, k, most))
 
 
 def _link_partition(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
