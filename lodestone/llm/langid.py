@@ -186,7 +186,12 @@ def _predict_by_block(rows: DataFrame, model: LangModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LangModel, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a letter and a language of at least the score ``least``."""
+    """The rows, with all their columns, whose text has a letter and a language of at least the score ``least``.
+
+    Where no language could be learnt, every text with a letter stays, as there is nothing to reject it by.
+    """
+    if not model.size:
+        return accepted(docs, text_col, lambda texts: [t is not None and _LETTER.search(t) is not None for t in texts])
     if model.blocks > 1:
         columns = [f"c{i}" for i in range(len(docs.columns))]
         keyed = scratch(docs.toDF(*columns).withColumn("__row", F.monotonically_increasing_id()), "langid-docs")

@@ -3,14 +3,12 @@
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lodestone.llm import langid, quality
 from lodestone.llm.common import held_out
-from lodestone.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 BIG = (1 << 60) + 1
@@ -37,7 +35,7 @@ def test_stages_against_brute_force(spark, odd):
     stages = dict(cp.STAGES)
     # Language: the model applied to each text.
     model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2)))
-    lang, score = model.score([t for _, t in before])
+    lang, score = model.block(0).score([t for _, t in before])
     want = {k: n for (k, n), x, s in zip(before.items(), lang, score) if x != "und" and s >= 0.5}
     out = stages["language_id"](spark, docs, SF)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes and rows_of(out) == want
@@ -61,14 +59,19 @@ def test_stages_against_brute_force(spark, odd):
     out = stages["exact_dedup"](spark, docs, SF)
     assert out.dtypes == docs.dtypes and sorted((none, i or 0) for none, i, _ in first) == sorted((i is None, i or 0) for i, _ in rows_of(out).elements())
     docs = spark.createDataFrame(out.collect(), docs.schema)
-    # Near copies: the smallest id of each component of fingerprints.
+    # Near copies: the smallest id of each component of texts alike in at least 0.8 of their five-word shingles.
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, r[0] or 0))
-    fps = np.array([fingerprint(t) for _, t in rows], dtype=np.uint64)
+    sets = []
+    for _, t in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+        n = min(5, len(words))
+        sets.append({tuple(words[i : i + n]) for i in range(len(words) - n + 1)})
     label, changed = list(range(len(rows))), True
+    near = [[b for b in range(len(rows)) if len(x & sets[b]) >= 0.8 * len(x | sets[b])] for x in sets]
     while changed:
         changed = False
-        for a in range(len(rows)):
-            low = min(label[b] for b in np.flatnonzero(np.bitwise_count(fps ^ fps[a]) <= 3).tolist())
+        for a, others in enumerate(near):
+            low = min(label[b] for b in others)
             changed |= low < label[a]
             label[a] = min(label[a], low)
     out = stages["simhash_near_dedup"](spark, docs, SF)
@@ -90,6 +93,12 @@ def test_run_is_the_chain_of_stages(spark):
     assert key(cp.STAGES[-1][1](spark, docs, SF).collect()) == key(cp.run(spark, SF).collect())
 
 
+def test_without_languages_only_texts_without_letters_go(spark):
+    rows = [(1, "some text", None, "s", 9), (2, "1 2", None, "s", 3), (3, None, None, "s", 0), (6, "ett", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in dict(cp.STAGES)["language_id"](spark, docs, SF).collect()) == [1, 6]
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES[:-1]:
