@@ -33,8 +33,10 @@ from .common import scratch
 
 CAPACITY = 2048
 #: Nodes that branch and bound visits at most before the best incumbent is taken, in all and for each length, and fillings tried at a node.
-NODES, NODES_PER_LENGTH = 4000, 8
+NODES, NODES_PER_LENGTH = 4000, 4
 WIDTH = 6
+#: Pieces and states that a bounded search tells apart to find out whether a filling dominates another one.
+DOMINANCE_STATES = 8
 #: Rows of one length that a rank group holds about.
 GROUP_ROWS = 1 << 18
 SALTS = 256
@@ -184,8 +186,13 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def dominates(a: Pattern, b: Pattern) -> bool:
-    """Whether the pieces of filling b can be shared out among the pieces of filling a, each part no longer than its piece."""
+def dominates(a: Pattern, b: Pattern, most: int | None = None) -> bool:
+    """Whether the pieces of filling b can be shared out among the pieces of filling a, each part no longer than its piece.
+
+    With ``most`` the answer is no where there are more pieces or states than that: both fillings are then kept.
+    """
+    if most and max(sum(k for _, k in a), sum(k for _, k in b)) > most:
+        return False
     holes = sorted((x for x, k in a for _ in range(k)), reverse=True)
     items = sorted((x for x, k in b for _ in range(k)), reverse=True)
     if sum(items) > sum(holes) or (items and (not holes or items[0] > holes[0])):
@@ -202,7 +209,7 @@ def dominates(a: Pattern, b: Pattern) -> bool:
                     rest.remove(hole)
                     after.add(tuple(sorted([*rest, hole - item], reverse=True)))
         states = after
-        if len(states) > 10_000:  # not told apart in reasonable time: both are kept
+        if most and len(states) > most:
             return False
     return bool(states)
 
@@ -249,7 +256,7 @@ def fillings(lengths: list[int], counts: dict[int, int], space: int, width: int
         while at >= 0 and (not width or tried < width):
             x = lengths[at]
             if counts.get(x, 0) > 0:
-                if width and steps >= 40 * width and fits:
+                if width and fits and (steps >= 40 * width or len(found) >= 4 * width):
                     break  # every filling that has been begun is still filled up
                 fits = True
                 steps += 1
@@ -265,7 +272,7 @@ def fillings(lengths: list[int], counts: dict[int, int], space: int, width: int
     found.sort(key=lambda f: (f[0], [(-x, -k) for x, k in f[1]]))
     kept: list[Pattern] = []
     for _, f in found:
-        if f not in kept and not any(dominates(o, f) for o in kept):
+        if f not in kept and not any(dominates(o, f, DOMINANCE_STATES if width else None) for o in kept):
             kept.append(f)
             if len(kept) == width:
                 break
