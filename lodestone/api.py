@@ -96,7 +96,8 @@ class Namespace:
         seen = Observation(f"scored-{uuid.uuid4().hex}")
         state = self.store.state()
         if state["dim"] is None:
-            return {"rows": [], "stats": _query_stats(0, 0, 0, True, 0)}
+            return {"rows": [], "stats": _query_stats(0, 0, 0, True, 0, 0, 0)}
+        hits, misses = self.store.hits, self.store.misses
         # Over many rows, attributes are fetched afterwards for the rows found, not read for every row scored.
         late = include_attributes is not None and include_attributes is not False and sum(s["rows"] for s in state["segments"]) >= LATE_ROWS
         options = {"top_k_rows": top_k, "filters": filters, "include_attributes": False if late else include_attributes, "include_vectors": include_vectors, "metric": distance_metric, "nprobe": nprobe}
@@ -107,7 +108,8 @@ class Namespace:
             near = self.store.current(state, plan.clusters if plan.kind == "probed" else None).filter(F.col("id").isin([r["id"] for r in rows]))
             attributes = {r.id: json.loads(r.attributes) for r in near.select("id", *projection(include_attributes, False)).collect()}
             rows = [r | {"attributes": attributes[r["id"]]} for r in rows]
-        return {"rows": rows, "stats": _query_stats(int(1000 * (time.time() - started)), plan.segments, scored, plan.exhaustive, plan.index_version)}
+        took, hits, misses = int(1000 * (time.time() - started)), self.store.hits - hits, self.store.misses - misses
+        return {"rows": rows, "stats": _query_stats(took, plan.segments, scored, plan.exhaustive, plan.index_version, hits, misses)}
 
     def query_many(self, queries: DataFrame, top_k: int = 10, filters: object = None, distance_metric: str | None = None, nprobe: int | None = None) -> DataFrame:
         """(query_id, rank, id, dist) for a DataFrame of queries (id, vector), over all live rows or, with ``nprobe`` and no filter, by the index."""
@@ -344,8 +346,12 @@ def _found(row) -> dict:
     return out | ({"attributes": json.loads(out["attributes"])} if "attributes" in out else {})
 
 
-def _query_stats(took: int, segments: int, scored: int, exhaustive: bool, version: int) -> dict:
-    return {"took_ms": took, "segments_scanned": segments, "vectors_scored": scored, "exhaustive": exhaustive, "index_version": version, "stale_candidates": 0}
+def _query_stats(took: int, segments: int, scored: int, exhaustive: bool, version: int, hits: int, misses: int) -> dict:
+    """Cache figures count file listings and centroids that the store remembers or not; candidates are live before they are scored."""
+    return {
+        "took_ms": took, "segments_scanned": segments, "vectors_scored": scored, "cache_hits": hits, "cache_misses": misses,
+        "exhaustive": exhaustive, "index_version": version, "stale_candidates": 0,
+    }
 
 
 __all__ = ["Engine", "EngineError", "Namespace"]

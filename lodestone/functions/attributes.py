@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 MAP = "map<string,variant>"
 
 
-def parsed(attrs: str) -> Column:
-    """The attributes column as a variant; null for null or broken text."""
-    return F.try_parse_json(F.col(attrs))
-
-
-def field(attributes: Column, name: str) -> Column:
-    """Value of one top-level key, dots and dashes included; null where it is missing."""
-    return F.variant_get(attributes, f'$["{name}"]', "variant")
-
-
 def kind(x: Column) -> Column:
     return F.schema_of_variant(x)
 
@@ -26,39 +16,50 @@ def is_container(t: Column) -> Column:
     return F.startswith(t, F.lit("ARRAY")) | F.startswith(t, F.lit("OBJECT"))
 
 
-def is_number(t: Column) -> Column:
-    return t.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(t, F.lit("DECIMAL"))
+# The storage classes of a variant as SQL text; ``x`` names a column or lambda variable.
 
 
-def number(x: Column) -> Column:
+def field_sql(attributes: str, name: str) -> str:
+    """Value of one top-level key, dots and dashes included; null where it is missing. ``name`` must be checked."""
+    return f"variant_get({attributes}, '$[\"{name}\"]', 'variant')"
+
+
+def number_sql(x: str) -> str:
     """Numeric storage class: numbers, and booleans as 1 and 0; null for everything else."""
-    t = kind(x)
-    flag = F.when(F.try_variant_get(x, "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(t == "BOOLEAN", flag).when(is_number(t), F.try_variant_get(x, "$", "double"))
+    return (
+        f"case when schema_of_variant({x}) = 'BOOLEAN' then if(try_variant_get({x}, '$', 'boolean'), 1.0D, 0.0D)"
+        f" when {_is_number(x)} then try_variant_get({x}, '$', 'double') end"
+    )
+
 
+def _is_number(x: str) -> str:
+    return f"(schema_of_variant({x}) in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith(schema_of_variant({x}), 'DECIMAL'))"
 
-def text(x: Column) -> Column:
+
+def text_sql(x: str) -> str:
     """Text storage class: strings, and arrays and objects as minified JSON; null for everything else."""
-    t = kind(x)
-    return F.when(t == "STRING", F.try_variant_get(x, "$", "string")).when(is_container(t), F.to_json(x))
+    kind = f"schema_of_variant({x})"
+    return (
+        f"case when {kind} = 'STRING' then try_variant_get({x}, '$', 'string')"
+        f" when startswith({kind}, 'ARRAY') or startswith({kind}, 'OBJECT') then to_json({x}) end"
+    )
 
 
-def as_text(x: Column) -> Column:
+def as_text_sql(x: str) -> str:
     """What pattern matching sees: text, 1 or 0 for booleans, the digits of numbers."""
-    t = kind(x)
-    flag = F.when(F.try_variant_get(x, "$", "boolean"), F.lit("1")).otherwise(F.lit("0"))
-    return F.coalesce(text(x), F.when(t == "BOOLEAN", flag).when(is_number(t), F.to_json(x)))
+    return (
+        f"coalesce({text_sql(x)}, case when schema_of_variant({x}) = 'BOOLEAN' then if(try_variant_get({x}, '$', 'boolean'), '1', '0')"
+        f" when {_is_number(x)} then to_json({x}) end)"
+    )
 
 
-def elements(x: Column) -> Column:
+def elements_sql(x: str) -> str:
     """Elements of an array, values of an object, a scalar itself; empty for null and missing."""
-    t = kind(x)
-    none = F.array().cast("array<variant>")
+    kind = f"schema_of_variant({x})"
     return (
-        F.when(F.startswith(t, F.lit("ARRAY")), F.try_variant_get(x, "$", "array<variant>"))
-        .when(F.startswith(t, F.lit("OBJECT")), F.map_values(F.try_variant_get(x, "$", MAP)))
-        .when(t.isNull() | (t == "VOID"), none)
-        .otherwise(F.array(x))
+        f"case when startswith({kind}, 'ARRAY') then try_variant_get({x}, '$', 'array<variant>')"
+        f" when startswith({kind}, 'OBJECT') then map_values(try_variant_get({x}, '$', '{MAP}'))"
+        f" when {kind} is null or {kind} = 'VOID' then cast(array() as array<variant>) else array({x}) end"
     )
 
 

@@ -5,6 +5,9 @@ storage classes, numeric (numbers, booleans as 1 and 0) below text (strings, arr
 nothing is converted between them. Predicates are three-valued: on a missing or null field they are
 unknown, so ``Not`` of them does not match either, while ``NotEq``, ``NotIn`` and ``NotGlob`` match.
 ``id`` names the key column; predicates on it compare plain text and reach the Parquet scan.
+
+A filter becomes the text of one SQL expression: making it of columns, call by call, took longer than running it on some thousand rows.
+Values go into that text as casts of hexadecimal or decimal digits, and names are checked, so no value is read as SQL.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,51 +124,66 @@ def glob_to_regex(pattern: str) -> str:
     return r"\A" + "".join(out) + r"\z"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once a row. Filters do not share common subexpressions, and without this
-    the JSON text would be parsed again for each mention of a field."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def literal(v: str | float) -> str:
+    """A constant whatever it holds; the optimiser folds it."""
+    return f"cast(X'{v.encode('utf-8', 'replace').hex()}' as string)" if isinstance(v, str) else f"cast('{v!r}' as double)"
 
 
-class _Operand:
-    """A field's value in its two storage classes, from a struct of value, number and text."""
+def _either(*tests: str) -> str:
+    return "(" + " or ".join(tests) + ")"
+
+
+class _Names:
+    """Names for lambda variables, each used once."""
+
+    def __init__(self) -> None:
+        self.used = 0
+
+    def new(self) -> str:
+        self.used += 1
+        return f"__x{self.used}"
 
-    def __init__(self, bound: Column):
-        self.value, self.number, self.text = (bound[k] for k in ("value", "number", "text"))
+    def let(self, value: str, body: Callable[[str], str]) -> str:
+        """``body`` of a value that is computed once a row. Filters do not share common subexpressions, and without this
+        the JSON text would be parsed again for each mention of a field."""
+        x = self.new()
+        return f"transform(array({value}), {x} -> {body(x)})[0]"
 
-    @staticmethod
-    def struct(value: Column) -> Column:
-        return F.struct(value.alias("value"), A.number(value).alias("number"), A.text(value).alias("text"))
+    def operand(self, value: str, test: Callable[[_Operand], str]) -> str:
+        """``test`` of a variant's storage classes."""
+        return self.let(value, lambda v: self.let(f"named_struct('value', {v}, 'number', {A.number_sql(v)}, 'text', {A.text_sql(v)})", lambda x: test(_Operand(x))))
 
-    @property
-    def missing(self) -> Column:
-        return self.number.isNull() & self.text.isNull()
 
-    def known(self, test: Column) -> Column:
+class _Operand:
+    """A field's value in its two storage classes: the name of a struct of value, number and text. Tests are never null but where they say so."""
+
+    def __init__(self, name: str):
+        self.value, self.number, self.text = (f"{name}.{k}" for k in ("value", "number", "text"))
+        self.missing = f"({self.number} is null and {self.text} is null)"
+
+    def known(self, test: str) -> str:
         """Three-valued: unknown where the field is missing, else whether the test holds."""
-        return F.when(self.missing, F.lit(None).cast("boolean")).otherwise(F.coalesce(test, F.lit(False)))
+        return f"if({self.missing}, {UNKNOWN}, {test})"
 
-    def equals(self, v: str | float) -> Column:
-        return self.text == v if isinstance(v, str) else self.number == v
+    def among(self, values: list) -> str:
+        numbers, texts = ([literal(v) for v in values if isinstance(v, kind)] for kind in (float, str))
+        hits = [f"coalesce({own} in ({', '.join(wanted)}), false)" for own, wanted in ((self.number, numbers), (self.text, texts)) if wanted]
+        return _either(*hits) if hits else "false"
 
-    def compares(self, op: str, v: str | float) -> Column:
-        ordered = {"Lt": lambda c: c < v, "Lte": lambda c: c <= v, "Gt": lambda c: c > v, "Gte": lambda c: c >= v}[op]
-        if isinstance(v, str):
-            return (self.number.isNotNull() | ordered(self.text)) if op in ("Lt", "Lte") else ordered(self.text)
-        return ordered(self.number) if op in ("Lt", "Lte") else (ordered(self.number) | self.text.isNotNull())
+    def compares(self, op: str, v: str | float) -> str:
+        own, other = (self.text, self.number) if isinstance(v, str) else (self.number, self.text)
+        hits = [f"coalesce({own} {SIGNS[op]} {literal(v)}, false)"]
+        # Every number is below every text.
+        if isinstance(v, str) == (op in ("Lt", "Lte")):
+            hits.append(f"{other} is not null")
+        return _either(*hits)
 
-    def among(self, values: list) -> Column:
-        numbers, texts = [v for v in values if isinstance(v, float)], [v for v in values if isinstance(v, str)]
-        hit = F.lit(False)
-        if numbers:
-            hit = hit | F.coalesce(self.number.isin(numbers), F.lit(False))
-        if texts:
-            hit = hit | F.coalesce(self.text.isin(texts), F.lit(False))
-        return hit
+    def like(self, pattern: str) -> str:
+        return f"coalesce(rlike({A.as_text_sql(self.value)}, {literal(glob_to_regex(pattern))}), false)"
 
 
-def _unknown() -> Column:
-    return F.lit(None).cast("boolean")
+UNKNOWN = "cast(null as boolean)"
+SIGNS = {"Eq": "=", "NotEq": "<>", "Lt": "<", "Lte": "<=", "Gt": ">", "Gte": ">="}
 
 
 def _id_text(v: str | float | None) -> str | None:
@@ -176,50 +193,70 @@ def _id_text(v: str | float | None) -> str | None:
     return v
 
 
-def _on_id(op: str, value: str | float | list | None) -> Column:
-    key = F.col("id")
+def _on_id(op: str, value: str | float | list | None) -> str:
     if op in ("In", "NotIn"):
         values = [_id_text(v) for v in value]
-        hit = key.isin([v for v in values if v is not None])
-        known = F.when(hit, F.lit(True)).otherwise(_unknown()) if None in values else hit
-        return known if op == "In" else ~known
+        wanted = [literal(v) for v in values if v is not None]
+        hit = f"id in ({', '.join(wanted)})" if wanted else "false"
+        hit = f"if({hit}, true, {UNKNOWN})" if None in values else hit
+        return f"({hit})" if op == "In" else f"(not ({hit}))"
     if op in ("Glob", "NotGlob"):
-        hit = key.rlike(glob_to_regex(value))
-        return hit if op == "Glob" else ~hit
+        hit = f"rlike(id, {literal(glob_to_regex(value))})"
+        return hit if op == "Glob" else f"(not {hit})"
     v = _id_text(value)
     if v is None:  # ids are never null
-        return _unknown() if op in COMPARISONS else F.lit(op == "NotEq")
-    return {"Eq": key == v, "NotEq": key != v, "Lt": key < v, "Lte": key <= v, "Gt": key > v, "Gte": key >= v}[op]
+        return UNKNOWN if op in COMPARISONS else "true" if op == "NotEq" else "false"
+    return f"(id {SIGNS[op]} {literal(v)})"
 
 
-def _on_attribute(test: Condition, attributes: Column) -> Column:
-    predicate = _test(test.op, test.value)
-    classes = lambda v: let(_Operand.struct(v), lambda bound: predicate(_Operand(bound)))
-    return let(A.field(attributes, test.field), classes)
-
-
-def _test(op: str, v: str | float | list | None) -> Callable[[_Operand], Column]:
+def _test(names: _Names, op: str, v: str | float | list | None) -> Callable[[_Operand], str]:
     """The predicate of one condition on an attribute."""
     if op in ("Eq", "NotEq"):
         if v is None:
-            return lambda x: x.missing if op == "Eq" else ~x.missing
+            return lambda x: x.missing if op == "Eq" else f"(not {x.missing})"
         if op == "Eq":
-            return lambda x: x.known(x.equals(v))
-        return lambda x: x.missing | ~F.coalesce(x.equals(v), F.lit(False))
+            return lambda x: x.known(x.among([v]))
+        return lambda x: _either(x.missing, f"not {x.among([v])}")
     if op in COMPARISONS:
-        return lambda x: _unknown() if v is None else x.known(x.compares(op, v))
+        return lambda x: UNKNOWN if v is None else x.known(x.compares(op, v))
     if op in ("In", "NotIn"):
-        rest = _unknown() if None in v else F.lit(False)
-        known = lambda x: F.when(x.missing, _unknown()).when(x.among(v), F.lit(True)).otherwise(rest)
-        return known if op == "In" else lambda x: x.missing | ~known(x)
-    if op in ("Glob", "NotGlob"):
-        pattern = glob_to_regex(v)
-        if op == "Glob":
-            return lambda x: x.known(A.as_text(x.value).rlike(pattern))
-        return lambda x: x.missing | ~F.coalesce(A.as_text(x.value).rlike(pattern), F.lit(False))
+        rest = UNKNOWN if None in v else "false"
+        known = lambda x: f"case when {x.missing} then {UNKNOWN} when {x.among(v)} then true else {rest} end"
+        return known if op == "In" else lambda x: _either(x.missing, f"not {known(x)}")
+    if op == "Glob":
+        return lambda x: x.known(x.like(v))
+    if op == "NotGlob":
+        return lambda x: _either(x.missing, f"not {x.like(v)}")
     values = [v] if op == "Contains" else v
-    hit = lambda e: let(_Operand.struct(e), lambda bound: _Operand(bound).among(values))
-    return lambda x: F.coalesce(F.exists(A.elements(x.value), hit), F.lit(False))
+    element = names.new()
+    return lambda x: f"coalesce(exists({A.elements_sql(x.value)}, {element} -> {names.operand(element, lambda e: e.among(values))}), false)"
+
+
+def filter_sql(tree: object, attrs: str = "attrs") -> str:
+    """The text of ``compile_filter``."""
+    names = _Names()
+
+    def built(node: Node, attributes: str | None) -> str:
+        match node:
+            case Condition(field="id"):
+                return _on_id(node.op, node.value)
+            case Condition():
+                return names.operand(A.field_sql(attributes, node.field), _test(names, node.op, node.value))
+            case Negation(part=part):
+                return f"(not {built(part, attributes)})"
+            case Junction(every=every, parts=parts):
+                return "(" + (" and " if every else " or ").join(built(p, attributes) for p in parts) + ")"
+
+    def whole(node: Node) -> str:
+        if isinstance(node, Junction) and node.every:
+            on_id, rest = (tuple(p for p in node.parts if uses_attributes(p) is x) for x in (False, True))
+            if on_id and rest:
+                return f"{built(Junction(True, on_id), None)} and {whole(Junction(True, rest))}"
+        if not uses_attributes(node):
+            return built(node, None)
+        return names.let(f"try_parse_json(`{attrs}`)", lambda attributes: built(node, attributes))
+
+    return whole(read_filter(tree))
 
 
 def compile_filter(tree: object, attrs: str = "attrs") -> Column:
@@ -228,17 +265,7 @@ def compile_filter(tree: object, attrs: str = "attrs") -> Column:
     The attributes are parsed once a row. Conditions on ``id`` that must hold on their own stay outside, where they
     reach the scan.
     """
-    return _column(read_filter(tree), attrs)
-
-
-def _column(node: Node, attrs: str) -> Column:
-    if isinstance(node, Junction) and node.every:
-        on_id, rest = (tuple(p for p in node.parts if uses_attributes(p) is x) for x in (False, True))
-        if on_id and rest:
-            return _built(Junction(True, on_id), None) & _column(Junction(True, rest), attrs)
-    if not uses_attributes(node):
-        return _built(node, None)
-    return let(A.parsed(attrs), lambda attributes: _built(node, attributes))
+    return F.expr(filter_sql(tree, attrs))
 
 
 def uses_attributes(node: Node) -> bool:
@@ -252,19 +279,6 @@ def uses_attributes(node: Node) -> bool:
             return uses_attributes(part)
 
 
-def _built(node: Node, attributes: Column | None) -> Column:
-    match node:
-        case Condition(field="id"):
-            return _on_id(node.op, node.value)
-        case Condition():
-            return _on_attribute(node, attributes)
-        case Negation(part=part):
-            return ~_built(part, attributes)
-        case Junction(every=every, parts=parts):
-            built = [_built(p, attributes) for p in parts]
-            return reduce(lambda a, b: a & b if every else a | b, built)
-
-
 def check_shape(tree: object) -> str | None:
     """What is wrong with a filter, or None; ``Not`` takes exactly one filter here."""
     try:

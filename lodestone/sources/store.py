@@ -52,6 +52,7 @@ class Store:
         self.readers: dict[tuple[str, ...], DataFrame] = {}
         self.routes: tuple[str, list[list[float]]] | None = None
         self.known: tuple[int, dict] | None = None  # when the last state that was read was written, and the state
+        self.hits = self.misses = 0  # of file listings and centroids that are remembered
 
     # States
 
@@ -105,8 +106,12 @@ class Store:
 
     # Reading
 
+    def _count(self, hit: bool) -> None:
+        self.hits, self.misses = self.hits + hit, self.misses + (not hit)
+
     def _read(self, schema: T.StructType, *paths: str) -> DataFrame:
         """Files that a state names; they are listed once."""
+        self._count(paths in self.readers)
         if paths not in self.readers:
             while len(self.readers) >= READERS:
                 del self.readers[next(iter(self.readers))]
@@ -159,6 +164,7 @@ class Store:
     def centroids(self, state: dict) -> list[list[float]]:
         """Centroids of the index version, read once."""
         path = f"{self.home}/{state['centroids']}"
+        self._count(self.routes is not None and self.routes[0] == path)
         if self.routes is None or self.routes[0] != path:
             self.routes = (path, json.loads(self.files.read(path)))
         return self.routes[1]

@@ -191,6 +191,7 @@ def test_index(engine):
         got = ns.query(q, 10)
         hits += len({r["id"] for r in got["rows"]} & set(nearest(rows, q, 10)))
     assert hits / 200 >= 0.9 and not got["stats"]["exhaustive"] and got["stats"]["vectors_scored"] < 3000
+    assert got["stats"]["cache_hits"] > 0 == got["stats"]["cache_misses"]  # the 20th of such queries
     full = ns.query(q, 15, nprobe=s["index"]["clusters"])
     assert full["stats"]["exhaustive"] and [r["id"] for r in full["rows"]] == nearest(rows, q, 15)
     # Later writes are found without a rebuild, and replaced or deleted rows are not.
