@@ -21,7 +21,7 @@ from .plans.planner import QueryPlan, nprobe_for, plan_query, probed_join
 from .sources.catalog import namespaces
 from .sources.store import DELETE, UPSERT, Store, by_id
 
-#: From this many stored rows on, a query's attributes are fetched for its results only.
+#: From this many stored rows on, attributes are fetched for the results of a query or a page only.
 LATE_ROWS = 1_000_000
 _VECTOR = pa.list_(pa.float32())
 _BATCH = pa.schema([("id", pa.string()), ("op", pa.string()), ("vector", _VECTOR), ("attrs", pa.string()), ("pos", pa.int64())])
@@ -73,9 +73,14 @@ class Namespace:
     def list(self, cursor: str | None = None, limit: object = None) -> dict:
         """A page of rows after ``cursor`` in order of id, without vectors, and the next cursor or None."""
         limit = validate.clamp_page(limit)
-        rows = self.rows().select("id", "attrs")
-        rows = rows.filter(F.col("id") > cursor) if cursor else rows
-        page = [_stored(r) for r in rows.orderBy("id").limit(limit + 1).collect()]
+        state = self.store.state()
+        rows = self.store.current(state).select("id", "attrs")
+        after = rows.filter(F.col("id") > cursor) if cursor else rows
+        if sum(s["rows"] for s in state["segments"]) >= LATE_ROWS:
+            # Over many rows, only ids are read for the order, and then the row groups that hold the page's.
+            ids = [r.id for r in after.select("id").orderBy("id").limit(limit + 1).collect()]
+            after = rows.filter(F.col("id").isin(ids))
+        page = [_stored(r) for r in after.orderBy("id").limit(limit + 1).collect()]
         return {"rows": page[:limit], "next_cursor": page[limit - 1]["id"] if len(page) > limit else None}
 
     def plan(self, vector: list[float], **options) -> QueryPlan:

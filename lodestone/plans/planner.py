@@ -27,6 +27,7 @@ class QueryPlan:
     exhaustive: bool = True
     index_version: int = 0
     segments: int = 0
+    bytes: int = 0  # of the files that the plan may read
     clusters: list[int] = field(default_factory=list)
 
 
@@ -50,7 +51,8 @@ def plan_query(
     k = clamp_top_k(top_k_rows)
     metric = check_metric(metric if metric is not None else state["metric"])
     clamp_nprobe(nprobe)  # refused with an index and without
-    plan = QueryPlan("exhaustive", None, segments=len(state["segments"]), index_version=state["index_version"])  # type: ignore[arg-type]
+    plan = QueryPlan("exhaustive", None, index_version=state["index_version"])  # type: ignore[arg-type]
+    read = state["segments"]
     if filters is not None:
         plan.kind = "filtered"
         source = store.current(state).filter(compile_filter(filters))
@@ -61,11 +63,11 @@ def plan_query(
         plan.clusters = nearest_centroids(np.asarray(store.centroids(state)), routed, wanted)
         plan.exhaustive = len(plan.clusters) == state["clusters"]
         plan.kind = "exhaustive" if plan.exhaustive else "probed"
-        plan.segments = sum(s["kind"] == "wal" or s["cluster"] in plan.clusters for s in state["segments"])
+        read = [s for s in read if s["kind"] == "wal" or s["cluster"] in plan.clusters]
         source = store.current(state, None if plan.exhaustive else plan.clusters)
     else:
         source = store.current(state)
-    plan.scanned = source
+    plan.scanned, plan.segments, plan.bytes = source, len(read), sum(s["bytes"] for s in read)
     plan.rows = top_k(source, query, k, metric, include_attributes, include_vectors, scorer)
     return plan
 

@@ -94,9 +94,10 @@ def test_attributes_fetched_afterwards(crud, monkeypatch):
 
     ns, rows = crud
     ask = lambda: [ns.query(rows[7]["vector"], 9, filters=f, include_attributes=a)["rows"] for f in (None, ["group", "Eq", 2], ["group", "Eq", 77]) for a in (True, ["price"], [])]
-    at_once = ask()
+    pages = lambda: [ns.list(cursor, 150) for cursor in (None, "row-2", "z")]
+    at_once, listed = ask(), pages()
     monkeypatch.setattr(api, "LATE_ROWS", 0)
-    assert ask() == at_once
+    assert ask() == at_once and pages() == listed
 
 
 def test_fetch_and_pages(crud):
@@ -192,6 +193,8 @@ def test_index(engine):
         hits += len({r["id"] for r in got["rows"]} & set(nearest(rows, q, 10)))
     assert hits / 200 >= 0.9 and not got["stats"]["exhaustive"] and got["stats"]["vectors_scored"] < 3000
     assert got["stats"]["cache_hits"] > 0 == got["stats"]["cache_misses"]  # the 20th of such queries
+    few, every = ns.plan(q, nprobe=2), ns.plan(q, nprobe=1000)
+    assert 0 < few.bytes < every.bytes == ns.stats()["storage_bytes"] and few.segments == 2
     full = ns.query(q, 15, nprobe=s["index"]["clusters"])
     assert full["stats"]["exhaustive"] and [r["id"] for r in full["rows"]] == nearest(rows, q, 15)
     # Later writes are found without a rebuild, and replaced or deleted rows are not.
