@@ -356,7 +356,30 @@ def category_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pca2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.pca2d_rows(vectors(spark, sf_dir))
+    return analysis.pca2d_rows(vectors(spark, sf_dir)).select("id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("x", "y")])
+
+
+#: The same power iteration over the covariance of the first 600 rows: x from sin(12.9898 j), y from sin(12.9898 j + 78.233) beside x.
+PCA_SQL = f"""
+WITH RECURSIVE {V}, p AS (SELECT id, e FROM v ORDER BY id LIMIT 600),
+j AS (SELECT unnest(range(1, (SELECT max(len(e)) FROM p) + 1)) AS j),
+mean AS (SELECT list(a ORDER BY j) AS m FROM (SELECT j, avg(e[j]) AS a FROM p, j GROUP BY j)),
+c AS (SELECT id, list_transform(list_zip(e, m), lambda q: q[1] - q[2]) AS x FROM p, mean),
+cell AS (SELECT a.j, b.j AS k, sum(x[a.j] * x[b.j]) AS s FROM c, j AS a, j AS b GROUP BY a.j, b.j),
+cov AS (SELECT list(r ORDER BY j) AS m FROM (SELECT j, list(s ORDER BY k) AS r FROM cell GROUP BY j)),
+first AS (
+  SELECT 0 AS i, (SELECT list(sin((j - 1) * 12.9898) ORDER BY j) FROM j) AS w
+  UNION ALL SELECT i + 1, list_transform(u, lambda t: t / sqrt(list_inner_product(u, u))) FROM (
+    SELECT i, list_transform(m, lambda r: list_inner_product(r, w)) AS u FROM first, cov WHERE i < 60)
+), one AS (SELECT w AS p FROM first WHERE i = 60),
+second AS (
+  SELECT 0 AS i, (SELECT list(sin((j - 1) * 12.9898 + 78.233) ORDER BY j) FROM j) AS w
+  UNION ALL SELECT i + 1, list_transform(t, lambda a: a / sqrt(list_inner_product(t, t))) FROM (
+    SELECT i, list_transform(list_zip(u, p), lambda q: q[1] - list_inner_product(u, p) * q[2]) AS t FROM (
+      SELECT i, p, list_transform(m, lambda r: list_inner_product(r, w)) AS u FROM second, cov, one WHERE i < 60))
+), two AS (SELECT w AS q FROM second WHERE i = 60)
+SELECT id, round(list_inner_product(x, p), 5) + 0.0 AS x, round(list_inner_product(x, q), 5) + 0.0 AS y FROM c, one, two
+"""
 
 
 def storage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,6 +455,8 @@ def oracle_sql() -> dict[str, str]:
         "ivf_probe8": "SELECT unnest(range(1, 11))::INTEGER AS rank, unnest(range(1, 11)) = 1 AS asked_for, true AS right",
         "ivf_cluster_sizes": f"SELECT count(*)::BIGINT AS n_rows, {CLUSTERS_SQL} AS wanted, true AS apart, true AS few FROM embeddings",
         "namespace_list": "SELECT unnest(['Gamma', 'alpha']) AS name, true AS created",
-        "category_keys": "SELECT unnest(['type', 'value', 'k.n', 'm']) AS key",
+        "category_keys": "SELECT DISTINCT key FROM (SELECT unnest([CASE WHEN event_type IS NOT NULL THEN 'type' END, CASE WHEN value IS NOT NULL THEN 'value' END, "
+        f"CASE WHEN k IS NOT NULL THEN 'k.n' END, CASE WHEN event_id % 4 <> 3 THEN 'm' END]) AS key FROM ({E_SQL})) WHERE key IS NOT NULL",
+        "pca2d": PCA_SQL,
         "storage_cost": "SELECT label, round(sum(len(embedding) * 4) / 1073741824.0 * 0.015 * 1e6, 6)::DOUBLE AS cost FROM embeddings GROUP BY label",
     }
