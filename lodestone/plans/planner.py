@@ -96,7 +96,7 @@ def nprobe_for(store: Store, state: dict, recall: float, k: int, metric: str, sa
     """Clusters that a query has to probe to find this share of its k nearest rows, measured on ``sample`` stored rows as queries.
 
     The exact neighbours of these rows are found once; a neighbour is found by probing as many clusters as its own is away in order of
-    distance. Two standard errors are added to the share, so that other queries reach it too. Rows of the log tail are always found.
+    distance. The share is to be reached less two standard errors over the sample, so that other queries reach it too. Rows of the log tail are always found.
     """
     if not state["index_version"]:
         return 1
@@ -110,6 +110,8 @@ def nprobe_for(store: Store, state: dict, recall: float, k: int, metric: str, sa
         return 1
     order = routing(store, state, metric)(matrix(got["vector"].combine_chunks()))
     place = np.argsort(order, axis=1)
-    depth = np.sort([0 if c < 0 else place[i, c] + 1 for i, own in enumerate(got["clusters"].to_pylist()) for c in own])
-    share = min(1.0, recall + 2 * float(np.sqrt(recall * (1 - recall) / len(depth))))
-    return max(1, int(depth[min(len(depth) - 1, int(np.ceil(share * len(depth))) - 1)]))
+    depth = [np.array([0 if c < 0 else place[i, c] + 1 for c in own]) for i, own in enumerate(got["clusters"].to_pylist())]
+    shares = np.array([[(d <= p).mean() for p in range(1, state["clusters"] + 1)] for d in depth])  # a row for each query
+    sure = shares.mean(axis=0) - 2 * shares.std(axis=0) / np.sqrt(len(shares))
+    enough = np.flatnonzero(sure >= recall)
+    return int(enough[0]) + 1 if len(enough) else state["clusters"]

@@ -320,16 +320,16 @@ FINE = 32
 
 
 def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every id divisible by 20 the exact tenth distance; and whether the index finds nine tenths of the exact neighbours, with the ``nprobe``
-    that was measured for that, and with fewer clusters than chance would need."""
+    """For every id divisible by 20 the exact tenth distance; and whether the index finds nine tenths of the exact neighbours of all these queries, with
+    the ``nprobe`` measured for 0.95 (few queries scatter), and clearly more than as many clusters would hold by chance."""
     ns, rows = store(spark, sf_dir), vectors(spark, sf_dir)
     clusters = ns.build_index(cluster_rows=FINE)["clusters"]
-    nprobe = ns.nprobe_for(0.9)
+    nprobe = ns.nprobe_for(0.95)
     asked = rows.filter(F.col("id").cast("long") % 20 == 0)
     exact = knn.knn_join(rows, asked, 10, M.COSINE)
     recall = knn.recall_at_k(ns.query_many(asked, 10, nprobe=nprobe), exact, 10).agg(F.avg("recall").alias("r")).first().r
     tenth = exact.filter("rank = 10").select("query_id", (F.round("dist", 6) + F.lit(0.0)).alias("tenth"))
-    return tenth.withColumns({"reached": F.lit(recall >= 0.9), "routed": F.lit(nprobe < 0.9 * clusters)})
+    return tenth.withColumns({"reached": F.lit(recall >= 0.9), "routed": F.lit(recall > nprobe / clusters + 0.05)})
 
 
 RECALL_SQL = f"""
