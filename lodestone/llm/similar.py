@@ -4,12 +4,14 @@ The similarity of two texts is that of their sets of n-word shingles (Jaccard).
 its SimHash fingerprints, too many for one fingerprint to be looked up by the bits that agree. Therefore a text gets TABLES independent fingerprints of
 TABLE_BITS bits; every table is joined with itself by the binary trie within BUDGET differing bits, band by band. What a table finds must also be near
 in the next two tables. A pair of similarity 0.8 is found by one table with probability 0.25 and by any of them with 0.99, a pair of 0.9 with 0.99999.
-Found pairs must be near in the sum of all tables, and are then checked exactly: both sets of shingles are made anew from the whole texts. Components of
-checked pairs are the groups.
+Found pairs only say which texts are compared: all pairs of a component of found pairs are checked exactly, whether a table found them or not, by sets
+of shingles made anew from the whole texts. Components of checked pairs are the groups.
 
 Texts with equal sets of shingles are one class from the beginning, so groups of copies of any size are one member. Where a group of a table has
-more pairs than members, it hands on a minimum spanning forest of them by distance: if distances were those of the sets, the forest's pairs of the least
-similarity and more would connect just what all such pairs connect. Each table measures distances by other bits and has a forest of its own for each band.
+more pairs than members, it hands on a spanning forest of them, which has the components of all of them, and so no pair is lost.
+
+Members of a component are checked in blocks, all pairs of a block by one matrix product. A component of several blocks is dealt into blocks twice; what
+these link need not be compared again, so at last only pairs of blocks are taken that are not of one linked part.
 """
 
 from __future__ import annotations
@@ -32,10 +34,14 @@ TABLE_BITS = 32
 BUDGET = 3
 #: Of BUDGET + 1 bands of a table's bits one agrees.
 BAND_BITS = TABLE_BITS // (BUDGET + 1)
-#: Differing bits at most of the next two tables, and of all: 1.5 and 3.8 standard deviations above those of a pair of similarity 0.8.
-FAR, FAR_IN_ALL = 14, 108
+#: Differing bits at most of the next two tables: 1.5 standard deviations above those of a pair of similarity 0.8.
+FAR = 14
 #: Found pairs for each member of a group beyond which a minimum spanning forest of them is handed on.
 PAIRS_A_MEMBER = 1
+#: Shingles of a block, and those that a member counts as at least: up to 512 members and 8 MB.
+BLOCK, LEAST = 1 << 20, 1 << 11
+#: Shingles of one matrix product.
+COLUMNS = 1 << 13
 BITMAP_BITS = 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,7 +68,7 @@ def fingerprints(sets: np.ndarray, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(``__id``, row keys, ``sig``: a hash of the set of shingles, ``tables``: TABLES integers) per row."""
+    """(``__id``, row keys, ``sig``: a hash of the set of shingles, ``size``: their number, ``tables``: TABLES integers) per row."""
     words = TABLES * TABLE_BITS // 64
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,12 +77,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
             made = [fingerprints(s, words) for s in sets]
             sig = np.array([np.bitwise_xor.reduce(mix(s * _ODD)) + np.uint64(len(s)) for s in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({
-                "__id": b["__id"], "__key": b["__key"], "__hash": b["__hash"], "sig": sig,
+                "__id": b["__id"], "__key": b["__key"], "__hash": b["__hash"], "sig": sig, "size": [len(s) for s in sets],
                 "tables": [m.view("<u4").astype(np.int64) for m in made],
             })
 
     rows = docs.select(F.col(id_col).cast("string").alias("__id"), *row_key(id_col, text_col), F.col(text_col).alias("__text"))
-    made = rows.mapInPandas(run, "__id string, __key string, __hash bigint, sig bigint, tables array<bigint>")
+    made = rows.mapInPandas(run, "__id string, __key string, __hash bigint, sig bigint, size bigint, tables array<bigint>")
     return made.withColumn("__id", F.col("__id").cast(docs.schema[id_col].dataType))
 
 
@@ -172,10 +178,34 @@ def _pair_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs(pd.concat(held))
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    """Pairs (u, v) of each component's smallest member and another one, for all links."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = _roots(len(names), at[: len(u)], at[len(u) :], np.arange(len(names)))
+    linked = np.flatnonzero(label != np.arange(len(names)))
+    return pd.DataFrame({"u": names[label[linked]], "v": names[linked]})
+
+
+def _star_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (u, v) in, ``stars`` of all of them out."""
+    held: list[pd.DataFrame] = []
+    waiting = 0
+    for b in batches:
+        held.append(b)
+        waiting += len(b)
+        if waiting > 1 << 20:
+            rows = pd.concat(held)
+            held, waiting = [stars(rows["u"].to_numpy(np.int64), rows["v"].to_numpy(np.int64))], 0
+    if held:
+        rows = pd.concat(held)
+        yield stars(rows["u"].to_numpy(np.int64), rows["v"].to_numpy(np.int64))
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of classes (``sig``, ``tables``) that a table finds and the next two confirm.
+    """Links (u, v) that connect just the classes (``sig``, ``tables``) connected by pairs that a table finds and the next two confirm.
 
-    Rows are dealt by table, band and the band's value.
+    Rows are dealt by table, band and the band's value. A class has a link in each of its groups; those of a task, and then those to the
+    same classes, shrink to the links that connect them.
     """
     bands = F.array(*[F.lit(i) for i in range(BUDGET + 1)])
     after = [F.get("tables", F.pmod(F.col("t") + i, F.lit(TABLES))) for i in (1, 2)]
@@ -185,26 +215,22 @@ def candidates(classes: DataFrame) -> DataFrame:
     rows = single.select(((F.col("t") * (BUDGET + 1) + F.col("band")) * (1 << BAND_BITS) + value).cast("long").alias("g"), "sig", "fp", "value")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "g").sortWithinPartitions("g")
-    return dealt.mapInPandas(_pair_partition, "u bigint, v bigint").distinct()
-
+    links = dealt.mapInPandas(lambda batches: _star_partition(_pair_partition(batches)), "u bigint, v bigint")
+    return links.repartition(parts, "v").mapInPandas(_star_partition, "u bigint, v bigint")
 
-def both_ends(pairs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (u, v) with that column of both classes as ``a`` and ``b``. A class is one row, so that Spark can split those in very many pairs."""
-    one = pairs.join(classes.select(F.col("sig").alias("u"), F.col(column).alias("a")), "u")
-    return one.join(classes.select(F.col("sig").alias("v"), F.col(column).alias("b")), "v").select("u", "v", "a", "b")
 
+def blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` (``sig``, ``weight``) with the number of blocks that the rows of a key fill."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.sum("weight") / BLOCK).alias(name))
+    return spread_join(rows, sizes, keys, "sig")
 
-def near_in_all(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that differ in at most FAR_IN_ALL bits of all tables together."""
-    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-    return both_ends(pairs, classes, "tables").filter(differ <= FAR_IN_ALL).select("u", "v")
 
-
-def checked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least that similarity. Only texts of classes that are in a pair are read into sets."""
+def member_sets(docs: DataFrame, links: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(``sig``, ``blob``: the component of links, ``weight``, ``k``: the component's blocks, ``set``) per linked class. Only their texts are read into sets."""
     names = ["__key", "__hash"]
-    asked = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct()
-    wanted = scratch(asked.join(classes.select("sig", *names), "sig"), "similar-wanted")
+    blob = components(links).select(F.col("v").alias("sig"), F.col("root").alias("blob"))
+    members = classes.join(blob, "sig").select("sig", "blob", F.greatest("size", F.lit(LEAST)).alias("weight"), *names)
+    wanted = scratch(blocks(members, ["blob"], "k"), "similar-wanted")
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("__text"))
     near = with_maybe(rows, bitmap(wanted, names, BITMAP_BITS), names, BITMAP_BITS).filter("__maybe").select(*names, "__text")
 
@@ -213,19 +239,84 @@ def checked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
             yield pd.DataFrame({"__key": b["__key"], "__hash": b["__hash"], "set": [shingles(t, n).tobytes() for t in b["__text"]]})
 
     made = near.mapInPandas(sets, "__key string, __hash bigint, set binary").join(wanted, names)
-    own = scratch(made.groupBy("sig").agg(F.first("set").alias("set")), "similar-sets")
+    first = made.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("blob", "weight", "k", "set")])
+    return scratch(first, "similar-sets")
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of sets of at least that similarity."""
+    size = np.array([len(s) for s in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[at] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[at[shared]], np.repeat(np.arange(len(sets)), size)[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = int(column[-1]) + 1 if len(column) else 0
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, total, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, total - at)), np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        common += (has @ has.T).astype(np.int64)
+    return np.nonzero(np.triu(common >= similarity * (size[:, None] + size[None, :] - common), 1))
+
+
+def linked_in_groups(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that connect the members (``g``, ``sig``, ``set``) of each group as all its pairs of at least that similarity do."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        sig = rows["sig"].to_numpy(np.int64)
+        a, b = similar_sets([np.frombuffer(s, np.uint64) for s in rows["set"]], similarity)
+        return stars(sig[a], sig[b])
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for b in batches:
-            good = []
-            for x, y in zip(b["a"], b["b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(common >= similarity * (len(x) + len(y) - common))
-            yield b.loc[np.array(good, bool), ["u", "v"]]
+            rows = b if held is None else pd.concat([held, b])
+            cut = np.flatnonzero(np.diff(rows["g"].to_numpy())) + 1
+            for lo, hi in zip(np.concatenate([[0], cut]), cut):
+                if hi - lo > 1:
+                    yield links(rows.iloc[lo:hi])
+            held = rows.iloc[cut[-1] :] if len(cut) else rows  # the last group may go on
+        if held is not None and len(held) > 1:
+            yield links(held)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("g", "sig", "set").repartition(parts, "g").sortWithinPartitions("g")
+    return dealt.mapInPandas(run, "u bigint, v bigint")
+
+
+def checked(own: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that connect the members of each component as all its pairs of at least that similarity do."""
 
-    both = both_ends(pairs, own, "set")
-    return both.select("u", "v", "a", "b").mapInPandas(check, "u bigint, v bigint")
+    def dealt(rows: DataFrame, salt: int) -> DataFrame:
+        return rows.withColumn("g", F.xxhash64("blob", F.pmod(F.xxhash64("sig", F.lit(salt)), F.col("k"))))
+
+    links = scratch(linked_in_groups(dealt(own, 0), similarity), "similar-links")
+    large = own.filter("k > 1")
+    if large.isEmpty():
+        return links
+    links = scratch(links.union(linked_in_groups(dealt(large, 1), similarity)), "similar-links")
+    across = linked_in_groups(large.join(block_pairs(large, components(links)), "sig"), similarity)
+    return links.union(scratch(across, "similar-links"))
+
+
+def block_pairs(large: DataFrame, label: DataFrame) -> DataFrame:
+    """(``sig``, ``g``): the members of each pair of blocks of a component (``blob``) that may hold pairs not connected by ``label`` (v, root).
+
+    Parts that are connected and fill a block have blocks of their own, all others share some.
+    """
+    rows = large.select("sig", "blob", "weight").join(label.withColumnRenamed("v", "sig"), "sig", "left")
+    sized = blocks(rows.withColumn("root", F.coalesce("root", "sig")), ["blob", "root"], "own")
+    alone = sized.withColumn("alone", F.col("own") > 1).withColumn("part", F.when(F.col("own") > 1, F.col("root")).otherwise(F.col("blob")))
+    names = ["blob", "alone", "part", "block"]
+    placed = blocks(alone, names[:3], "n").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("n")))
+    placed = scratch(placed.select("sig", *names), "similar-placed")
+    each = placed.select("blob", F.struct(*names[1:]).alias("at")).distinct()
+    two = each.withColumnRenamed("at", "one").join(each.withColumnRenamed("at", "other"), "blob").filter("one <= other")
+    two = two.filter("not (one.alone and other.alone and one.part = other.part)").withColumn("g", F.xxhash64("blob", "one", "other"))
+    ends = two.select("blob", "one.*", "g").union(two.filter("one < other").select("blob", "other.*", "g"))
+    return placed.join(ends, names).select("sig", "g")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -245,10 +336,10 @@ def _smallest(*order: str) -> Column:
 def _find(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float) -> DataFrame:
     """Rows (``__id``, row keys, ``root``: the class that names the component, ``component_id``)."""
     rows = scratch(signatures(docs, id_col, text_col, n), "similar-rows")
-    first = rows.groupBy("sig").agg(_smallest("__hash", "__key", "tables").alias("s"))
-    classes = scratch(first.select("sig", F.col("s.id").alias("least"), "s.__key", "s.__hash", "s.tables"), "similar-classes")
-    pairs = scratch(near_in_all(candidates(classes), classes), "similar-pairs")
-    label = components(checked(docs, pairs, classes, id_col, text_col, n, similarity))
+    first = rows.groupBy("sig").agg(_smallest("__hash", "__key", "size", "tables").alias("s"))
+    classes = scratch(first.select("sig", F.col("s.id").alias("least"), "s.__key", "s.__hash", "s.size", "s.tables"), "similar-classes")
+    own = member_sets(docs, scratch(candidates(classes), "similar-candidates"), classes, id_col, text_col, n)
+    label = components(checked(own, similarity))
     rooted = classes.join(label.withColumnRenamed("v", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.select("sig", "root").join(smallest, "root").select("sig", "root", "component_id")

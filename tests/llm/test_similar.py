@@ -112,3 +112,35 @@ def test_one_row_of_each_component_stays(docs):
     kept = drop_similar(docs(rows))
     assert kept.columns == docs(rows).columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
     assert drop_similar(docs([])).count() == 0 and similar_documents(docs([])).count() == 0
+
+
+def one_family(seed, copies, words=240, changes=9):
+    """Copies of one text with words replaced: most pairs are a little below a similarity of 0.8, some a little above."""
+    rng = random.Random(seed)
+    first = [f"w{i}" for i in range(words)]
+    made = []
+    for _ in range(copies):
+        own = list(first)
+        for _ in range(rng.randrange(1, changes)):
+            own[rng.randrange(words)] = f"new{rng.randrange(10**6)}"
+        made.append(" ".join(own))
+    return made
+
+
+@pytest.mark.parametrize("least", [1 << 11, 1 << 18])
+def test_large_families_lose_no_link(docs, monkeypatch, least):
+    """Every link of a family with far more pairs than members, with all its members in a block or four in each."""
+    monkeypatch.setattr(similar, "LEAST", least, raising=False)
+    texts = [t for seed in range(2) for t in one_family(seed, 90)]
+    sets = [plain_set(t) for t in texts]
+    near = [(i, j) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8]
+    want = similar._roots(len(sets), *np.array(near).T, np.arange(len(sets))).tolist()
+    got = {r.doc_id: r.component_id for r in similar_documents(docs(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) > 8
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 12, n).astype(np.uint64)) for n in rng.integers(1, 30, 60)]
+    want = {(i, j) for j in range(60) for i in range(j) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8}
+    assert set(zip(*(x.tolist() for x in similar.similar_sets(sets, 0.8)))) == want and want
