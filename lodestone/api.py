@@ -276,8 +276,8 @@ class Namespace:
     def delete_where(self, filters: object) -> dict:
         return self.delete(filters=filters)
 
-    def build_index(self, force: bool = True, **clusters: int) -> dict:
-        """Index all rows; ``max_clusters`` and ``cluster_rows`` change the number of clusters."""
+    def build_index(self, force: bool = True, **clusters: int | None) -> dict:
+        """Index all rows; ``max_clusters`` (None: no bound) and ``cluster_rows`` change the number of clusters."""
         return ivf.build_index(self.store, force, **clusters)
 
     def nprobe_for(self, recall: float, top_k: int = 10, distance_metric: str | None = None) -> int:

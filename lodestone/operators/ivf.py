@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions.metrics import COSINE, matrix
 from ..sources.store import Store
-from .kmeans import MAX_CLUSTERS, TARGET_CLUSTER_ROWS, cluster_count, kmeans, sample_size, squared_distances, unit
+from .kmeans import MAX_CLUSTERS, TARGET_CLUSTER_ROWS, cluster_count, kmeans, nearest, sample_size, unit
 
 # The log size that makes an automatic build worthwhile.
 AUTO_ROWS = 2_000
@@ -32,7 +32,7 @@ def below_threshold(state: dict) -> bool:
 
 
 def sample(rows: DataFrame, n: int, seed: int = 1) -> np.ndarray:
-    """n rows by the smallest hashes of their ids: the same rows for the same data, and at most 8 MB."""
+    """n rows by the smallest hashes of their ids: the same rows for the same data. At most 8 MB, or a row for each cluster if there are more."""
     picked = rows.select("id", "vector").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).toArrow()
     vectors = picked["vector"].combine_chunks() if len(picked) else pa.array([], pa.list_(pa.float32()))
     return matrix(vectors) if len(picked) else np.zeros((0, 1))
@@ -43,22 +43,23 @@ def assigned(vector: str, centroids: np.ndarray) -> Column:
     c = np.asarray(centroids, np.float64)
 
     @F.arrow_udf("int")
-    def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vectors in batches:
-            yield pa.array(squared_distances(matrix(vectors), c).argmin(axis=1) if len(vectors) else [], pa.int32())
+            yield pa.array(nearest(matrix(vectors), c)[0] if len(vectors) else [], pa.int32())
 
-    return nearest(F.col(vector))
+    return number(F.col(vector))
 
 
-def centroids_of(rows: DataFrame, live: int, dim: int, metric: str, max_clusters: int = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> np.ndarray:
-    data = sample(rows, sample_size(live, dim))
+def centroids_of(rows: DataFrame, live: int, dim: int, metric: str, max_clusters: int | None = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> np.ndarray:
+    count = cluster_count(live, dim, max_clusters, cluster_rows)
+    data = sample(rows, max(sample_size(live, dim), count))
     if metric == COSINE:
         data = unit(data)
-    made = kmeans(data, min(cluster_count(live, dim, max_clusters, cluster_rows), len(data)))
+    made = kmeans(data, min(count, len(data)))
     return (unit(made) if metric == COSINE else made).astype(np.float32).astype(np.float64)
 
 
-def build_index(store: Store, force: bool = True, max_clusters: int = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> dict:
+def build_index(store: Store, force: bool = True, max_clusters: int | None = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> dict:
     """Index everything that is live now. Readers keep the old version until the new one is published; writes that
     commit meanwhile stay in the log tail. A failed build leaves the old version as it was. One build of a namespace
     runs at a time in a process, and one that would only be skipped keeps no other from running."""
@@ -78,7 +79,7 @@ def build_index(store: Store, force: bool = True, max_clusters: int = MAX_CLUSTE
             _building.discard(store.home)
 
 
-def _build(store: Store, max_clusters: int, cluster_rows: int) -> dict:
+def _build(store: Store, max_clusters: int | None, cluster_rows: int) -> dict:
     started = time.time()
     state = store.state()
     rows = store.current(state)

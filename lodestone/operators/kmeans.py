@@ -13,11 +13,14 @@ MAX_CLUSTERS = 256
 SAMPLE_ROWS = 4096
 SAMPLE_BYTES = 8 << 20
 ITERATIONS = 6
+#: Distances held at once.
+DISTANCES = 1 << 22
 
 
-def cluster_count(live: int, dim: int, most: int = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> int:
-    by_bytes, by_rows = math.ceil(live * dim * 4 / TARGET_CLUSTER_BYTES), math.ceil(live / cluster_rows)
-    return max(1, min(most, max(by_bytes, by_rows), live // 2 or 1))
+def cluster_count(live: int, dim: int, most: int | None = MAX_CLUSTERS, cluster_rows: int = TARGET_CLUSTER_ROWS) -> int:
+    """Clusters by the rows' bytes and number; ``most`` of None sets no bound."""
+    wanted = max(math.ceil(live * dim * 4 / TARGET_CLUSTER_BYTES), math.ceil(live / cluster_rows))
+    return max(1, min(wanted if most is None else most, wanted, live // 2 or 1))
 
 
 def sample_size(live: int, dim: int) -> int:
@@ -28,6 +31,17 @@ def squared_distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, np.square(rows).sum(axis=1)[:, None] - 2 * rows @ centroids.T + np.square(centroids).sum(axis=1)[None, :])
 
 
+def nearest(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's nearest centroid (ties to the first) and its squared distance, for some rows at a time."""
+    step = max(1, DISTANCES // len(centroids))
+    owner, own = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for at in range(0, len(rows), step):
+        d = squared_distances(rows[at : at + step], centroids)
+        owner[at : at + step] = best = d.argmin(axis=1)
+        own[at : at + step] = d[np.arange(len(d)), best]
+    return owner, own
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows over their norms; zero rows stay."""
     size = np.sqrt(np.square(rows).sum(axis=1, keepdims=True))
@@ -40,11 +54,9 @@ def kmeans(rows: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int = 1
     centroids = rows[rng.choice(len(rows), k, replace=False)].astype(np.float64)
     owner = np.full(len(rows), -1)
     for step in range(iterations):
-        d = squared_distances(rows, centroids)
-        nearest = d.argmin(axis=1)
-        own = d[np.arange(len(rows)), nearest]
-        moved = (nearest != owner).any()
-        owner = nearest
+        found, own = nearest(rows, centroids)
+        moved = (found != owner).any()
+        owner = found
         if step and not moved:
             break
         count = np.bincount(owner, minlength=k)

@@ -12,6 +12,7 @@ from lodestone.functions import attributes as A
 from lodestone.functions import jsontext as J
 from lodestone.functions import metrics as M
 from lodestone.operators import analysis, knn
+from lodestone.operators import kmeans as km
 from lodestone.operators.kmeans import cluster_count, kmeans, nearest_centroids, sample_size, unit
 
 
@@ -103,6 +104,16 @@ def test_kmeans():
     assert np.isfinite(same).all() and unit(np.zeros((1, 3))).tolist() == [[0, 0, 0]]
 
 
+def test_clusters_without_a_bound(monkeypatch):
+    """The number of clusters follows the rows and bytes at any size; nearest centroids are the same for a few rows at a time."""
+    assert cluster_count(120_000, 64, None) == 469 and cluster_count(10**9, 768, None) == 3_906_250 and cluster_count(1, 8, None) == 1
+    rng = np.random.default_rng(2)
+    rows, centroids = rng.random((100, 4)), rng.random((30, 4))
+    whole = km.nearest(rows, centroids)
+    monkeypatch.setattr(km, "DISTANCES", 200)
+    assert whole[0].tolist() == km.nearest(rows, centroids)[0].tolist() and np.allclose(whole[1], km.nearest(rows, centroids)[1])
+
+
 def test_analysis(spark):
     values = spark.createDataFrame([(float(i),) for i in [5, 1, 3, 2, 4, 9, 7, 8, 6, 10]] + [(None,)], "v double")
     shares = [0.0, 0.5, 0.9, 0.99, 1.0]
